@@ -1,6 +1,8 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
+from .bpe import op10_byte_bpe
 from .quality import op8_quality_rules
+from .simhash import op7_simhash_near_duplicates
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op7_simhash_near_duplicates, op8_quality_rules, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
