@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import table
 
@@ -189,7 +190,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", ke
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], [*names, "_ids"])
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, docs.select(*names).schema.add("_ids", "array<int>"))
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, docs.select(*names).schema.add("_ids", ArrayType(IntegerType())))
 
 
 def with_bytes(docs: DataFrame, path: str, pattern: str, ids: str = "_ids", out: str = "_bytes") -> DataFrame:
