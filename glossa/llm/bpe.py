@@ -205,7 +205,7 @@ def with_bytes(docs: DataFrame, path: str, pattern: str, ids: str = "_ids", out:
                 found = [v.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "binary"))
+    return docs.mapInArrow(run, docs.select(*names).schema.add(out, "binary"))
 
 
 def digests(docs: DataFrame, keep: list[str]) -> DataFrame:
