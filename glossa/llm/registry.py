@@ -3,6 +3,8 @@
 from .bpe import op10_byte_bpe
 from .quality import op8_quality_rules
 from .simhash import op7_simhash_near_duplicates
+from .vafile import OP3_SQL, op3_exact_top_k
+from .warc import OP4_SQL, op4_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op7_simhash_near_duplicates, op8_quality_rules, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_exact_top_k, op4_warc_round_trip, op7_simhash_near_duplicates, op8_quality_rules, op10_byte_bpe)}
+ORACLES: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op4_warc_round_trip": OP4_SQL}
