@@ -7,8 +7,9 @@ from .paragraphs import op9_paragraph_minhash
 from .pii import op2_pii_surrogates
 from .quality import op8_quality_rules
 from .simhash import op7_simhash_near_duplicates
+from .suffixes import op6_sparse_suffix_array
 from .vafile import OP3_SQL, op3_exact_top_k
 from .warc import OP4_SQL, op4_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_pii_surrogates, op3_exact_top_k, op4_warc_round_trip, op5_kd_tree_shards, op7_simhash_near_duplicates, op8_quality_rules, op9_paragraph_minhash, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_pii_surrogates, op3_exact_top_k, op4_warc_round_trip, op5_kd_tree_shards, op6_sparse_suffix_array, op7_simhash_near_duplicates, op8_quality_rules, op9_paragraph_minhash, op10_byte_bpe)}
 ORACLES: dict[str, str] = {"op1_pfair_mixing": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op4_warc_round_trip": OP4_SQL}
