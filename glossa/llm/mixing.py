@@ -101,9 +101,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     order = cut(mix(keys.where("doc_id is not null").distinct(), tempered(keys)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "slot", "place"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = order.agg(F.max("slot")).first()[0] or 0
-    mixed = docs.join(order, (docs["doc_id"] == order["_id"]) & docs["source"].eqNullSafe(order["_from"]), "left")
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source")  # so no column's name can clash
+    mixed = whole.join(order, (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")), "left")
     part = F.least(F.lit(parts - 1), F.expr(f"coalesce(slot, 0) * {parts} div {last + 1}").cast("int"))
-    return mixed.repartitionById(parts, part).sortWithinPartitions("slot", "place").select(*docs.columns)
+    return mixed.repartitionById(parts, part).sortWithinPartitions("slot", "place").select("_doc.*")
 
 
 OP1_SQL = """

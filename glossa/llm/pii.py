@@ -10,6 +10,8 @@ Collision checks keep distinct entities distinct: over all entities of the table
 entities would share, or that is an entity of the table itself, is drawn anew (attempt 1, 2, ...) until none is left. The few
 redrawn entities are looked up while replacing: as a literal map while they are at most LITERAL_ROWS, else by a join.
 
+The key is GLOSSA_PII_KEY in the driver's environment. It is part of the plan, so plans are as secret as the key.
+
 Defined results: a null text stays null and a text without entities stays as it is; texts of any length are searched whole; repeated rows are
 replaced alike; an empty table gives an empty result; other columns stay, whatever their names.
 DataFrame and SQL functions only.
@@ -197,6 +199,8 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates in their texts; n_chars follows the text."""
-    found = pseudonymise(docs, secret())
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "n_chars")  # so no column's name can clash
+    found = pseudonymise(whole, secret())
     size = F.when(F.col("_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", size).select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": size}
+    return found.select(*(new.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns))

@@ -188,4 +188,5 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = one_label(table(spark, sf_dir, "labels"))
     sample = with_counts(docs.select("doc_id", "lang", "text").join(labels, "doc_id"), keep=["doc_id", "lang", "_good"])
     chosen = calibrate(sample, "lang")
-    return with_counts(docs).where(accepted(chosen, "lang")).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "lang", "text")  # so no column's name can clash
+    return with_counts(whole, keep=["_doc", "lang"]).where(accepted(chosen, "lang")).select("_doc.*")
