@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +53,38 @@ def number_rows(df: DataFrame, group: str, cell: str, order: list, out: str) ->
     return joined.withColumn(out, (F.col("_first") + F.row_number().over(within) - 1).cast("long")).drop("_g", "_c", "_first")
 
 
-def components(edges: DataFrame, cap: int = 60) -> DataFrame:
+#: Distinct edges up to which one task finds the components, in some tens of MB; beyond it, joins do.
+FEW_EDGES = 100_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        root: dict = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                root.setdefault(x, x)
+                root.setdefault(y, y)
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        ids = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([find(x) for x in ids], kind)], ["id", "component"])
+
+    kind = to_arrow_type(edges.schema["a"].dataType)
+    return edges.coalesce(1).mapInArrow(run, StructType([StructField("id", edges.schema["a"].dataType), StructField("component", edges.schema["a"].dataType)]))
+
+
+def components(edges: DataFrame, cap: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component the smallest id reached.
 
+    Few edges, by count, are joined by union-find in one task. Others:
+
     Alternating large-star and small-star steps until the edges stay as they are. Each step is one
     aggregate of minima (combined before the shuffle) and one join; a hub's neighbours never meet in one row.
     """
@@ -76,9 +108,9 @@ def components(edges: DataFrame, cap: int = 60) -> DataFrame:
 
     now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = mark(now)
+    if state[0] <= few:
+        return cut(_in_one_task(now))
     for _ in range(cap):
-        if not state[0]:
-            break
         now = cut(star(star(now, True), False))
         after = mark(now)
         if after == state:

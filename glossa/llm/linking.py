@@ -4,53 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
 
+#: Keys with three rows or more up to which they are broadcast, at 24 bytes each; beyond it, they are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
 Verify = Callable[[DataFrame], DataFrame]
+Linked = Callable[[Column, Column], Column]
 
 
-def classes(keyed: DataFrame, verify: Verify, rounds: int = 2) -> DataFrame:
-    """(id, component) of all ids that a chain of verified links joins; component is the smallest id.
+def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(id, component) of all ids that a chain of true links joins; component is the smallest id.
 
-    keyed: (key, id, home); rows that share a key and of which one at least is at home there are candidates,
-    and verify keeps the candidate pairs (a, b) that are true links. The outcome is that of verifying every
-    candidate pair, but pairs that can't change a class are left out:
+    keyed: (key, id, home); rows that share a key and of which one at least is at home there are candidates.
+    True links are the candidates that `linked`, a condition on both ids, holds for, or that verify, from pairs (a, b),
+    returns. The outcome is that of looking at every candidate pair, but pairs that can't change a class are left out:
 
-    1. At each key, every row is held against one random item at home there. Each item meets as many
+    1. At a key of two rows, these two are held against each other; an aggregate of each key has them at hand.
+       At the other keys, every row is held against one random item at home there. Each item meets as many
        such centres as it has keys, so large groups of similar items come together here, with one pair a row.
-    2. At the keys whose rows are still in more than one class, rows outside the key's largest class
-       meet all of its rows of other classes.
+    2. At the keys where that leaves pairs out (two or more at home, three or more rows) and whose rows are still in
+       more than one class, rows outside the key's largest class meet the rows of other classes.
 
     Neither step brings the rows of a key into one task: the centres come from aggregates that are combined
     before the shuffle, and the joins are plain equality joins, whose large keys adaptive execution splits.
+    Rows of equal key and id should be few; they do no harm.
     """
-    links = None
-    for turn in range(rounds):
-        # a hash of the id that differs by key and turn; the smallest wins
-        draw = F.xxhash64("key", "id", F.lit(turn))
-        centre = keyed.where("home").groupBy("key").agg(F.min_by("id", draw).alias("centre"))
-        met = keyed.join(centre, "key").where(F.col("id") != F.col("centre"))
-        pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        found = cut(verify(pairs).select("a", "b"))
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        if turn + 1 < rounds:
-            keyed = _apart(keyed, joined).drop("class")
-    rest = cut(_apart(keyed, joined))
-    share = rest.groupBy("key", "class").agg(F.count("*").alias("n"))
-    most = share.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("most"))
-    minor = rest.join(most, "key").where(F.col("class") != F.col("most")).select("key", F.col("id").alias("x"), F.col("class").alias("xc"), F.col("home").alias("xh"))
-    met = minor.join(rest, "key").where((F.col("class") != F.col("xc")) & (F.col("home") | F.col("xh")))
-    pairs = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-    last = cut(verify(pairs.distinct()).select("a", "b"))
-    return components(links.union(last))
 
+    def met(a: DataFrame, b: DataFrame, x: str, y: str, also: Column | None = None) -> DataFrame:
+        """True links between x of a and y of b at the same key."""
+        on = (a["key"] == b["key"]) & (F.col(x) != F.col(y))
+        on = on & also if also is not None else on
+        pairs = a.join(b, on & linked(F.col(x), F.col(y)) if linked else on).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        return cut(verify(pairs).select("a", "b") if verify else pairs)
 
-def _apart(keyed: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows, with their class so far, of the keys that hold more than one class and an item at home."""
-    now = keyed.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-    spread = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("home").alias("any"))
-    return now.join(spread.where((F.col("lo") != F.col("hi")) & F.col("any")).select("key"), "key", "left_semi")
+    mask = F.xxhash64("key")  # ids in an order of the key's own; the least at home is the centre
+    turned = F.col("id").bitwiseXOR(mask)
+    shape = keyed.groupBy("key").agg(
+        F.min(F.when(F.col("home"), turned)).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+        F.sum(F.when(F.col("home"), F.lit((1 << 32) + 1)).otherwise(F.lit(1))).alias("c"),
+    )
+    shape = cut(shape.where(f"c > {1 << 32} and lo < hi").select("key", "lo", "hi", F.col("m").bitwiseXOR(mask).alias("centre"), F.expr(f"c % {1 << 32}").alias("n"), F.expr(f"c div {1 << 32}").alias("homes")))
+    two = shape.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    two = (two.where(linked(F.col("a"), F.col("b"))) if linked else two).distinct()
+    more = shape.where("n > 2").select("key", "centre", "homes")
+    more = F.broadcast(more) if more.count() <= broadcast_keys else more
+    links = cut(verify(two).select("a", "b") if verify else two).union(met(keyed, more, "id", "centre"))
+    joined = components(links)
+    left_out = more.where("homes > 1").select("key")
+    now = keyed.join(left_out, "key", "left_semi").join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    now = cut(now)
+    share = now.groupBy("key", "class").agg(F.count("*").alias("n"))
+    most = share.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("most"), F.count("*").alias("k")).where("k > 1")
+    minor = now.join(most.select(F.col("key").alias("_k"), "most"), (F.col("key") == F.col("_k")) & (F.col("class") != F.col("most")))
+    minor = minor.select("key", F.col("id").alias("x"), F.col("class").alias("xc"), F.col("home").alias("xh"))
+    last = met(minor, now, "x", "id", (F.col("class") != F.col("xc")) & (F.col("home") | F.col("xh")))
+    return components(links.union(last))

@@ -75,10 +75,9 @@ def segment_keys(fps: DataFrame, distance: int = 4) -> DataFrame:
 def fingerprint_classes(fps: DataFrame, distance: int = 4) -> DataFrame:
     """(id, component) for the fingerprints, column `id`, that link with another; component is one of the class."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-
-    return classes(segment_keys(fps, distance), verify)
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
+    # most keys are shared by accident, so that their number is the input's, and is never small enough to broadcast
+    return classes(segment_keys(fps, distance), linked=near, broadcast_keys=-1)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
