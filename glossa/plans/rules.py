@@ -344,8 +344,10 @@ def _graph_rule(rule: Rule, view: View) -> list[Mention]:
                 break
             if not found:
                 continue
-            size = min(a.high or len(found), len(found)) if a.size is None else a.size
-            groups = [tuple(found)[:size] if a.high is None else c for c in ((tuple(found),) if a.size is None and (a.high is None or len(found) <= a.high) else itertools.combinations(found, size))]
+            if a.size is not None:
+                groups = list(itertools.combinations(found, a.size))
+            else:
+                groups = [tuple(found)] if a.high is None or len(found) <= a.high else list(itertools.combinations(found, a.high))
             choices.append([(a.name, g, tuple((a.name, m, found[m]) for m in g)) for g in groups])
         else:
             for chosen in itertools.product(*choices):

@@ -1,5 +1,7 @@
 """Queries of the text-analytics operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from glossa.queries import ORACLES, QUERIES
+
+FLAGSHIP = "token_rule_basic"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
