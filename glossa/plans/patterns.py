@@ -48,7 +48,17 @@ def unquote(s: str) -> str:
 def string_test(kind: str, text: str) -> Callable[[str], bool]:
     if kind == "regex":
         found = re.compile(text[1:-1].replace(r"\/", "/")).search
-        return lambda s: s is not None and found(s) is not None
+        known: dict = {None: False}  # words come again and again
+
+        def test(s):
+            if (hit := known.get(s)) is None:
+                if len(known) > 50_000:
+                    known.clear()
+                    known[None] = False
+                hit = known[s] = s is not None and found(s) is not None
+            return hit
+
+        return test
     want = unquote(text) if kind == "string" else text
     return lambda s: s == want
 
@@ -306,9 +316,6 @@ class Program:
         self.code: list[tuple] = []
         self._emit(node)
         self.code.append(("done",))
-        first = node
-        while first[0] in ("seq", "cap"):
-            first = first[2] if first[0] == "cap" else next((p for p in first[1] if p[0] not in ("look", "edge")), ("none",))
         self.cautious = self._starts_with_mention(node)
 
     def _starts_with_mention(self, node: tuple) -> bool:
@@ -427,8 +434,12 @@ class Program:
 
     def find_all(self, s) -> list[Match]:
         """Matches from left to right; without overlap, unless every path starts with a mention."""
-        out, at = [], 0
-        while at < len(s):
+        out, at, n = [], 0, len(s)
+        first = self.code[0][1] if self.code[0][0] == "tok" else None  # most places fail at their first token
+        while at < n:
+            if first and not first(s, at):
+                at += 1
+                continue
             m = self.match(s, at)
             if m is not None and m.end > m.start:
                 out.append(m)

@@ -104,6 +104,7 @@ class View:
 
     def __init__(self, layers: dict, sent: int, state: State, graph: str = DEFAULT_GRAPH):
         self.layers, self.sent, self.state = layers, sent, state
+        self.by_field = {name: layers.get(layer) for name, layer in LAYERS.items()}
         self.out: dict[int, list] = {}
         self.into: dict[int, list] = {}
         for e in (layers.get("graphs") or {}).get(graph) or ():
@@ -117,7 +118,7 @@ class View:
         return len(self.layers["words"])
 
     def value(self, name: str, i: int) -> str:
-        layer = self.layers.get(LAYERS[name])
+        layer = self.by_field[name]
         if layer is None:
             raise PatternError(f"sentence has no {LAYERS[name]}")
         return layer[i]
