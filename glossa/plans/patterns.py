@@ -29,14 +29,18 @@ _LEX = re.compile(
 )
 
 
-def lex(text: str, slashes: bool = True) -> list[tuple[str, str]]:
-    out, at = [], 0
+def lex(text: str) -> list[tuple[str, str]]:
+    out, at, inside = [], 0, 0
     while at < len(text):
         m = _LEX.match(text, at)
         if not m:
             raise PatternError(f"unexpected {text[at : at + 20]!r}")
-        if m.lastgroup:
-            out.append((m.lastgroup, m[0]))
+        if m.lastgroup == "regex" and inside and out and (out[-1][0] == "number" or out[-1] == ("op", ")")):
+            m = _DIVIDE.match(text, at)  # in a constraint, a slash after a number divides
+        kind = m.lastgroup
+        if kind:
+            out.append((kind, m[0]))
+            inside += (out[-1] == ("op", "[")) - (out[-1] == ("op", "]"))
         at = m.end()
     return out
 
@@ -63,6 +67,9 @@ def string_test(kind: str, text: str) -> Callable[[str], bool]:
     return lambda s: s == want
 
 
+_DIVIDE = re.compile("(?P<op>//?)")
+
+
 class Parser:
     """Recursive descent over the tokens of a pattern."""
 
@@ -377,10 +384,13 @@ class Program:
             case _:
                 code.append(node)
 
-    def match(self, s, start: int, forward: bool = True) -> Match | None:
-        """The match of highest priority at `start`; s: a sentence's view."""
+    def matches(self, s, start: int, forward: bool = True) -> list[Match]:
+        """The matches at `start`: the one of highest priority, or one for each of several mentions that a reference can stand for."""
+        return self._explore(s, start, (0, start, (), (), ()), forward)
+
+    def _explore(self, s, start: int, thread: tuple, forward: bool) -> list[Match]:
         n, code, seen = len(s), self.code, set()
-        stack = [(0, start, (), (), ())]  # instruction, place, open captures, captures, mentions
+        stack = [thread]  # instruction, place, open captures, captures, mentions
         while stack:
             pc, at, opened, caps, refs = stack.pop()
             while True:
@@ -412,14 +422,16 @@ class Program:
                         break
                     pc += 1
                 elif kind == "look":
-                    if (op[1].match(s, at, op[2]) is not None) == op[3]:
+                    if bool(op[1].matches(s, at, op[2])) == op[3]:
                         break
                     pc += 1
                 elif kind == "mention":
                     found = s.mentions_at(at, op[1], op[3], forward)
-                    for end, m in found[:0:-1]:
-                        stack.append((pc + 1, end, opened, caps, (*refs, (op[2], m)) if op[2] else refs))
-                    if not found:
+                    if len(found) > 1:
+                        ways = [(pc + 1, end, opened, caps, (*refs, (op[2], m)) if op[2] else refs) for end, m in found]
+                        if out := [x for w in ways for x in self._explore(s, start, w, forward)]:
+                            return out
+                    if len(found) != 1:
                         break
                     end, m = found[0]
                     at, refs, pc = end, (*refs, (op[2], m)) if op[2] else refs, pc + 1
@@ -429,8 +441,8 @@ class Program:
                         out.captures.setdefault(name, []).append((a, b))
                     for role, m in refs:
                         out.mentions.setdefault(role, []).append(m)
-                    return out
-        return None
+                    return [out]
+        return []
 
     def find_all(self, s) -> list[Match]:
         """Matches from left to right; without overlap, unless every path starts with a mention."""
@@ -440,12 +452,9 @@ class Program:
             if first and not first(s, at):
                 at += 1
                 continue
-            m = self.match(s, at)
-            if m is not None and m.end > m.start:
-                out.append(m)
-                at = at + 1 if self.cautious else m.end
-            else:
-                at += 1
+            found = [m for m in self.matches(s, at) if m.end > m.start]
+            out += found
+            at = min(m.end for m in found) if found and not self.cautious else at + 1
         return out
 
 

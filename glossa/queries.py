@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from glossa.functions.tokenizer import with_sentences
 from glossa.operators import graphs, lexicon, mentions, stats, text
@@ -523,3 +524,78 @@ def attachment_scores(spark, d):
     guess = gold.withColumn("src", F.when(F.col("src") % 3 == 2, F.col("src") + 1).otherwise(F.col("src"))).withColumn("rel", F.lit("dep"))
     found = graphs.attachment_scores(gold, guess, KEYS)
     return found.select(F.round("uas", 6).alias("uas"), F.round("las", 6).alias("las"))
+
+
+# --- numbers, strings, sources, streams, learning
+
+
+@query("""SELECT * FROM (VALUES (1, 205.0), (2, 21.0), (3, 3500000.0), (4, 1000.0), (5, 0.5), (6, 12.0), (7, -5.0), (8, 1.0), (9, NULL)) AS t(id, value)""")
+def number_words(spark, d):
+    from glossa.functions.numbers import parse_number
+
+    rows = spark.sql("SELECT * FROM (VALUES (1, 'two hundred and five'), (2, 'twenty-one'), (3, '3.5 million'), (4, '1,000'), (5, '1/2'), (6, 'a dozen'), (7, 'minus 5'), (8, 'first'), (9, 'apple')) AS t(id, words)")
+    parse = F.pandas_udf(lambda s: s.map(lambda w: parse_number(w.split())), DoubleType(), F.PandasUDFType.SCALAR)
+    return rows.select("id", parse("words").alias("value"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'DATE', '2001-05-05'), (2, 'DATE-RANGE', '2001-05-05 -- 2001-06-07'), (3, 'MEASUREMENT-LENGTH', '3.5 km'), (4, 'PERCENTAGE', '20.0 %'), (5, 'DATE-RANGE', '2005-XX-XX -- ref-date'),
+(6, 'DATE-RANGE', '1999-06-21 -- 1999-09-22'), (7, 'MEASUREMENT-AREA', '10.0 -- 20.0 ha'), (8, 'DATE', '2010-05-31')) AS t(id, label, norm)""")
+def numeric_norms(spark, d):
+    """Dates, ranges and measurements by the rule engine."""
+    from glossa.functions.numbers import recognise
+
+    rows = spark.sql("""SELECT * FROM (VALUES (1, 'May 5 , 2001'), (2, 'from May 5 , 2001 to June 7 , 2001'), (3, 'it was 3.5 km'), (4, 'twenty percent'), (5, 'since 2005'), (6, 'summer of 1999'), (7, '10 - 20 ha'), (8, 'end of May 2010')) AS t(id, text)""")
+    find = F.pandas_udf(lambda s: s.map(lambda t: [{"label": r[3], "norm": r[4]} for r in recognise([t.split()])]), ArrayType(StructType.fromDDL("label string, norm string")), F.PandasUDFType.SCALAR)
+    return rows.select("id", F.inline(find("text")))
+
+
+@query("SELECT item_id, CAST(levenshtein(left(t, 40), substr(t, 20, 40)) AS INTEGER) AS distance FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)")
+def edit_distance(spark, d):
+    t = F.regexp_replace("text", "[^ -~]", "")
+    return table(spark, d, "benchmark").select("item_id", F.levenshtein(F.substring(t, 1, 40), F.substring(t, 20, 40)).alias("distance"))
+
+
+@query()
+def stems(spark, d):
+    from glossa.functions.strings import stem
+
+    return words(spark, d).groupBy("word").agg(F.count("*").alias("n")).select("word", stem("word").alias("stem"), "n")
+
+
+@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents")
+def document_json_round_trip(spark, d):
+    """Documents written as JSON and parsed again; the text is rebuilt from tokens and offsets."""
+    from glossa.sources.columns import DOCUMENT, documents_json, with_edges
+
+    found = with_sentences(docs(spark, d).select("doc_id", "text"))
+    parsed = documents_json(found, "doc_id").select("doc_id", with_edges(F.from_json("json", DOCUMENT)["sentences"]).alias("s"))
+    last = F.aggregate("s", F.lit(0), lambda a, s: F.greatest(a, F.array_max(s["ends"])))
+    blank = F.length(F.regexp_extract("text", r"[\x00-\x20]*$", 0))
+    return docs(spark, d).select("doc_id", "text").join(parsed, "doc_id").select("doc_id", (last + blank).alias("n"))
+
+
+@query(f"WITH {W} SELECT word, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY word HAVING count(*) > 100")
+def streamed_counts(spark, d):
+    """Words counted by a stream that reads all there is and stops."""
+    import uuid
+
+    from glossa.streaming import read_stream
+
+    name = f"counts_{uuid.uuid4().hex}"
+    counts = text.words(read_stream(spark, d, "documents.parquet"), "doc_id").groupBy("word").agg(F.count("*").alias("n"))
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).where("n > 100")
+
+
+@query()
+def perceptron_accuracy(spark, d):
+    """An averaged perceptron on hashed words, held out by document id."""
+    from glossa.operators import learning
+
+    size = 1 << 12
+    kinds = F.transform(F.array_distinct(F.transform(F.col("l"), lambda w: F.concat(F.substring(w, -3, 3), F.lit("")))), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    rows = table(spark, d, "labels").join(docs(spark, d), "doc_id").select(F.col("doc_id").alias("id"), F.regexp_extract_all("text", F.lit(text.BLANKS), F.lit(0)).alias("l"), F.col("quality").alias("label")).select("id", kinds.alias("features"), "label")
+    held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    weights = learning.perceptron(rows.where(~held), size)
+    found = learning.decide(rows.where(held), weights)
+    return found.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))

@@ -1 +1,24 @@
-"""Structured Streaming over the same plans."""
+"""Structured Streaming over the same plans: extraction is stateless across documents, so a stream runs the batch plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossa.plans.rules import extract
+
+
+def read_stream(spark: SparkSession, folder: str, file: str, files_a_batch: int = 64) -> DataFrame:
+    """A stream of the Parquet files of a folder whose names fit."""
+    schema = spark.read.parquet(f"{folder}/{file}").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+
+
+def extract_stream(documents: DataFrame, grammar: str, keys: list[str]) -> DataFrame:
+    """Mentions of a stream of documents with sentences, by the same pass as in batch."""
+    return extract(documents, grammar, keys)
+
+
+def windowed_counts(events: DataFrame, time: str, late: str, length: str, *keys: str) -> DataFrame:
+    """Counts in windows of event time; state is dropped once the watermark passes a window."""
+    return events.withWatermark(time, late).groupBy(F.window(time, length), *keys).agg(F.count("*").alias("n")).select("window.start", "window.end", *keys, "n")
