@@ -304,3 +304,13 @@ def test_combinations_of_bundles():
     found = extract_from([{"words": "a b c".split()}], read_rules('[{name: x, label: X, type: token, priority: 1, pattern: "a b?"}, {name: y, label: X, type: token, priority: 1, pattern: "a b c"}, {name: z, label: Z, type: token, priority: 2, pattern: "@m:X c?"}]'))
     z = [m for m in found if m.label == "Z"]
     assert z and all(m.of("m") for m in z) and len(list(itertools.chain(*[m.of("m") for m in z]))) == len(z)
+
+
+def test_open_entities(spark):
+    from glossa.operators import openie
+
+    assert openie.find_entities([SENTENCE]) == [(0, 0, 1), (0, 2, 3), (0, 4, 7), (0, 8, 10)]
+    s = {"words": "the fall of old and new prices".split(), "tags": "DT NN IN JJ CC JJ NNS".split(), "graphs": {DEFAULT_GRAPH: [E_(1, 6, "nmod_of"), E_(6, 3, "amod"), E_(6, 5, "amod")]}}
+    assert openie.find_entities([s]) == [(0, 1, 7)]
+    assert openie.find_entities([s], avoid='[{name: x, label: X, type: token, pattern: "prices"}]') == [(0, 1, 2)]
+    assert not openie.fit({"words": ["two"], "tags": ["CD"]}, 0, 1, 10)
