@@ -63,3 +63,19 @@ def longest(mentions: DataFrame, keys: list[str]) -> DataFrame:
     """Of mentions with the same label that begin at the same token, the longest."""
     order = Window.partitionBy(*keys, "sent", "start", F.col("labels")[0]).orderBy(F.desc("end"), "mention_id")
     return mentions.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def pairs_of(members: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """(keys, first, second): combinations of two of a mention's arguments, made within its own row's array."""
+    row = members.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("first"), y.alias("second")))))
+    return row.select(*keys, F.inline(pairs))
+
+
+def merged_labels(into: Column, source: Column) -> Column:
+    """Labels of `into` with each run of source's labels copied where all of its places are O."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(source) - 1), lambda i: (source[i] != "O") & (F.substring(source[i], 1, 1) == "B"))
+    ends = lambda i: F.coalesce(F.get(F.filter(F.sequence(i + 1, F.size(source)), lambda j: (j == F.size(source)) | ~F.coalesce(F.get(source, j), F.lit("O")).startswith("I-")), F.lit(0)), F.size(source))
+    runs = F.transform(starts, lambda i: F.struct(i.alias("a"), ends(i).alias("b")))
+    free = F.filter(runs, lambda r: F.forall(F.slice(into, r["a"] + 1, r["b"] - r["a"]), lambda x: x == "O"))
+    return F.transform(into, lambda x, i: F.when(F.exists(free, lambda r: (r["a"] <= i) & (i < r["b"])), source[i]).otherwise(x))

@@ -151,3 +151,26 @@ def precision_at_1(rows: DataFrame, query: str, gold: str, score: str) -> DataFr
     """One row: how often the label of the best score is the best label of the query."""
     best = rows.groupBy(query).agg(F.max_by(gold, F.struct(score, gold)).alias("got"), F.max(gold).alias("want"))
     return best.agg(F.avg((F.col("got") == F.col("want")).cast("double")).alias("p_at_1"))
+
+
+def interpolated(head: Column, label: Column, weight: float) -> Column:
+    """Scores of two heads, softmaxed and mixed, with their places, best first: array<struct<score, place>>."""
+    mixed = F.zip_with(softmax(head), softmax(label), lambda a, b: weight * a + (1 - weight) * b)
+    placed = F.transform(mixed, lambda s, i: F.struct((-s).alias("s"), i.alias("place")))
+    return F.transform(F.array_sort(placed), lambda x: F.struct((-x["s"]).alias("score"), x["place"].alias("place")))
+
+
+def frequent(rows: DataFrame, feature: str, threshold: int, strict: bool = False) -> DataFrame:
+    """(feature, n) of features in `threshold` items or more, or in more than that."""
+    counts = rows.select("id", feature).distinct().groupBy(feature).agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > threshold if strict else F.col("n") >= threshold)
+
+
+def extremes(counts: DataFrame, key: str, *keys: str) -> DataFrame:
+    """(keys, most, least): the keys of the greatest and the least count, ties to the smaller key."""
+    rank = F.struct("n", key)
+    return counts.groupBy(*keys).agg(F.min_by(key, F.struct(-F.col("n"), F.col(key))).alias("most"), F.min_by(key, rank).alias("least"))
+
+
+def accuracy(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
+    return rows.agg((100 * F.avg((F.col(gold) == F.col(predicted)).cast("double"))).alias("accuracy"))

@@ -599,3 +599,72 @@ def perceptron_accuracy(spark, d):
     weights = learning.perceptron(rows.where(~held), size)
     found = learning.decide(rows.where(held), weights)
     return found.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)) AS a, list_transform(embedding[5:8], lambda x: exp(x::DOUBLE)) AS b FROM embeddings),
+m AS (SELECT vec_id, generate_subscripts(a, 1) - 1 AS place, 0.6 * unnest(a) / list_sum(a) + 0.4 * unnest(b) / list_sum(b) AS score FROM e)
+SELECT vec_id, CAST(arg_max(place, score) AS INTEGER) AS place, round(max(score), 6) AS score FROM m GROUP BY vec_id""")
+def interpolated_scores(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    best = stats.interpolated(F.slice("v", 1, 4), F.slice("v", 5, 4), 0.6)[0]
+    return v.select("vec_id", best["place"].alias("place"), F.round(best["score"], 6).alias("score"))
+
+
+@query(f"WITH {W} SELECT word, CAST(count(DISTINCT doc_id) AS BIGINT) AS n FROM w GROUP BY word HAVING count(DISTINCT doc_id) > 20")
+def feature_frequency(spark, d):
+    return stats.frequent(words(spark, d).withColumnRenamed("doc_id", "id"), "word", 20, strict=True)
+
+
+@query(f"""WITH {W}, c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, first(word ORDER BY n DESC, word) AS most, first(word ORDER BY n, word) AS least FROM c GROUP BY doc_id""")
+def counter_extremes(spark, d):
+    return stats.extremes(words(spark, d).groupBy("doc_id", "word").agg(F.count("*").alias("n")), "word", "doc_id")
+
+
+@query(f"WITH {JUDGED} SELECT round(100 * avg((gold = guess)::INT), 6) AS accuracy FROM j")
+def token_accuracy(spark, d):
+    return stats.accuracy(judged(spark, d), "gold", "guess").select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"""WITH {_HITS} SELECT doc_id, CAST(tok AS INTEGER) AS tok, label FROM m, range(start, "end") r(tok)""")
+def mention_state(spark, d):
+    """A row for each token of a mention."""
+    m = lexicon_hits(spark, d).select("doc_id", F.lit(0).alias("sent"), "start", "end", F.concat_ws("-", "start", "end").alias("mention_id"), F.array("label").alias("labels"))
+    return mentions.state(m, ["doc_id"]).select("doc_id", "tok", "label")
+
+
+@query("""SELECT a, b, x, y, a <= x AND b >= y AS holds, a < y AND x < b AND a < b AND x < y AS meets FROM (VALUES (0, 5, 1, 3), (0, 5, 5, 6), (2, 4, 2, 4), (1, 1, 0, 3), (3, 6, 1, 4)) AS t(a, b, x, y)""")
+def interval_predicates(spark, d):
+    rows = spark.sql("SELECT * FROM (VALUES (0, 5, 1, 3), (0, 5, 5, 6), (2, 4, 2, 4), (1, 1, 0, 3), (3, 6, 1, 4)) AS t(a, b, x, y)")
+    c = [F.col(n) for n in "abxy"]
+    return rows.select("a", "b", "x", "y", mentions.contains(*c).alias("holds"), mentions.overlaps(*c).alias("meets"))
+
+
+@query(f"""WITH {_HITS}, s AS (SELECT DISTINCT doc_id, label FROM m) SELECT a.doc_id, a.label AS first, b.label AS second FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.label < b.label""")
+def argument_pairs(spark, d):
+    """Combinations of two labels of a document."""
+    return mentions.pairs_of(lexicon_hits(spark, d), ["doc_id"], "label")
+
+
+@query("SELECT * FROM (VALUES (1, ['B-A', 'I-A', 'O', 'B-X']), (2, ['O', 'B-Y', 'B-X', 'I-X'])) AS t(id, labels)")
+def labels_merged(spark, d):
+    rows = spark.sql("SELECT * FROM (VALUES (1, array('O', 'O', 'O', 'B-X'), array('B-A', 'I-A', 'O', 'B-C')), (2, array('O', 'O', 'B-X', 'I-X'), array('O', 'B-Y', 'B-Z', 'I-Z'))) AS t(id, into, source)")
+    return rows.select("id", mentions.merged_labels(F.col("into"), F.col("source")).alias("labels"))
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, b AS (SELECT conv_id, turn, src, dst FROM e UNION SELECT conv_id, turn, dst, src FROM e),
+c AS (SELECT DISTINCT conv_id, turn, src AS start, src AS node, 0 AS depth FROM b WHERE src = 0 UNION SELECT c.conv_id, c.turn, c.start, b.dst, depth + 1 FROM c JOIN b ON b.conv_id = c.conv_id AND b.turn = c.turn AND b.src = c.node WHERE depth < 5)
+SELECT conv_id, turn, node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY ALL""")
+def graph_shortest_paths(spark, d):
+    e = chain(spark, d)
+    nodes = e.where("src = 0").select(*KEYS, F.col("src").alias("node")).distinct()
+    return graphs.shortest_paths(nodes, e, KEYS, 5).select(*KEYS, "node", "depth")
+
+
+@query()
+def rule_schema(spark, d):
+    """What the rules of a grammar find, as a table."""
+    from glossa.functions.numbers import GRAMMAR
+    from glossa.plans.rules import describe, read_rules
+
+    rows = [(r["name"], r["labels"], r["type"], r["priority"], r["keep"], len(r["program"])) for r in describe(read_rules(GRAMMAR))]
+    return spark.createDataFrame(rows, "name string, labels array<string>, type string, priority string, keep boolean, program_length int")
