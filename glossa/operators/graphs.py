@@ -51,9 +51,10 @@ def collapsed(edges: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, "src", "dst", rel.alias("rel"))
 
 
-def propagated(edges: DataFrame, keys: list[str], rel: str = "nsubj") -> DataFrame:
-    """Edges with those of label `rel` copied from the first conjunct to the others that have none of their own."""
-    conj = edges.where("rel = 'conj'").select(*keys, F.col("src").alias("first"), F.col("dst").alias("other"))
+def propagated(edges: DataFrame, keys: list[str], rel: str = "nsubj", over: str = "conj") -> DataFrame:
+    """Edges with those of label `rel` copied along `over` to nodes that have none of their own: subjects
+    to other conjuncts, or, over xcomp, raised to the verb below."""
+    conj = edges.where(F.col("rel") == over).select(*keys, F.col("src").alias("first"), F.col("dst").alias("other"))
     own = edges.where(F.col("rel") == rel).select(*keys, F.col("src").alias("other"))
     new = conj.join(own, [*keys, "other"], "left_anti").join(edges.where(F.col("rel") == rel).select(*keys, F.col("src").alias("first"), "dst", "rel"), [*keys, "first"])
     return edges.select(*keys, "src", "dst", "rel").union(new.select(*keys, F.col("other").alias("src"), "dst", "rel")).distinct()

@@ -111,3 +111,16 @@ def without_references(text: Column) -> Column:
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     blank = F.transform(found, lambda x: F.repeat(F.lit(" "), F.length(x)))
     return F.array_join(F.flatten(F.zip_with(parts, blank, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+
+
+#: Word and the word after it, and the tag that the first then has.
+DUE_TO = {("due", "to"): "IN"}
+
+
+def corrected_tags(tokens: DataFrame, pairs: dict[tuple[str, str], str], *keys: str) -> DataFrame:
+    """tokens with tags mended: `vs.` joins, numbers with ds or ws count, and words get a tag before certain others."""
+    low, after = F.lower("word"), F.lower(F.lead("word").over(Window.partitionBy(*keys).orderBy("tok")))
+    tag = F.when(low.rlike("^vs[.]?$"), "CC").when(F.col("word").rlike("^[0-9]+(ds|ws)$"), "CD")
+    for (word, following), new in pairs.items():
+        tag = tag.when((low == word) & (after == following), new)
+    return tokens.withColumn("tag", tag.otherwise(F.col("tag")))

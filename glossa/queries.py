@@ -668,3 +668,33 @@ def rule_schema(spark, d):
 
     rows = [(r["name"], r["labels"], r["type"], r["priority"], r["keep"], len(r["program"])) for r in describe(read_rules(GRAMMAR))]
     return spark.createDataFrame(rows, "name string, labels array<string>, type string, priority string, keep boolean, program_length int")
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""")
+def streamed_windows(spark, d):
+    """Hourly counts by event time, over a stream that reads all there is and stops."""
+    import uuid
+
+    from glossa.streaming import read_stream, windowed_counts
+
+    name = f"windows_{uuid.uuid4().hex}"
+    events = read_stream(spark, d, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windowed_counts(events, "ts", "1 hour", "1 hour", "event_type")
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query(f"""WITH {CHAIN}, o AS (SELECT DISTINCT conv_id, turn, src AS x FROM e WHERE rel = 'conj')
+SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM e UNION SELECT d.conv_id, d.turn, d.dst, s.dst, s.rel FROM e d JOIN e s ON s.conv_id = d.conv_id AND s.turn = d.turn AND s.src = d.src AND s.rel = 'conj'
+WHERE d.rel = 'dep' AND NOT EXISTS (SELECT 1 FROM o WHERE o.conv_id = d.conv_id AND o.turn = d.turn AND o.x = d.dst)) GROUP BY ALL""")
+def graph_raised(spark, d):
+    """Edges raised to the node below."""
+    return graphs.propagated(chain(spark, d), KEYS, "conj", over="dep").groupBy(*KEYS).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {W}, k AS (SELECT *, lag(word) OVER o AS a, lead(word) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY tok))
+SELECT doc_id, CAST(tok AS INTEGER) AS tok, CASE WHEN regexp_matches(lower(word), '^vs[.]?$') THEN 'CC' WHEN regexp_matches(word, '^[0-9]+(ds|ws)$') THEN 'CD' WHEN lower(word) = 'the' AND b = 'of' THEN 'IN' ELSE 'NN' END AS tag FROM k""")
+def corrected_tags(spark, d):
+    """Tags mended by a word and its neighbour; the rule for `due to` is tried on the tables' own frequent pair."""
+    rules = {("the", "of"): "IN"}
+    return text.corrected_tags(words(spark, d).withColumn("tag", F.lit("NN")), rules, "doc_id").select("doc_id", "tok", "tag")
