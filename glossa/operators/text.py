@@ -22,11 +22,11 @@ def sentence_numbers(tokens: DataFrame, *keys: str, word: str = "word") -> DataF
 
 
 def casing(word: Column) -> Column:
-    """x lower, X one upper, Xx capitalised, XX upper, xX mixed, number, other."""
+    """x without capitals, X one capital, XX capitals only, Xx capitalised, xX mixed, number, other."""
+    has = word.rlike
     return (
-        F.when(word.rlike(r"^[-+]?[0-9][0-9.,]*$"), "number").when(~word.rlike(r"\p{L}"), "other").when(word == F.lower(word), "x")
-        .when((word == F.upper(word)) & (F.length(word) == 1), "X").when(word == F.upper(word), "XX")
-        .when((F.substring(word, 1, 1) == F.upper(F.substring(word, 1, 1))) & (F.substring(word, 2, 1 << 30) == F.lower(F.substring(word, 2, 1 << 30))), "Xx").otherwise("xX")
+        F.when(has(r"^[-+]?[0-9][0-9.,]*$"), "number").when(~has(r"\p{L}"), "other").when(~has(r"\p{Lu}"), "x").when(has(r"^\p{Lu}$"), "X")
+        .when(~has(r"\p{Ll}"), "XX").when(has(r"^\p{Lu}[^\p{Lu}]*$"), "Xx").otherwise("xX")
     )
 
 
