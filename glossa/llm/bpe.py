@@ -31,7 +31,7 @@ from .common import table
 BUCKETS = (4, 8, 16, 32, 64, 128, 256)
 NONE = np.int32(2**31 - 1)
 #: Pieces whose tokens a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class PairTable:
@@ -174,23 +174,28 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """docs, or its columns `keep`, and _ids: array<int>, the tokens of the whole text.
 
-    path: a vocabulary file in ranks that every executor has at this place.
+    path: a vocabulary file in ranks that every executor has at this place. decoded: a column for the bytes that these tokens
+    stand for, decoded in the same pass, which spares a second Python worker a task and the tokens' way through the JVM.
     """
     names = docs.columns if keep is None else keep
+    shape = docs.select(*names).schema.add("_ids", ArrayType(IntegerType()))
+    shape = shape.add(decoded, "binary") if decoded else shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 512):  # bounded memory
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):  # bounded memory
+                part = b.slice(at, 256)
                 ids = v.encode(part.column(text).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], [*names, "_ids"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                found = [pa.array([v.decode(x.tolist()) for x in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, *found], [*names, "_ids", *([decoded] if decoded else [])])
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, docs.select(*names).schema.add("_ids", ArrayType(IntegerType())))
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, shape)
 
 
 def with_bytes(docs: DataFrame, path: str, pattern: str, ids: str = "_ids", out: str = "_bytes") -> DataFrame:
@@ -213,7 +218,7 @@ def digests(docs: DataFrame, keep: list[str]) -> DataFrame:
     import public_tokenizers as tokenizers
 
     path, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
-    both = with_bytes(with_tokens(docs, path, pattern, keep=keep), path, pattern)
+    both = with_tokens(docs, path, pattern, keep=keep, decoded="_bytes")
     ids = F.encode(F.array_join(F.col("_ids").cast("array<string>"), " "), "utf-8")
     return both.select(*keep, F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"))
 
@@ -223,5 +228,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents, with the digests of each one's tokens."""
-    return digests(docs, docs.columns)
+    """The columns of the documents but the text, and the digests of its tokens and of what they decode to."""
+    rest = F.struct(*(c for c in docs.columns if c != "text"))  # so no column's name can clash
+    return digests(docs.select(rest.alias("_doc"), "text"), ["_doc"]).select("_doc.*", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -86,7 +86,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 
 def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs, or its columns `keep`, with one column `_<count>` for each of COUNTS."""
+    """docs, or its columns `keep`, with one column `_<count>` for each of COUNTS. text: a column, or a field of the first column."""
     names = docs.columns if keep is None else keep
     schema = docs.select(*names).schema
     for c in COUNTS:
@@ -94,10 +94,13 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([counts(t) for t in b.column(text).to_pylist()], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(found[:, i]) for i in range(len(COUNTS))], [*names, *(f"_{c}" for c in COUNTS)])
+            for at in range(0, b.num_rows, 512):  # bounded memory
+                part = b.slice(at, 512)
+                texts = part.column(0).field(text.split(".")[1]) if "." in text else part.column(text)
+                found = np.array([counts(t) for t in texts.to_pylist()], np.int64).reshape(-1, len(COUNTS))
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(found[:, i]) for i in range(len(COUNTS))], [*names, *(f"_{c}" for c in COUNTS)])
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
+    return docs.select(*(names if "." in text else dict.fromkeys([*names, text]))).mapInArrow(run, schema)
 
 
 def feature(name: str):
@@ -188,5 +191,5 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = one_label(table(spark, sf_dir, "labels"))
     sample = with_counts(docs.select("doc_id", "lang", "text").join(labels, "doc_id"), keep=["doc_id", "lang", "_good"])
     chosen = calibrate(sample, "lang")
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "lang", "text")  # so no column's name can clash
-    return with_counts(whole, keep=["_doc", "lang"]).where(accepted(chosen, "lang")).select("_doc.*")
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "lang")  # so no column's name can clash
+    return with_counts(whole, "_doc.text").where(accepted(chosen, "lang")).select("_doc.*")

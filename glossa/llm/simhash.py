@@ -52,8 +52,10 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t, shingle) for t in b.column(text).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(found)], [*names, "_fp"])
+            for at in range(0, b.num_rows, 512):  # bounded memory
+                part = b.slice(at, 512)
+                found = np.array([fingerprint(t, shingle) for t in part.column(text).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found)], [*names, "_fp"])
 
     return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 

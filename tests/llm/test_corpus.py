@@ -355,6 +355,13 @@ def test_counts():
     assert quality.counts(None)[0] == 0
 
 
+def test_quality_stage(spark, odd, none, tmp_path):
+    spark.createDataFrame([(4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = quality.quality_stage(spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.where("doc_id in (4, 7)").collect()))
+    assert quality.quality_stage(spark, none, str(tmp_path)).count() == 0
+
+
 def test_binomial_bound():
     for n, k, p in ((50, 0, 0.1), (200, 3, 0.05), (1000, 12, 0.03)):
         exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
@@ -433,7 +440,8 @@ def test_pair_table():
 
 def test_bpe_odd(spark, tokenizer, odd, none):
     _, enc = tokenizer
-    got = bpe.bpe_stage(spark, odd, "").select("text", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert bpe.bpe_stage(spark, odd, "").count() == odd.count()
+    got = bpe.digests(odd, ["text"]).collect()
     assert len(got) == odd.count()
     for r in got:
         ids = enc.encode_ordinary(r.text or "")
