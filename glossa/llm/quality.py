@@ -189,7 +189,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their columns as they were."""
     labels = one_label(table(spark, sf_dir, "labels"))
-    sample = with_counts(docs.select("doc_id", "lang", "text").join(labels, "doc_id"), keep=["doc_id", "lang", "_good"])
-    chosen = calibrate(sample, "lang")
+    counted = with_counts(docs, keep=["doc_id", "lang"])  # counts, not texts, go to the join
+    chosen = calibrate(counted.join(labels, "doc_id"), "lang")
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), "lang")  # so no column's name can clash
     return with_counts(whole, "_doc.text").where(accepted(chosen, "lang")).select("_doc.*")
