@@ -16,12 +16,13 @@ Verify = Callable[[DataFrame], DataFrame]
 Linked = Callable[[Column, Column], Column]
 
 
-def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | None = None, traits: DataFrame | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(id, component) of all ids that a chain of true links joins; component is the smallest id.
 
     keyed: (key, id, home); rows that share a key and of which one at least is at home there are candidates.
     True links are the candidates that `linked`, a condition on both ids, holds for, or that verify, from pairs (a, b),
-    returns. The outcome is that of looking at every candidate pair, but pairs that can't change a class are left out:
+    returns. traits, (id, trait), lets `linked` hold two traits rather than ids, as a condition that every true link meets;
+    it is then used where many pairs meet, before verify. The outcome is that of looking at every candidate pair, but pairs that can't change a class are left out:
 
     1. At a key of two rows, these two are held against each other; an aggregate of each key has them at hand.
        At the other keys, every row is held against one random item at home there. Each item meets as many
@@ -38,7 +39,8 @@ def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | Non
         """True links between x of a and y of b at the same key."""
         on = (a["key"] == b["key"]) & (F.col(x) != F.col(y))
         on = on & also if also is not None else on
-        pairs = a.join(b, on & linked(F.col(x), F.col(y)) if linked else on).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        on = on & linked(F.col(x), F.col(y)) if linked and traits is None else on
+        pairs = a.join(b, on).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
         return cut(verify(pairs).select("a", "b") if verify else pairs)
 
     mask = F.xxhash64("key")  # ids in an order of the key's own; the least at home is the centre
@@ -49,17 +51,20 @@ def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | Non
     )
     shape = cut(shape.where(f"c > {1 << 32} and lo < hi").select("key", "lo", "hi", F.col("m").bitwiseXOR(mask).alias("centre"), F.expr(f"c % {1 << 32}").alias("n"), F.expr(f"c div {1 << 32}").alias("homes")))
     two = shape.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    two = (two.where(linked(F.col("a"), F.col("b"))) if linked else two).distinct()
+    two = (two.where(linked(F.col("a"), F.col("b"))) if linked and traits is None else two).distinct()
     more = shape.where("n > 2").select("key", "centre", "homes")
     more = F.broadcast(more) if more.count() <= broadcast_keys else more
     links = cut(verify(two).select("a", "b") if verify else two).union(met(keyed, more, "id", "centre"))
     joined = components(links)
     left_out = more.where("homes > 1").select("key")
     now = keyed.join(left_out, "key", "left_semi").join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    if traits is not None:
+        now = now.join(traits, "id")
     now = cut(now)
     share = now.groupBy("key", "class").agg(F.count("*").alias("n"))
     most = share.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("most"), F.count("*").alias("k")).where("k > 1")
     minor = now.join(most.select(F.col("key").alias("_k"), "most"), (F.col("key") == F.col("_k")) & (F.col("class") != F.col("most")))
-    minor = minor.select("key", F.col("id").alias("x"), F.col("class").alias("xc"), F.col("home").alias("xh"))
-    last = met(minor, now, "x", "id", (F.col("class") != F.col("xc")) & (F.col("home") | F.col("xh")))
+    minor = minor.select("key", F.col("id").alias("x"), F.col("class").alias("xc"), F.col("home").alias("xh"), *([F.col("trait").alias("xt")] if traits is not None else []))
+    apart = (F.col("class") != F.col("xc")) & (F.col("home") | F.col("xh"))
+    last = met(minor, now, "x", "id", apart & linked(F.col("trait"), F.col("xt")) if traits is not None else apart)
     return components(links.union(last))

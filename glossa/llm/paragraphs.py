@@ -3,6 +3,8 @@
 Paragraphs are the lines of a text. Those of `least` words or more are taken, lower-cased, as sets of five-word shingles
 (hashes of 32 bits of XXH64). BANDS bands of ROWS minima each are tuned for recall: of pairs at the threshold of 0.8, 99.5 % collide
 in a band, above it nearly all. Colliding paragraphs are joined, and a link needs an exact Jaccard similarity of 0.8.
+Where large groups of paragraphs meet that differ by more, a bitmap of each set goes first: bits in which two bitmaps
+differ are never more than the elements in which the sets do, and a link allows a ninth of both sizes of these, so no link is lost.
 Of each class that links join, the first occurrence, by doc_id and place, stays.
 
 Paragraphs equal after lower-casing are one item throughout (by 64-bit hash), so copies never form pairs.
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
@@ -25,6 +27,7 @@ from .common import cut, table
 from .linking import classes
 
 BANDS, ROWS = 10, 4
+BITS = 256
 SHINGLE = 5
 LEAST_WORDS = 25
 THRESHOLD = 0.8
@@ -51,6 +54,15 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return mixed.view(np.int64)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BITS / 64 words for each set: a bit for each element, by its hash."""
+    out = np.zeros((len(sets), BITS // 64), np.uint64)
+    for i, s in enumerate(sets):
+        at = (s >> np.uint64(40)) % np.uint64(BITS)
+        np.bitwise_or.at(out[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def paragraphs(text: str | None, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
     """(line, start, end, lower-cased words) of each paragraph of `least` words or more; offsets in characters."""
     at = 0
@@ -61,11 +73,11 @@ def paragraphs(text: str | None, least: int = LEAST_WORDS) -> Iterator[tuple[int
 
 
 def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, para, start, end, n_words, id, bands, shingles) of the paragraphs of (doc_id, text)."""
+    """(doc_id, para, start, end, n_words, id, bands, bits, shingles) of the paragraphs of (doc_id, text)."""
     shape = docs.select("doc_id").schema
     for n in ("para", "start", "end", "n_words"):
         shape = shape.add(n, "integer")
-    shape = shape.add("id", "long").add("bands", ArrayType(LongType())).add("shingles", ArrayType(IntegerType()))
+    shape = shape.add("id", "long").add("bands", ArrayType(LongType())).add("bits", ArrayType(LongType())).add("shingles", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,9 +96,11 @@ def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
                 small = [np.unique(s.astype(np.uint32)).view(np.int32) for _, s in sets]
                 ends = pa.array(np.cumsum([0, *map(len, small)], dtype=np.int32))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                bits = bitmaps([s for _, s in sets])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, BITS // 64, dtype=np.int32)), pa.array(bits.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array([i for i, _ in sets], np.uint64).view(np.int64)), bands, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(small)))],
-                    ["doc_id", "para", "start", "end", "n_words", "id", "bands", "shingles"],
+                    [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array([i for i, _ in sets], np.uint64).view(np.int64)), bands, bits, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(small)))],
+                    ["doc_id", "para", "start", "end", "n_words", "id", "bands", "bits", "shingles"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, shape)
@@ -107,11 +121,17 @@ def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: f
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    joined = cut(classes(keyed, verify))
+    def may_link(a: Column, b: Column) -> Column:
+        """No two bitmaps of a link differ by more; a set of n shingles can differ from one of m in (n + m)(1 - t)/(1 + t)."""
+        apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
+        return apart <= (1 - threshold) / (1 + threshold) * (a["n"] + b["n"]) + 1e-9
+
+    traits = found.groupBy("id").agg(F.first(F.struct("bits", F.size("shingles").alias("n"))).alias("trait"))
+    joined = cut(classes(keyed, verify, may_link, traits))
     named = items.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     size = named.groupBy("class").agg(F.sum("n").alias("members")).where("members > 1")
     inside = cut(named.join(size, "class").select("id", "class"))
-    rows = found.drop("bands", "shingles").join(inside, "id")
+    rows = found.drop("bands", "bits", "shingles").join(inside, "id")
     first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "para")).alias("first"))
     out = rows.join(first, "class")
     kept = F.struct("doc_id", "para") == F.col("first")
