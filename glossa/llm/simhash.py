@@ -18,29 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 from .linking import classes
-
-SEED = 42
+from .similar import shingle_hashes, similar_documents
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, and blanks are \x20\x09-\x0d
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    h, view = xxhash.xxh64_intdigest, memoryview(joined)
-    set_bits = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounded memory, however long the text
-        part = np.fromiter((h(view[a:b], SEED) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536], strict=True)), np.uint64, min(n - at, 65536))
+    n, set_bits = 0, np.zeros(64, np.int64)
+    for part in shingle_hashes(text, shingle):
+        n += len(part)
         set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
 
@@ -101,8 +90,9 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class: that with the smallest doc_id; texts whose only content is blank form one class.
 
-    Documents without an id have nothing to be told apart by, so they stay. Five-word shingles.
+    Documents without an id have nothing to be told apart by, so they stay. A class is joined by links of an exact Jaccard
+    similarity of 0.8 on five-word shingles, as few bits of a fingerprint neither cover nor prove it.
     """
-    found = near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), distance=4, shingle=5)
+    found = similar_documents(docs.select("doc_id", "text"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
