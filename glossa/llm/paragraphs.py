@@ -7,7 +7,10 @@ Where large groups of paragraphs meet that differ by more, a bitmap of each set
 differ are never more than the elements in which the sets do, and a link allows a ninth of both sizes of these, so no link is lost.
 Of each class that links join, the first occurrence, by doc_id and place, stays.
 
-Paragraphs equal after lower-casing are one item throughout (by 64-bit hash), so copies never form pairs.
+A set so small that one element more or less breaks a link (three shingles or fewer) links with equal sets only, so the hash of the set is its only key.
+The query takes lines of any length from one word; functions take them from `least` words.
+
+Paragraphs equal after lower-casing are one item throughout (by 64-bit hash), one row in all joins by keys, so copies never form pairs.
 Defined results: null and empty texts and shorter paragraphs have no rows; a paragraph of fewer than five words, if `least` lets
 it in, is one shingle; repeated rows count as further occurrences, and of rows equal in doc_id and place one stays for all; an empty table gives an empty result.
 """
@@ -31,6 +34,10 @@ BITS = 256
 SHINGLE = 5
 LEAST_WORDS = 25
 THRESHOLD = 0.8
+#: Paragraphs to verify up to which their hashes are broadcast, so that the sets of the others aren't shuffled.
+BROADCAST_ASKED = 400_000
+#: Hashes that a task remembers to give the set of a repeated paragraph once; beyond that it starts anew.
+REMEMBERED = 500_000
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -72,34 +79,49 @@ def paragraphs(text: str | None, least: int = LEAST_WORDS) -> Iterator[tuple[int
         at += len(line) + 1
 
 
-def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, para, start, end, n_words, id, bands, bits, shingles) of the paragraphs of (doc_id, text)."""
+def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, para, start, end, n_words, id, bands, bits, shingles) of the paragraphs of (doc_id, text).
+
+    The three arrays are empty where the task has given them before for the same id.
+    """
     shape = docs.select("doc_id").schema
     for n in ("para", "start", "end", "n_words"):
         shape = shape.add(n, "integer")
     shape = shape.add("id", "long").add("bands", ArrayType(LongType())).add("bits", ArrayType(LongType())).add("shingles", ArrayType(IntegerType()))
 
+    def lists(values: list[np.ndarray], kind: type) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)], dtype=np.int32)), pa.array(np.concatenate(values).astype(kind, copy=False)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        none = np.empty(0, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 256):  # bounded memory
                 part = b.slice(at, 256)
-                rows, sets, source = [], [], []
+                rows, ids, sets, new, source = [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     for para, start, end, words in paragraphs(text, least):
+                        id = xxhash.xxh3_64_intdigest(b" ".join(words))
+                        if id not in seen:
+                            seen.add(id)
+                            new.append(len(rows))
+                            sets.append(shingles(words))
                         rows.append((para, start, end, len(words)))
+                        ids.append(id)
                         source.append(i)
-                        sets.append((xxhash.xxh3_64_intdigest(b" ".join(words)), shingles(words)))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 if not rows:
                     continue
                 numbers = np.array(rows, np.int32)
-                keys = band_keys([s for _, s in sets])
-                small = [np.unique(s.astype(np.uint32)).view(np.int32) for _, s in sets]
-                ends = pa.array(np.cumsum([0, *map(len, small)], dtype=np.int32))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                bits = bitmaps([s for _, s in sets])
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, BITS // 64, dtype=np.int32)), pa.array(bits.ravel()))
+                bands, bits, small = ([none] * len(rows) for _ in range(3))
+                if sets:
+                    for j, s, keys, bitmap in zip(new, sets, band_keys(sets), bitmaps(sets), strict=True):
+                        alone = len(s) < threshold * (len(s) + 1) - 1e-9
+                        bands[j] = np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64) if alone else keys
+                        bits[j], small[j] = bitmap, np.unique(s.astype(np.uint32)).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array([i for i, _ in sets], np.uint64).view(np.int64)), bands, bits, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(small)))],
+                    [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array(ids, np.uint64).view(np.int64)), lists(bands, np.int64), lists(bits, np.int64), lists(small, np.int32)],
                     ["doc_id", "para", "start", "end", "n_words", "id", "bands", "bits", "shingles"],
                 )
 
@@ -108,15 +130,18 @@ def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, para, start, end, n_words, class_doc_id, class_para, kept) of every paragraph in a class of two or more."""
-    found = cut(with_paragraphs(docs, least))
-    items = found.groupBy("id").agg(F.count("*").alias("n"))
-    keyed = found.select("id", F.explode("bands").alias("key"), F.lit(True).alias("home"))
+    found = cut(with_paragraphs(docs, least, threshold))
+    given = lambda c: F.first(F.when(F.size("bands") > 0, c), ignorenulls=True)
+    trait = F.struct("bits", F.size("shingles").alias("n"))
+    items = cut(found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "para")).alias("first"), given(F.col("bands")).alias("bands"), given(trait).alias("trait")))
+    keyed = items.select("id", F.explode("bands").alias("key"), F.lit(True).alias("home"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs of an exact Jaccard similarity of the threshold."""
         pairs = cut(pairs)
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = cut(found.join(asked, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s")))
+        asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ASKED else asked
+        sets = cut(found.where("size(shingles) > 0").select("id", "shingles").join(asked, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s")))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -126,16 +151,13 @@ def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: f
         apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
         return apart <= (1 - threshold) / (1 + threshold) * (a["n"] + b["n"]) + 1e-9
 
-    traits = found.groupBy("id").agg(F.first(F.struct("bits", F.size("shingles").alias("n"))).alias("trait"))
-    joined = cut(classes(keyed, verify, may_link, traits))
-    named = items.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-    size = named.groupBy("class").agg(F.sum("n").alias("members")).where("members > 1")
-    inside = cut(named.join(size, "class").select("id", "class"))
-    rows = found.drop("bands", "bits", "shingles").join(inside, "id")
-    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "para")).alias("first"))
-    out = rows.join(first, "class")
-    kept = F.struct("doc_id", "para") == F.col("first")
-    return out.select("doc_id", "para", "start", "end", "n_words", F.col("first.doc_id").alias("class_doc_id"), F.col("first.para").alias("class_para"), kept.alias("kept"))
+    joined = cut(classes(keyed, verify, may_link, items.select("id", "trait")))
+    named = items.select("id", "n", "first").join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    size = named.groupBy("class").agg(F.sum("n").alias("members"), F.min("first").alias("class_first")).where("members > 1")
+    inside = cut(named.join(size, "class").select("id", "class_first"))
+    out = found.select("doc_id", "para", "start", "end", "n_words", "id").join(inside, "id")
+    kept = F.struct("doc_id", "para") == F.col("class_first")
+    return out.select("doc_id", "para", "start", "end", "n_words", F.col("class_first.doc_id").alias("class_doc_id"), F.col("class_first.para").alias("class_para"), kept.alias("kept"))
 
 
 def remove_duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -148,4 +170,4 @@ def remove_duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> Da
 
 
 def op9_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_paragraphs(table(spark, sf_dir, "documents"))
+    return duplicate_paragraphs(table(spark, sf_dir, "documents"), least=1)
