@@ -5,21 +5,30 @@ come before its release floor(i * P / q) and must come before its deadline ceil(
 released, the one with the earliest deadline takes the slot (ties to the source that sorts first); as the shares sum to 1, every
 deadline is met, and at any slot each source has had its share of the slots to within less than one block.
 
+Rounding weights to 256 quanta, as op1's SQL does, moves shares away from the targets by more than a block where there are many slots or sources.
+Without `quanta`, the period is chosen from the data: at least as many slots as all rows take, with quanta by largest remainders, so that
+rounding too stays below one block at any slot. Its order is worked out in one task, which reads the sources and keeps a heap of them.
+
 Releases and deadlines repeat with the period, and so does the order: it is worked out for one period, whose length
-is bounded by `quanta` and the number of sources, and any block's slot follows by arithmetic. Nothing is simulated
-over the corpus, and no source's rows meet in one task: rows are numbered within cells of a hash, and cells by their counts.
+is bounded by `quanta`, or the slots of the data, and the number of sources, and any block's slot follows by arithmetic. No source's rows meet in one task: rows are numbered within cells of a hash, and cells by their counts.
 
 A source that ends leaves its later slots empty; the others keep their order and their proportions among each other. No row is dropped or repeated.
 
 Defined results: a null source is a source; a source without a weight given gets one quantum, null or negative weights count as zero, and zero too is one
 quantum, so that its rows come; rows with equal ids are interchangeable; null ids have a place; null and long texts don't matter; an empty table gives an empty result.
-DataFrame and SQL functions only.
+DataFrame and SQL functions only, but for the order of a period chosen from the data.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from math import ceil
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, hex_digits_for, number_rows, table
 
@@ -52,6 +61,72 @@ def period(row: DataFrame) -> DataFrame:
     return slots.select(F.expr("s[i].source").alias("source"), F.expr("s[i].q").alias("q"), F.col("p").alias("period"), (F.row_number().over(nth) - 1).cast("long").alias("k"), F.col("slot").cast("long").alias("slot"))
 
 
+def exact_quanta(weights: list[float], blocks: list[int]) -> list[int]:
+    """Quanta whose shares of the period are the weights' to within less than one block over all slots that the blocks take."""
+    total = sum(weights)
+    if not total:
+        return [1] * len(weights)
+    slots = max(ceil(n * total / w) for w, n in zip(weights, blocks, strict=True) if w)
+    size = max(slots, len(weights)) * (1 + weights.count(0))  # those without a weight get a quantum besides
+    if size >= 2**31:
+        raise ValueError(f"mixing by these weights takes {size} slots; give quanta")
+    quotas = [size * w / total for w in weights]
+    q = [int(x) for x in quotas]
+    for i in sorted(range(len(q)), key=lambda i: q[i] - quotas[i])[: max(0, size - sum(q))]:
+        q[i] += 1
+    return [max(1, x) for x in q]
+
+
+def earliest_deadlines(q: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, k, slot) for one period, of the blocks that there are; the same order as period()."""
+    p, taken = sum(q), [0] * len(q)
+    waiting, ready = [(0, i) for i in range(len(q))], []  # by release; by deadline
+    left = sum(map(min, q, blocks))
+    for t in range(p):
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (((taken[i] + 1) * p + q[i] - 1) // q[i], i))
+        i = heapq.heappop(ready)[1]
+        if taken[i] < blocks[i]:
+            yield i, taken[i], t
+            left -= 1
+            if not left:
+                return
+        taken[i] += 1
+        if taken[i] < q[i]:
+            heapq.heappush(waiting, (taken[i] * p // q[i], i))
+
+
+def exact_period(known: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
+    """Like period(), with quanta from the data; known: (source, weight), sizes: (source, rows)."""
+    weight = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).cast("double")
+    both = known.join(sizes.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    row = both.agg(F.array_sort(F.collect_list(F.struct("source", weight.alias("w"), F.expr(f"(rows + {block_rows - 1}) div {block_rows}").alias("blocks")))).alias("s")).where("size(s) > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.column("s").to_pylist():
+                blocks = [x["blocks"] for x in s]
+                q = exact_quanta([x["w"] for x in s], blocks)
+                p, rows = sum(q), []
+                for x in earliest_deadlines(q, blocks):
+                    rows.append(x)
+                    if len(rows) == 10_000:  # bounded memory
+                        yield batch(s, q, p, rows)
+                        rows = []
+                if rows:
+                    yield batch(s, q, p, rows)
+
+    def batch(s: list, q: list[int], p: int, rows: list) -> pa.RecordBatch:
+        names = ["source", "q", "period", "k", "slot"]
+        made = [[s[i]["source"] for i, _, _ in rows], [q[i] for i, _, _ in rows], [p] * len(rows), [k for _, k, _ in rows], [t for _, _, t in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(made[0], to_arrow_type(kind)), *(pa.array(x, pa.int64()) for x in made[1:])], names)
+
+    kind = known.schema["source"].dataType
+    shape = known.select("source").schema.add("q", "long").add("period", "long").add("k", "long").add("slot", "long")
+    return row.mapInArrow(run, shape)
+
+
 def tempered(docs: DataFrame, power: float = 0.5) -> DataFrame:
     """(source, weight): each source's rows to a power, which lifts small sources."""
     return docs.groupBy("source").agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
@@ -61,15 +136,15 @@ def order_key() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
-def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 16, quanta: int = 256) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 16, quanta: int | None = 256) -> DataFrame:
     """docs with q, period, block, slot, release, deadline and place: (slot, place) is the mixed order.
 
-    Within a source, rows come in the order of a hash of their ids. weights: (source, weight).
+    Within a source, rows come in the order of a hash of their ids. weights: (source, weight). quanta: None chooses them from the data.
     """
     sources = docs.select("source").distinct()
     given = weights.where("weight is not null").groupBy("source").agg(F.max("weight").alias("weight"))
     known = sources.join(given, sources["source"].eqNullSafe(given["source"]), "left").select(sources["source"], "weight")
-    once = cut(period(with_quanta(known, quanta)))
+    once = cut(period(with_quanta(known, quanta)) if quanta else exact_period(known, docs.groupBy("source").agg(F.count("*").alias("rows")), block_rows))
     slots = once.count()
     digits = hex_digits_for(docs.count(), 2000)
     keyed = docs.withColumn("_h", order_key()).withColumn("_cell", F.substring("_h", 1, digits))
@@ -98,7 +173,7 @@ def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, all of them, in mixed order: files sort like their order, and rows within."""
     keys = docs.select("doc_id", "source")
-    order = cut(mix(keys.where("doc_id is not null").distinct(), tempered(keys)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "slot", "place"))
+    order = cut(mix(keys.where("doc_id is not null").distinct(), tempered(keys), quanta=None).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "slot", "place"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = order.agg(F.max("slot")).first()[0] or 0
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source")  # so no column's name can clash

@@ -1,8 +1,9 @@
 """What the stages of the pipeline do to whole tables, against plain Python."""
 
 import random
+from collections import Counter
 
-from glossa.llm import simhash
+from glossa.llm import mixing, simhash
 
 
 def shingles(text):
@@ -46,3 +47,27 @@ def test_stage_joins_a_chain(spark):
         docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text).upper())]
         text[rng.randrange(120)] = f"changed{i}"
     assert [r.doc_id for r in simhash.near_duplicate_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()] == [0]
+
+
+def held_to_targets(got, weights):
+    total, taken = sum(weights.values()), Counter()
+    slots = {r.slot: r.source for r in got}
+    last = min(max(r.slot for r in got if r.source == s) for s in weights)
+    for t in range(last + 1):
+        taken[slots[t]] += 1
+        assert all(abs(taken[s] - (t + 1) * w / total) < 2 for s, w in weights.items())  # one block by order, one by rounding
+    return last
+
+
+def test_mixing_holds_the_target_weights(spark):
+    """Over many slots, and with over 256 unequal sources, shares are those of the weights."""
+    hot = {"hot": 18_100.0} | {f"s{i:02}": 1_000.0 for i in range(20)}
+    many = {"hot": 300.0} | {f"s{i:03}": 1.0 + i % 4 for i in range(300)}
+    for weights, rows in ((hot, lambda w: int(w / 4)), (many, lambda w: int(8 * w))):
+        docs = [(i, s) for i, s in enumerate(s for s, w in weights.items() for _ in range(rows(w)))]
+        docs = spark.createDataFrame(docs, "doc_id long, source string")
+        given = spark.createDataFrame(list(weights.items()), "source string, weight double")
+        got = mixing.mix(docs, given, block_rows=4, quanta=None).collect()
+        assert len(got) == docs.count() and len({(r.slot, r.place) for r in got}) == len(got)
+        assert all(r.release <= r.slot < r.deadline for r in got)
+        assert held_to_targets(got, weights) > 1000
