@@ -17,11 +17,12 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -227,7 +228,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def with_place(docs: DataFrame, columns: list) -> DataFrame:
+    """`columns` of docs and _position: the row's place from 0 in the files that docs were read from, by name; null if docs aren't read from files."""
+    try:
+        placed = docs.select(*columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        counted = placed.groupBy("_file").agg(F.count("*").alias("n")).collect()
+    except AnalysisException:
+        return docs.select(*columns, F.lit(None).cast("long").alias("_position"))
+    ends = accumulate((r["n"] for r in sorted(counted)), initial=0)
+    first = docs.sparkSession.createDataFrame([(r["_file"], n) for r, n in zip(sorted(counted), ends, strict=False)], "_name string, _first long")
+    return placed.join(F.broadcast(first), F.col("_file") == F.col("_name"), "left").withColumn("_position", F.col("_first") + F.col("_row")).drop("_file", "_row", "_name", "_first")
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents but the text, and the digests of its tokens and of what they decode to."""
+    """The columns of the documents but the text, their position in the mixed order, and the digests of their tokens and of what they decode to."""
     rest = F.struct(*(c for c in docs.columns if c != "text"))  # so no column's name can clash
-    return digests(docs.select(rest.alias("_doc"), "text"), ["_doc"]).select("_doc.*", "n_tokens", "ids_sha256", "decoded_sha256")
+    placed = with_place(docs, [rest.alias("_doc"), "text"])
+    return digests(placed, ["_doc", "_position"]).select("_doc.*", F.col("_position").alias("position"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from glossa.llm import mixing, simhash
+import pytest
+
+from glossa.llm import bpe, mixing, simhash
 
 
 def shingles(text):
@@ -71,3 +73,16 @@ def test_mixing_holds_the_target_weights(spark):
         assert len(got) == docs.count() and len({(r.slot, r.place) for r in got}) == len(got)
         assert all(r.release <= r.slot < r.deadline for r in got)
         assert held_to_targets(got, weights) > 1000
+
+
+def test_run_returns_the_mixed_position(spark, tmp_path):
+    """The last stage numbers the rows in the order of the schedule, however Spark packs the files."""
+    pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(i, f"text {i}", f"s{i * i % 7 % 4}") for i in range(700)], "doc_id long, text string, source string")
+    keys = docs.select("doc_id", "source")
+    placed = mixing.mix(keys, mixing.tempered(keys), quanta=None).collect()
+    expected = [r.doc_id for r in sorted(placed, key=lambda r: (r.slot, r.place))]
+    mixing.mixing_stage(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    got = bpe.bpe_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert sorted(r.position for r in got) == list(range(700))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == expected
