@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset and all runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossa-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -30,6 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(*cuts: DataFrame) -> None:
+    """Deletes the files of what cut() gave, or a projection of it, after its last reader; Spark itself keeps them until the application ends."""
+    for df in cuts:
+        spark, file = df.sparkSession, df._jdf.queryExecution().analyzed().collectLeaves().head().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hex_digits_for(rows: int, rows_per_cell: int = 1000) -> int:
     """Leading hex digits of a hash that leave about rows_per_cell rows in a cell, or fewer."""
     digits = 1
@@ -80,7 +91,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, StructType([StructField("id", edges.schema["a"].dataType), StructField("component", edges.schema["a"].dataType)]))
 
 
-def components(edges: DataFrame, cap: int = 60, few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component the smallest id reached.
 
     Few edges, by count, are joined by union-find in one task. Others:
@@ -109,13 +120,14 @@ def components(edges: DataFrame, cap: int = 60, few: int = FEW_EDGES) -> DataFra
     now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = mark(now)
     if state[0] <= few:
-        return cut(_in_one_task(now))
-    for _ in range(cap):
-        now = cut(star(star(now, True), False))
+        out = cut(_in_one_task(now))
+        drop(now)
+        return out
+    while True:  # ends: every step but the last lowers the sum of the ends of all edges
+        last, now = now, cut(star(star(now, True), False))
+        drop(last)
         after = mark(now)
         if after == state:
             break
         state = after
-    else:
-        raise RuntimeError("components: no fixed point")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -7,15 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop
 
 #: Keys with three rows or more up to which they are broadcast, at 24 bytes each; beyond it, they are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
+#: Shared keys up to which they are broadcast, at 8 bytes each and some tens in the hash table; beyond it, they are joined by a shuffle.
+BROADCAST_SHARED = 1_000_000
+
 Verify = Callable[[DataFrame], DataFrame]
 Linked = Callable[[Column, Column], Column]
 
 
+def shared(keyed: DataFrame) -> DataFrame:
+    """The distinct rows of (key, id) whose key another id has too, already made.
+
+    Most keys are held by one id only, so the keys go first, combined before the shuffle, and only rows of shared ones follow.
+    """
+    keys = cut(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
+    asked = F.broadcast(keys) if keys.count() <= BROADCAST_SHARED else keys
+    rows = cut(keyed.join(asked, "key", "left_semi").distinct())
+    drop(keys)
+    return rows
+
+
+def spanning(pairs: DataFrame, held: Verify) -> DataFrame:
+    """True links that join the same items as all true links among the distinct pairs (a, b), which must be cut; held: pairs to those that are links.
+
+    Of each item one pair goes first, then those whose items are still apart.
+    """
+    ends = pairs.select("a", "b", F.col("a").alias("x")).union(pairs.select("a", "b", F.col("b").alias("x")))
+    once = cut(ends.groupBy("x").agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    links = cut(held(once))
+    of = components(links)
+    rest = pairs.join(once, ["a", "b"], "left_anti")
+    rest = rest.join(of.select(F.col("id").alias("a"), F.col("component").alias("_x")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("_y")), "b", "left")
+    rest = cut(rest.where("coalesce(_x, a) <> coalesce(_y, b)").select("a", "b"))
+    return links.union(held(rest)) if rest.head(1) else links
+
+
 def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | None = None, traits: DataFrame | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(id, component) of all ids that a chain of true links joins; component is the smallest id.
 
@@ -40,7 +70,10 @@ def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | Non
         on = (a["key"] == b["key"]) & (F.col(x) != F.col(y))
         on = on & also if also is not None else on
         on = on & linked(F.col(x), F.col(y)) if linked and traits is None else on
-        pairs = a.join(b, on).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        return a.join(b, on).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    def true(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct()
         return cut(verify(pairs).select("a", "b") if verify else pairs)
 
     mask = F.xxhash64("key")  # ids in an order of the key's own; the least at home is the centre
@@ -51,10 +84,10 @@ def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | Non
     )
     shape = cut(shape.where(f"c > {1 << 32} and lo < hi").select("key", "lo", "hi", F.col("m").bitwiseXOR(mask).alias("centre"), F.expr(f"c % {1 << 32}").alias("n"), F.expr(f"c div {1 << 32}").alias("homes")))
     two = shape.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    two = (two.where(linked(F.col("a"), F.col("b"))) if linked and traits is None else two).distinct()
+    two = two.where(linked(F.col("a"), F.col("b"))) if linked and traits is None else two
     more = shape.where("n > 2").select("key", "centre", "homes")
     more = F.broadcast(more) if more.count() <= broadcast_keys else more
-    links = cut(verify(two).select("a", "b") if verify else two).union(met(keyed, more, "id", "centre"))
+    links = true(two.union(met(keyed, more, "id", "centre")))
     joined = components(links)
     left_out = more.where("homes > 1").select("key")
     now = keyed.join(left_out, "key", "left_semi").join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
@@ -66,5 +99,7 @@ def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | Non
     minor = now.join(most.select(F.col("key").alias("_k"), "most"), (F.col("key") == F.col("_k")) & (F.col("class") != F.col("most")))
     minor = minor.select("key", F.col("id").alias("x"), F.col("class").alias("xc"), F.col("home").alias("xh"), *([F.col("trait").alias("xt")] if traits is not None else []))
     apart = (F.col("class") != F.col("xc")) & (F.col("home") | F.col("xh"))
-    last = met(minor, now, "x", "id", apart & linked(F.col("trait"), F.col("xt")) if traits is not None else apart)
-    return components(links.union(last))
+    last = true(met(minor, now, "x", "id", apart & linked(F.col("trait"), F.col("xt")) if traits is not None else apart))
+    out = components(links.union(last))
+    drop(now, shape, last, links)
+    return out

@@ -11,6 +11,7 @@ A set so small that one element more or less breaks a link (three shingles or fe
 The query takes lines of any length from one word; functions take them from `least` words.
 
 Paragraphs equal after lower-casing are one item throughout (by 64-bit hash), one row in all joins by keys, so copies never form pairs.
+Only the keys that two items share are joined at all.
 Defined results: null and empty texts and shorter paragraphs have no rows; a paragraph of fewer than five words, if `least` lets
 it in, is one shingle; repeated rows count as further occurrences, and of rows equal in doc_id and place one stays for all; an empty table gives an empty result.
 """
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from .common import cut, table
-from .linking import classes
+from .common import cut, drop, table
+from .linking import classes, shared, spanning
 
 BANDS, ROWS = 10, 4
 BITS = 256
@@ -131,30 +132,38 @@ def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float
 def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, para, start, end, n_words, class_doc_id, class_para, kept) of every paragraph in a class of two or more."""
     found = cut(with_paragraphs(docs, least, threshold))
-    given = lambda c: F.first(F.when(F.size("bands") > 0, c), ignorenulls=True)
-    trait = F.struct("bits", F.size("shingles").alias("n"))
-    items = cut(found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "para")).alias("first"), given(F.col("bands")).alias("bands"), given(trait).alias("trait")))
-    keyed = items.select("id", F.explode("bands").alias("key"), F.lit(True).alias("home"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs of an exact Jaccard similarity of the threshold."""
-        pairs = cut(pairs)
-        asked = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ASKED else asked
-        sets = cut(found.where("size(shingles) > 0").select("id", "shingles").join(asked, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s")))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    given = found.where("size(bands) > 0")  # once for each id and task at least
+    keyed = shared(given.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
+    near = keyed.select("id").distinct()
+    near = F.broadcast(near) if keyed.count() <= BROADCAST_ASKED else near
+    traits = cut(given.join(near, "id", "left_semi").groupBy("id").agg(F.first(F.struct("bits", F.size("shingles").alias("n"))).alias("trait")))
 
     def may_link(a: Column, b: Column) -> Column:
         """No two bitmaps of a link differ by more; a set of n shingles can differ from one of m in (n + m)(1 - t)/(1 + t)."""
         apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
         return apart <= (1 - threshold) / (1 + threshold) * (a["n"] + b["n"]) + 1e-9
 
-    joined = cut(classes(keyed, verify, may_link, items.select("id", "trait")))
-    named = items.select("id", "n", "first").join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    def held(pairs: DataFrame) -> DataFrame:
+        """Pairs of an exact Jaccard similarity of the threshold."""
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        asked = F.broadcast(asked) if pairs.count() <= BROADCAST_ASKED // 2 else asked
+        sets = given.select("id", "shingles").join(asked, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s"))
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        shared_by = F.size(F.array_intersect("x", "y"))
+        return both.where(shared_by >= threshold * (F.size("x") + F.size("y") - shared_by)).select("a", "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """True links that join the same items as all true links among the pairs, whose bitmaps are looked at first."""
+        of = lambda c, t: traits.select(F.col("id").alias(c), F.col("trait").alias(t))
+        pairs = cut(pairs.join(of("a", "s"), "a").join(of("b", "t"), "b").where(may_link(F.col("s"), F.col("t"))).select("a", "b"))
+        return spanning(pairs, held)
+
+    joined = classes(keyed, verify, may_link, traits)
+    items = found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "para")).alias("first"))
+    named = items.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     size = named.groupBy("class").agg(F.sum("n").alias("members"), F.min("first").alias("class_first")).where("members > 1")
     inside = cut(named.join(size, "class").select("id", "class_first"))
+    drop(keyed, traits)
     out = found.select("doc_id", "para", "start", "end", "n_words", "id").join(inside, "id")
     kept = F.struct("doc_id", "para") == F.col("class_first")
     return out.select("doc_id", "para", "start", "end", "n_words", F.col("class_first.doc_id").alias("class_doc_id"), F.col("class_first.para").alias("class_para"), kept.alias("kept"))
@@ -162,11 +171,12 @@ def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: f
 
 def remove_duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """docs without the paragraphs that duplicate_paragraphs doesn't keep; doc_id must be unique."""
-    gone = duplicate_paragraphs(docs, least).where("not kept").groupBy("doc_id").agg(F.collect_set("para").alias("_gone"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    joined = docs.join(gone, "doc_id", "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    gone = duplicate_paragraphs(docs, least).where("not kept").groupBy("doc_id").agg(F.collect_set("para").alias("gone"))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column's name can clash
+    joined = whole.join(gone, F.col("doc.doc_id") == gone["doc_id"], "left")
+    lines = F.filter(F.split("doc.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(lines, "\n"))
+    return joined.select(*((text if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

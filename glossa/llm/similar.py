@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import components, cut
-from .linking import classes
+from .common import cut, drop
+from .linking import classes, shared, spanning
 
 SEED = 42
 BANDS, ROWS = 30, 4
@@ -96,7 +96,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     marked = cut(_with(docs, "_text", ["_doc_id"], shingle, "bands", band_keys))
     firsts = cut(marked.groupBy("id").agg(F.min("_doc_id").alias("_first")))
     keyed = marked.join(firsts, (marked["id"] == firsts["id"]) & (F.col("_doc_id") == F.col("_first"))).select(marked["id"], "bands")
-    keyed = cut(keyed.select("id", F.explode("bands").alias("key")).select("key", "id", F.lit(True).alias("home")))
+    keyed = shared(keyed.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
 
     def held(pairs: DataFrame) -> DataFrame:
         """Pairs of an exact Jaccard similarity of the threshold."""
@@ -110,20 +110,9 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """True links that join the same items as all true links among the pairs: of each item one pair goes first, then those that are still apart."""
-        pairs = cut(pairs)
-        ends = pairs.select("a", "b", F.col("a").alias("x")).union(pairs.select("a", "b", F.col("b").alias("x")))
-        once = cut(ends.groupBy("x").agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct())
-        links = cut(held(once))
-        of = components(links)
-        rest = pairs.join(once, ["a", "b"], "left_anti")
-        rest = rest.join(of.select(F.col("id").alias("a"), F.col("component").alias("_x")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("_y")), "b", "left")
-        rest = cut(rest.where("coalesce(_x, a) <> coalesce(_y, b)").select("a", "b"))
-        return links.union(held(rest))
-
-    joined = classes(keyed, verify)
+    joined = classes(keyed, lambda pairs: spanning(cut(pairs), held))
     named = firsts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("_first").alias("component_id"))
     of = cut(named.join(least, "component").select("id", "component_id"))
+    drop(keyed, firsts)
     return marked.select("_doc_id", "id").join(of, "id").select(F.col("_doc_id").alias(doc_id), "component_id")
