@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,32 @@ Verify = Callable[[DataFrame], DataFrame]
 Linked = Callable[[Column, Column], Column]
 
 
+def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """bits / 64 signed words with a bit for each element of a set, by its hash."""
+    out = np.zeros(bits, bool)
+    out[(hashes >> np.uint64(40)) % np.uint64(bits)] = True
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
+def may_link(threshold: float, bits: int) -> Linked:
+    """A condition on two traits (bits, n) that all pairs of a Jaccard similarity of the threshold meet.
+
+    No two bitmaps differ in more bits than the sets do in elements; a set of n elements can differ from one of m in (n + m)(1 - t)/(1 + t).
+    """
+
+    def test(a: Column, b: Column) -> Column:
+        apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(bits // 64)), F.lit(0))
+        return apart <= (1 - threshold) / (1 + threshold) * (a["n"] + b["n"]) + 1e-9
+
+    return test
+
+
+def possible(pairs: DataFrame, traits: DataFrame, linked: Linked) -> DataFrame:
+    """The pairs (a, b) whose traits meet the condition, already made."""
+    of = lambda c, t: traits.select(F.col("id").alias(c), F.col("trait").alias(t))
+    return cut(pairs.join(of("a", "_s"), "a").join(of("b", "_t"), "b").where(linked(F.col("_s"), F.col("_t"))).select("a", "b"))
+
+
 def shared(keyed: DataFrame) -> DataFrame:
     """The distinct rows of (key, id) whose key another id has too, already made.
 

@@ -1,39 +1,36 @@
 """Mixing sources to target weights with Pfair scheduling.
 
-Weights are whole quanta q of a period of P slots, the sum of all quanta; a slot takes one block of one source. Block i of a source may not
-come before its release floor(i * P / q) and must come before its deadline ceil((i + 1) * P / q). Of the blocks
-released, the one with the earliest deadline takes the slot (ties to the source that sorts first); as the shares sum to 1, every
-deadline is met, and at any slot each source has had its share of the slots to within less than one block.
+A slot takes one block of rows of one source. Block i of a source whose share of the slots is w may not come before its release floor(i / w) and
+must come before its deadline ceil((i + 1) / w). Of the blocks released, the one with the earliest deadline takes the slot (ties to the source
+that sorts first); as the shares sum to 1, every deadline is met, and at any slot each source has had its share of the slots to within less than one block.
 
-Rounding weights to 256 quanta, as op1's SQL does, moves shares away from the targets by more than a block where there are many slots or sources.
-Without `quanta`, the period is chosen from the data: at least as many slots as all rows take, with quanta by largest remainders, so that
-rounding too stays below one block at any slot. Its order is worked out in one task, which reads the sources and keeps a heap of them.
+Shares are whole numbers out of about UNITS = 2^30, so that rounding moves no source by a block over as many slots; mix() refuses more slots than that, and
+larger blocks make fewer. Up to PERIOD slots are one row, whose order is worked out slot by slot. More are cut into periods of PERIOD slots, a row each, that are dealt out over
+tasks: at a period's first slot each source has had its share rounded down or up to whole blocks, those with the earliest deadlines up, and a source
+once up stays so until its share gets there (by induction there are always as many to round up as are up already). Within a period, windows follow from these whole numbers, so
+that the order stays less than a block from the straight line between its ends, and less than two from the targets. No source's rows
+meet in one task either: rows are numbered within cells of a hash, and cells by their counts.
 
-Releases and deadlines repeat with the period, and so does the order: it is worked out for one period, whose length
-is bounded by `quanta`, or the slots of the data, and the number of sources, and any block's slot follows by arithmetic. No source's rows meet in one task: rows are numbered within cells of a hash, and cells by their counts.
+With `quanta`, weights are rounded to about that many whole quanta instead, one at least, and the order of one period of them repeats.
 
 A source that ends leaves its later slots empty; the others keep their order and their proportions among each other. No row is dropped or repeated.
 
-Defined results: a null source is a source; a source without a weight given gets one quantum, null or negative weights count as zero, and zero too is one
-quantum, so that its rows come; rows with equal ids are interchangeable; null ids have a place; null and long texts don't matter; an empty table gives an empty result.
-DataFrame and SQL functions only, but for the order of a period chosen from the data.
+Defined results: a null source is a source; rows of a source whose weight is missing, null, zero or negative have no slot (null), as its share is none (with `quanta`, it
+gets one quantum); rows with equal ids are interchangeable; null ids have a place; null and long texts don't matter; an empty table gives an empty
+result; columns of docs that are named like those of the result are replaced.
+DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from math import ceil
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, hex_digits_for, number_rows, table
+from .common import cut, drop, hex_digits_for, number_rows, table
 
 #: Slots of a period up to which its order is broadcast, at about 30 bytes a slot; beyond it, it is joined by a shuffle.
 BROADCAST_SLOTS = 100_000
+UNITS, PERIOD = 1 << 30, 1 << 16
 
 
 def with_quanta(weights: DataFrame, quanta: int) -> DataFrame:
@@ -61,70 +58,49 @@ def period(row: DataFrame) -> DataFrame:
     return slots.select(F.expr("s[i].source").alias("source"), F.expr("s[i].q").alias("q"), F.col("p").alias("period"), (F.row_number().over(nth) - 1).cast("long").alias("k"), F.col("slot").cast("long").alias("slot"))
 
 
-def exact_quanta(weights: list[float], blocks: list[int]) -> list[int]:
-    """Quanta whose shares of the period are the weights' to within less than one block over all slots that the blocks take."""
-    total = sum(weights)
-    if not total:
-        return [1] * len(weights)
-    slots = max(ceil(n * total / w) for w, n in zip(weights, blocks, strict=True) if w)
-    size = max(slots, len(weights)) * (1 + weights.count(0))  # those without a weight get a quantum besides
-    if size >= 2**31:
-        raise ValueError(f"mixing by these weights takes {size} slots; give quanta")
-    quotas = [size * w / total for w in weights]
-    q = [int(x) for x in quotas]
-    for i in sorted(range(len(q)), key=lambda i: q[i] - quotas[i])[: max(0, size - sum(q))]:
-        q[i] += 1
-    return [max(1, x) for x in q]
-
-
-def earliest_deadlines(q: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(source, k, slot) for one period, of the blocks that there are; the same order as period()."""
-    p, taken = sum(q), [0] * len(q)
-    waiting, ready = [(0, i) for i in range(len(q))], []  # by release; by deadline
-    left = sum(map(min, q, blocks))
-    for t in range(p):
-        while waiting and waiting[0][0] <= t:
-            i = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (((taken[i] + 1) * p + q[i] - 1) // q[i], i))
-        i = heapq.heappop(ready)[1]
-        if taken[i] < blocks[i]:
-            yield i, taken[i], t
-            left -= 1
-            if not left:
-                return
-        taken[i] += 1
-        if taken[i] < q[i]:
-            heapq.heappush(waiting, (taken[i] * p // q[i], i))
-
-
-def exact_period(known: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
-    """Like period(), with quanta from the data; known: (source, weight), sizes: (source, rows)."""
-    weight = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).cast("double")
-    both = known.join(sizes.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    row = both.agg(F.array_sort(F.collect_list(F.struct("source", weight.alias("w"), F.expr(f"(rows + {block_rows - 1}) div {block_rows}").alias("blocks")))).alias("s")).where("size(s) > 0")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in b.column("s").to_pylist():
-                blocks = [x["blocks"] for x in s]
-                q = exact_quanta([x["w"] for x in s], blocks)
-                p, rows = sum(q), []
-                for x in earliest_deadlines(q, blocks):
-                    rows.append(x)
-                    if len(rows) == 10_000:  # bounded memory
-                        yield batch(s, q, p, rows)
-                        rows = []
-                if rows:
-                    yield batch(s, q, p, rows)
-
-    def batch(s: list, q: list[int], p: int, rows: list) -> pa.RecordBatch:
-        names = ["source", "q", "period", "k", "slot"]
-        made = [[s[i]["source"] for i, _, _ in rows], [q[i] for i, _, _ in rows], [p] * len(rows), [k for _, k, _ in rows], [t for _, _, t in rows]]
-        return pa.RecordBatch.from_arrays([pa.array(made[0], to_arrow_type(kind)), *(pa.array(x, pa.int64()) for x in made[1:])], names)
-
-    kind = known.schema["source"].dataType
-    shape = known.select("source").schema.add("q", "long").add("period", "long").add("k", "long").add("slot", "long")
-    return row.mapInArrow(run, shape)
+#: Blocks that each source of s has had before the slot m * size: acc.c are those before the slot (m - 1) * size.
+_ROUNDED = """
+  transform(array(transform(s, x -> (m * size * x.q) div w)),
+    low -> transform(array(transform(
+        slice(array_sort(filter(transform(s, (x, i) -> struct(if(acc.c[i] > low[i], 0, 1) as up, ((low[i] + 1) * w + x.q - 1) div x.q as deadline, i as i, (m * size * x.q) % w as rest)), y -> y.rest > 0)),
+          1, cast(m * size - aggregate(low, 0L, (a, n) -> a + n) as int)),
+        y -> y.i)),
+      ups -> transform(low, (n, i) -> n + if(array_contains(ups, i), 1L, 0L)))[0])[0]"""
+#: The order of one row: (i, k) for each slot, i = -1 where none is due. Slots go by 256, as appending copies.
+_PICKED = """
+  flatten(aggregate(sequence(0L, (n - 1) div 256), struct(transform(s, x -> 0L) as taken, cast(array() as array<array<struct<i: int, k: bigint>>>) as picks),
+    (all, c) -> transform(array(
+      aggregate(sequence(c * 256, least(n, c * 256 + 256) - 1), struct(all.taken as taken, cast(array() as array<struct<i: int, k: bigint>>) as picks),
+        (acc, t) -> transform(
+          array(array_min(transform(s, (x, i) -> if(acc.taken[i] < x.most and (acc.taken[i] * w) div x.q <= t,
+            struct(((acc.taken[i] + 1) * w + x.q - 1) div x.q as deadline, i as i), null)))),
+          best -> struct(transform(acc.taken, (k, i) -> if(i <=> best.i, k + 1, k)) as taken,
+            array_append(acc.picks, struct(coalesce(best.i, -1) as i, coalesce(acc.taken[best.i], -1L) as k)) as picks))[0])),
+      done -> struct(done.taken as taken, array_append(all.picks, done.picks) as picks))[0],
+    all -> all.picks))"""
+
+
+def schedule(known: DataFrame, sizes: DataFrame, block_rows: int, size: int = PERIOD) -> DataFrame:
+    """(source, q, period, k, slot): the slot of the kth block of each source that has a weight, over all its blocks; q / period is its share.
+
+    known: (source, weight), sizes: (source, rows); size: the slots of a row.
+    """
+    both = known.where("weight > 0").join(sizes.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    row = both.agg(F.sum("weight").alias("total"), F.collect_list(F.struct("source", F.col("weight").cast("double").alias("weight"), F.expr(f"(rows + {block_rows - 1}) div {block_rows}").alias("blocks"))).alias("s"))
+    share = f"greatest(1L, cast(floor({UNITS} * x.weight / total + 0.5) as bigint))"
+    row = row.where("size(s) > 0").select(F.expr(f"array_sort(transform(s, x -> struct(x.source as source, {share} as q, x.blocks as blocks)))").alias("s"), F.lit(size).cast("long").alias("size"))
+    row = row.withColumn("w", F.expr("aggregate(s, 0L, (a, x) -> a + x.q)"))
+    row = row.withColumn("slots", F.expr("array_max(transform(s, x -> cast(ceil(x.blocks / x.q * w) as bigint) + 1))"))
+    row = row.withColumn("slots", F.expr(f"if(slots <= {UNITS}, slots, cast(raise_error('mixing takes over {UNITS} slots; take larger blocks') as bigint))"))
+    one = row.where("slots <= size").select("w", F.lit(0).cast("long").alias("t"), F.col("slots").alias("n"), F.expr("transform(s, x -> struct(x.source as source, x.q as q, 0L as first, x.blocks as most, x.q as share))").alias("s"), F.col("w").alias("period"))
+    ends = F.expr(f"""aggregate(sequence(1L, (slots - 1) div size + 1), struct(transform(s, x -> 0L) as c, array(transform(s, x -> 0L)) as all),
+      (acc, m) -> transform(array({_ROUNDED}), c -> struct(c as c, array_append(acc.all, c) as all))[0], acc -> acc.all)""")
+    cuts = row.where("slots > size").withColumn("ends", ends).select("s", "w", "size", "ends", F.explode(F.expr("sequence(0, size(ends) - 2)")).alias("m"))
+    cuts = cuts.select("w", "size", "m", "s", F.expr("ends[m]").alias("c0"), F.expr("ends[m + 1]").alias("c1")).repartition("m")
+    of = "filter(transform(s, (x, i) -> struct(x.source as source, c1[i] - c0[i] as q, c0[i] as first, least(c1[i], x.blocks) - c0[i] as most, x.q as share)), x -> x.most > 0)"
+    cuts = cuts.select(F.col("size").alias("w"), F.expr("m * size").alias("t"), F.col("size").alias("n"), F.expr(of).alias("s"), F.col("w").alias("period"))
+    slots = one.union(cuts).where("size(s) > 0").select("s", "t", "period", F.posexplode(F.expr(_PICKED)).alias("j", "p")).where("p.i >= 0")
+    return slots.select(F.expr("s[p.i].source").alias("source"), F.expr("s[p.i].share").alias("q"), "period", F.expr("s[p.i].first + p.k").alias("k"), (F.col("t") + F.col("j")).alias("slot"))
 
 
 def tempered(docs: DataFrame, power: float = 0.5) -> DataFrame:
@@ -136,29 +112,37 @@ def order_key() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
+MIXED = ("q", "period", "block", "slot", "release", "deadline", "place")
+
+
 def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 16, quanta: int | None = 256) -> DataFrame:
     """docs with q, period, block, slot, release, deadline and place: (slot, place) is the mixed order.
 
-    Within a source, rows come in the order of a hash of their ids. weights: (source, weight). quanta: None chooses them from the data.
+    Within a source, rows come in the order of a hash of their ids. weights: (source, weight). quanta: None takes the weights as they are.
     """
-    sources = docs.select("source").distinct()
-    given = weights.where("weight is not null").groupBy("source").agg(F.max("weight").alias("weight"))
-    known = sources.join(given, sources["source"].eqNullSafe(given["source"]), "left").select(sources["source"], "weight")
-    once = cut(period(with_quanta(known, quanta)) if quanta else exact_period(known, docs.groupBy("source").agg(F.count("*").alias("rows")), block_rows))
+    keep = [c for c in docs.columns if c not in MIXED]
+    docs = docs.select(F.struct(*keep).alias("_doc"), "doc_id", "source")  # so no column's name can clash
+    sizes = cut(docs.groupBy("source").agg(F.count("*").alias("rows")))
+    given = weights.where("weight is not null").groupBy(F.col("source").alias("_s")).agg(F.max("weight").alias("weight"))
+    known = sizes.join(given, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "weight")
+    once = cut(period(with_quanta(known, quanta)) if quanta else schedule(known, sizes, block_rows))
     slots = once.count()
-    digits = hex_digits_for(docs.count(), 2000)
+    digits = hex_digits_for(sizes.agg(F.sum("rows")).first()[0] or 0, 2000)
+    drop(sizes)
     keyed = docs.withColumn("_h", order_key()).withColumn("_cell", F.substring("_h", 1, digits))
     numbered = number_rows(keyed, "source", "_cell", ["_h"], "_n").withColumn("block", F.expr(f"_n div {block_rows}"))
-    sizes = cut(once.groupBy("source").agg(F.first("q").alias("q"), F.first("period").alias("period")))
-    sizes, order = sizes.withColumnRenamed("source", "_s"), once.select(F.col("source").alias("_o"), "k", F.col("slot").alias("_slot"))
-    if slots <= BROADCAST_SLOTS:
-        sizes, order = F.broadcast(sizes), F.broadcast(order)
-    sized = numbered.join(sizes, numbered["source"].eqNullSafe(sizes["_s"]))
-    sized = sized.withColumn("_k", F.expr("block % q"))
-    placed = sized.join(order, sized["source"].eqNullSafe(order["_o"]) & (sized["_k"] == order["k"]))
+    order = once.select(F.col("source").alias("_o"), F.col("k").alias("_k"), "q", "period", F.col("slot").alias("_slot"))
+    order = F.broadcast(order) if slots <= BROADCAST_SLOTS else order
+    if quanta:
+        shares = once.groupBy(F.col("source").alias("_s")).agg(F.max("q").alias("_q"))
+        shares = F.broadcast(shares) if slots <= BROADCAST_SLOTS else shares
+        numbered = numbered.join(shares, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_at", F.expr("block % _q"))
+    else:
+        numbered = numbered.withColumn("_at", F.col("block"))
+    placed = numbered.join(order, F.col("source").eqNullSafe(F.col("_o")) & (F.col("_at") == F.col("_k")), "left")
     return placed.select(
-        *docs.columns, "q", "period", "block",
-        F.expr("block div q * period + _slot").alias("slot"),
+        "_doc.*", "q", "period", "block",
+        F.expr("block div q * period + _slot" if quanta else "_slot").alias("slot"),
         F.expr("block * period div q").alias("release"),
         F.expr("((block + 1) * period + q - 1) div q").alias("deadline"),
         F.expr(f"_n % {block_rows}").alias("place"),
@@ -167,7 +151,7 @@ def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 16, quanta: int |
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs, tempered(docs))
+    return mix(docs, tempered(docs), quanta=None)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -182,24 +166,25 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.repartitionById(parts, part).sortWithinPartitions("slot", "place").select("_doc.*")
 
 
+#: Up to PERIOD slots, which is 16 * PERIOD rows or somewhat less; beyond it, tests hold the periods against plain Python.
 OP1_SQL = """
-WITH RECURSIVE w AS (SELECT source, sqrt(count(*)::DOUBLE) AS weight, count(*) AS n FROM documents GROUP BY source),
-q0 AS (SELECT source, greatest(1, floor(256 * weight / (SELECT sum(weight) FROM w) + 0.5))::BIGINT AS q FROM w),
-q AS (SELECT source, q, row_number() OVER (ORDER BY source NULLS FIRST) AS i, sum(q) OVER ()::BIGINT AS p FROM q0),
-a AS (SELECT list(q ORDER BY i) AS qs, max(p) AS p, max(i) AS n FROM q),
+WITH RECURSIVE n AS (SELECT source, count(*) AS rows, sqrt(count(*)::DOUBLE) AS weight FROM documents GROUP BY source),
+q AS (SELECT source, (rows + 15) // 16 AS blocks, greatest(1, floor(1073741824 * weight / (SELECT sum(weight) FROM n) + 0.5))::BIGINT AS q, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM n),
+u AS (SELECT sum(q)::BIGINT AS w FROM q),
+a AS (SELECT list(q ORDER BY i) AS qs, list(blocks ORDER BY i) AS most, sum(q)::BIGINT AS w, count(*) AS n, max(ceil(blocks / q * (SELECT w FROM u)))::BIGINT + 1 AS slots FROM q),
 e(t, taken, pick) AS (
   SELECT -1::BIGINT, list_transform(qs, lambda x: 0::BIGINT), 0::BIGINT FROM a
   UNION ALL
-  SELECT t + 1, list_transform(taken, lambda x, i: CASE WHEN i = best THEN x + 1 ELSE x END), best
+  SELECT t + 1, list_transform(taken, lambda x, i: CASE WHEN i = best THEN x + 1 ELSE x END), coalesce(best, 0)
   FROM (
-    SELECT e.t, e.taken, p, (list_sort(list_filter(
-      list_transform(range(1, n + 1), lambda i: CASE WHEN taken[i] < qs[i] AND taken[i] * p // qs[i] <= e.t + 1
-        THEN [((taken[i] + 1) * p + qs[i] - 1) // qs[i], i] END), lambda x: x IS NOT NULL)))[1][2] AS best
-    FROM e, a WHERE e.t + 1 < p)
+    SELECT e.t, e.taken, (list_sort(list_filter(
+      list_transform(range(1, n + 1), lambda i: CASE WHEN taken[i] < most[i] AND taken[i] * w // qs[i] <= e.t + 1
+        THEN [((taken[i] + 1) * w + qs[i] - 1) // qs[i], i] END), lambda x: x IS NOT NULL)))[1][2] AS best
+    FROM e, a WHERE e.t + 1 < slots)
 ),
 s AS (SELECT t AS slot, pick AS i, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM e WHERE pick > 0),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR)) - 1 AS n FROM documents)
-SELECT d.doc_id, d.source, q.q, q.p AS period, n // 16 AS block, n // 16 // q.q * q.p + s.slot AS slot,
-  n // 16 * q.p // q.q AS release, ((n // 16 + 1) * q.p + q.q - 1) // q.q AS deadline, n % 16 AS place
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN s ON s.i = q.i AND s.k = (n // 16) % q.q
+SELECT d.doc_id, d.source, q.q, u.w AS period, n // 16 AS block, s.slot,
+  n // 16 * u.w // q.q AS release, ((n // 16 + 1) * u.w + q.q - 1) // q.q AS deadline, n % 16 AS place
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN s ON s.i = q.i AND s.k = n // 16, u
 """

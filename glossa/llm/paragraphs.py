@@ -23,12 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from .common import cut, drop, table
-from .linking import classes, shared, spanning
+from .linking import bitmap, classes, may_link, possible, shared, spanning
 
 BANDS, ROWS = 10, 4
 BITS = 256
@@ -62,15 +62,6 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return mixed.view(np.int64)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BITS / 64 words for each set: a bit for each element, by its hash."""
-    out = np.zeros((len(sets), BITS // 64), np.uint64)
-    for i, s in enumerate(sets):
-        at = (s >> np.uint64(40)) % np.uint64(BITS)
-        np.bitwise_or.at(out[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out.view(np.int64)
-
-
 def paragraphs(text: str | None, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
     """(line, start, end, lower-cased words) of each paragraph of `least` words or more; offsets in characters."""
     at = 0
@@ -117,10 +108,10 @@ def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float
                 numbers = np.array(rows, np.int32)
                 bands, bits, small = ([none] * len(rows) for _ in range(3))
                 if sets:
-                    for j, s, keys, bitmap in zip(new, sets, band_keys(sets), bitmaps(sets), strict=True):
+                    for j, s, keys in zip(new, sets, band_keys(sets), strict=True):
                         alone = len(s) < threshold * (len(s) + 1) - 1e-9
                         bands[j] = np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64) if alone else keys
-                        bits[j], small[j] = bitmap, np.unique(s.astype(np.uint32)).view(np.int32)
+                        bits[j], small[j] = bitmap(s, BITS), np.unique(s.astype(np.uint32)).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array(ids, np.uint64).view(np.int64)), lists(bands, np.int64), lists(bits, np.int64), lists(small, np.int32)],
                     ["doc_id", "para", "start", "end", "n_words", "id", "bands", "bits", "shingles"],
@@ -134,14 +125,9 @@ def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: f
     found = cut(with_paragraphs(docs, least, threshold))
     given = found.where("size(bands) > 0")  # once for each id and task at least
     keyed = shared(given.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
-    near = keyed.select("id").distinct()
-    near = F.broadcast(near) if keyed.count() <= BROADCAST_ASKED else near
-    traits = cut(given.join(near, "id", "left_semi").groupBy("id").agg(F.first(F.struct("bits", F.size("shingles").alias("n"))).alias("trait")))
-
-    def may_link(a: Column, b: Column) -> Column:
-        """No two bitmaps of a link differ by more; a set of n shingles can differ from one of m in (n + m)(1 - t)/(1 + t)."""
-        apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(BITS // 64)), F.lit(0))
-        return apart <= (1 - threshold) / (1 + threshold) * (a["n"] + b["n"]) + 1e-9
+    sharing = keyed.select("id").distinct()
+    sharing = F.broadcast(sharing) if keyed.count() <= BROADCAST_ASKED else sharing
+    traits = cut(given.join(sharing, "id", "left_semi").groupBy("id").agg(F.first(F.struct("bits", F.size("shingles").alias("n"))).alias("trait")))
 
     def held(pairs: DataFrame) -> DataFrame:
         """Pairs of an exact Jaccard similarity of the threshold."""
@@ -152,13 +138,8 @@ def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: f
         shared_by = F.size(F.array_intersect("x", "y"))
         return both.where(shared_by >= threshold * (F.size("x") + F.size("y") - shared_by)).select("a", "b")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """True links that join the same items as all true links among the pairs, whose bitmaps are looked at first."""
-        of = lambda c, t: traits.select(F.col("id").alias(c), F.col("trait").alias(t))
-        pairs = cut(pairs.join(of("a", "s"), "a").join(of("b", "t"), "b").where(may_link(F.col("s"), F.col("t"))).select("a", "b"))
-        return spanning(pairs, held)
-
-    joined = classes(keyed, verify, may_link, traits)
+    near = may_link(threshold, BITS)
+    joined = classes(keyed, lambda pairs: spanning(possible(pairs, traits, near), held), near, traits)
     items = found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "para")).alias("first"))
     named = items.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     size = named.groupBy("class").agg(F.sum("n").alias("members"), F.min("first").alias("class_first")).where("members > 1")

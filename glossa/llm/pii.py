@@ -1,36 +1,40 @@
 """Personal data replaced by surrogates: keyed, consistent in type and format, and the same for the same entity everywhere.
 
 Found are e-mail addresses, phone and card numbers, IPv4 addresses, IBANs, social security numbers, long hexadecimal
-secrets and names after a title. A surrogate is drawn from a keyed hash (SHA-512 over key, type, attempt and the normalised
-entity): each digit becomes a digit, each letter one of its script and case, hexadecimal stays hexadecimal, an IP
-address becomes a valid one, a card number with a right check digit gets one; separators stay. Given names keep the title's gender by their ending,
-all names their script. So a mention of the same entity gets the same surrogate in any document, however it is written.
+secrets, names after a title, and in the same text every further mention of a part of such a name, with a title or without. A surrogate is drawn from a keyed
+hash (SHA-512 over key, type, attempt and the normalised entity): each digit becomes a digit, each letter one of its script and case, hexadecimal stays
+hexadecimal, an IP address becomes a valid one, a card number with a right check digit gets one; separators stay. Given names keep the title's gender by
+their ending; names in Cyrillic or Greek letters keep their script, others are Latin. So a mention of the same entity gets the same surrogate in any document, however it is written.
 
 Collision checks keep distinct entities distinct: over all entities of the table, a surrogate that two
-entities would share, or that is an entity of the table itself, is drawn anew (attempt 1, 2, ...) until none is left. The few
+entities would share, or that is an entity of the table itself, is drawn anew (attempt 1, 2, ...) until none is left; names grow longer with each
+attempt, and only if a format has no room for its entities there is an error. The few
 redrawn entities are looked up while replacing: as a literal map while they are at most LITERAL_ROWS, else by a join.
+Which entities are redrawn depends on the table, so tables that must agree have to be replaced together.
 
-The key is GLOSSA_PII_KEY in the driver's environment. It is part of the plan, so plans are as secret as the key.
+The key is GLOSSA_PII_KEY in the driver's environment; without it, each call draws a random key of its own. It is part of the plan, so plans are as secret as the key.
 
 Defined results: a null text stays null and a text without entities stays as it is; texts of any length are searched whole; repeated rows are
-replaced alike; an empty table gives an empty result; other columns stay, whatever their names.
+replaced alike; an empty table gives an empty result; other columns stay, whatever their names, but for `_entities`, which is replaced.
 DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 
 #: Redrawn entities up to which they are a literal in the plan; beyond it, they are joined.
 LITERAL_ROWS = 2000
-ATTEMPTS = 40
-MALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|Господин"
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа"
+#: Attempts in a row that settle nothing, after which a format counts as full.
+FRUITLESS = 20
+MALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|Господин|Κύριος|Κος"
+FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа|Κυρία|Κα"
 EDGE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 GAP = r"[^\p{L}\p{N}]{1,6}"
@@ -52,7 +56,7 @@ PATTERN = "|".join((
     rf"{EDGE}(?:{MALE}|{FEMALE})\.? {NAME}(?: {NAME})?",
 ))
 #: A text without any of these has no entity.
-HINT = rf"[0-9@]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|[a-fA-F]{{32}}|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 
 #: The type of the match {e}, and the normal form of an entity {v} of type {t}, as SQL.
 TYPE = (
@@ -62,8 +66,13 @@ TYPE = (
 )
 NORM = r"if({t} in ('email', 'ip') or {t} like '%name', lower({v}), lower(regexp_replace({v}, r'[^\p{{L}}\p{{N}}]', '')))"
 LETTERS = {r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsHan}": "安白丁方高何江林明文学德华英海春东云天平"}
-SYLLABLES = {r"\p{IsCyrillic}": "ба,ве,го,ди,жа,зе,ки,ло,ма,не,по,ри,са,те,фи,ху", "": "ba,ce,do,fi,ga,he,jo,ka,le,mi,no,pa,re,si,to,vu"}
-ENDINGS = {r"\p{IsCyrillic}": {"man_name": "н,р,с,й", "woman_name": "на,ра,са,ля", "surname": "ко,дзе,чук,нер"}, "": {"man_name": "n,rd,s,lf", "woman_name": "na,ra,lia,tta", "surname": "ster,mann,ley,nder"}}
+SYLLABLES = {r"\p{IsCyrillic}": "ба,ве,го,ди,жа,зе,ки,ло,ма,не,по,ри,са,те,фи,ху", r"\p{IsGreek}": "βα,γε,δι,ζο,θε,κα,λυ,μα,νι,πο,ρα,σε,τι,φω,χα,ψε", "": "ba,ce,do,fi,ga,he,jo,ka,le,mi,no,pa,re,si,to,vu"}
+ENDINGS = {r"\p{IsCyrillic}": {"man_name": "н,р,с,й", "woman_name": "на,ра,са,ля", "surname": "ко,дзе,чук,нер"}, r"\p{IsGreek}": {"man_name": "ς,νος,ρης,λας", "woman_name": "να,ρα,λια,τη", "surname": "δης,πουλος,κος,ιδης"}, "": {"man_name": "n,rd,s,lf", "woman_name": "na,ra,lia,tta", "surname": "ster,mann,ley,nder"}}
+
+
+def _quoted(text: str) -> str:
+    """A string literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _byte(i: str) -> str:
@@ -100,14 +109,15 @@ def _drawn(key: str, t: str, v: str, n: str, a: str) -> str:
     name = "''"
     for script, syllables in list(SYLLABLES.items())[::-1]:
         ends = " ".join(f"when '{kind}' then {_pick(x, _byte('4'))}" for kind, x in ENDINGS[script].items())
-        made = f"initcap(concat({', '.join(_pick(syllables, _byte(str(i))) for i in range(3))}, if({a} > 3, {_pick(syllables, _byte('3'))}, ''), case {t} {ends} end))"
+        more = f"if({a} > 0, array_join(transform(sequence(1, cast({a} as int)), i -> {_pick(syllables, _byte('4 + i'))}), ''), '')"
+        made = f"initcap(concat({', '.join(_pick(syllables, _byte(str(i))) for i in range(3))}, {more}, case {t} {ends} end))"
         name = f"if({v} rlike r'{script}', {made}, {name})" if script else made
     name = f"if({v} = upper({v}) and length({v}) > 1, upper({name}), {name})"
     body = "regexp_replace(substr(w, 1, length(w) - 1), '[ -]', '')"
     checked = f"concat(substr(w, 1, length(w) - 1), string((10 - {_luhn(f'concat({body}, 0)')}) % 10))"
     card = f"if({_luhn(f'regexp_replace({v}, r"[ -]", r"")')} = 0, transform(array({walk}), w -> {checked})[0], {walk})".replace('"', "'")
     return (
-        f"transform(array(sha2(concat_ws('|', '{key}', {t}, string({a}), {n}), 512)), h ->"
+        f"transform(array(sha2(concat_ws('|', {_quoted(key)}, {t}, string({a}), {n}), 512)), h ->"
         f" case when {t} = 'ip' then {ip} when {t} like '%name' then {name} when {t} = 'card' then {card} else {walk} end)[0]"
     )
 
@@ -125,6 +135,12 @@ def _entities(e: str) -> str:
     return f"flatten(transform(array({t}), k -> if(k like '%name', {part}, array({made('k', e)}))))"
 
 
+def _mentions(e: str, names: str) -> str:
+    """Like _entities, for a match that may be a part of a name that `names`, entities of the same text, holds."""
+    same = f"filter({names}, x -> x.n = lower({e}))"
+    return f"if(size({same}) > 0, array(named_struct('t', {same}[0].t, 'n', lower({e}), 'v', {e})), {_entities(e)})"
+
+
 def matches(text: str) -> Column:
     """The matches in a text; texts without a hint aren't searched."""
     return F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -147,10 +163,9 @@ def redrawn(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         return bad.distinct()
 
     wrong = cut(colliding(real, None))
-    kept, out = real, None
-    for attempt in range(1, ATTEMPTS):
-        if not wrong.head(1):
-            break
+    kept, out, attempt, fruitless, left = real, None, 0, 0, wrong.count()
+    while left:
+        attempt += 1
         settled = kept.join(wrong, ["t", "n"], "left_anti") if out is None else kept
         new = cut(wrong.withColumn("s", drawn(str(attempt))).withColumn("s", normal("s")))
         wrong = cut(colliding(new, settled))
@@ -158,38 +173,51 @@ def redrawn(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         kept = cut(settled.union(done))
         row = done.select(F.concat_ws("|", "t", "n").alias("id"), F.lit(attempt).alias("attempt"))
         out = row if out is None else out.union(row)
-    else:
-        raise RuntimeError("surrogates: too many entities for their formats")
-    return cut(out) if out is not None else docs.sparkSession.createDataFrame([], "id string, attempt int")
+        before, left = left, wrong.count()
+        fruitless = fruitless + 1 if left == before else 0
+        if fruitless == FRUITLESS:
+            raise RuntimeError("surrogates: more entities than their formats have room for")
+    found = cut(out) if out is not None else docs.sparkSession.createDataFrame([], "id string, attempt int")
+    drop(real)
+    return found
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the entities of the text replaced, and _entities, their number."""
-    again = redrawn(docs, key, text)
+    names = [c for c in docs.columns if c != "_entities"]
+    held = docs.select(F.struct(*names).alias("_doc"), F.col(text).alias("_text"))  # so no column's name can clash
+    again = redrawn(held, key, "_text")
     attempt, n = "0", again.count()
-    held = docs
     if 0 < n <= LITERAL_ROWS:
-        pairs = ", ".join(f"'{r['id']}', {r['attempt']}" for r in again.collect())
+        pairs = ", ".join(f"{_quoted(r['id'])}, {r['attempt']}" for r in again.collect())
         attempt = f"coalesce(element_at(map({pairs}), concat_ws('|', x.t, x.n)), 0)"
     elif n:
-        names = docs.columns
-        marked = docs.withColumn("_row", F.xxhash64(text))
-        asked = marked.select("_row", F.explode(matches(text)).alias("e")).select("_row", F.inline(F.expr(_entities("e"))))
+        marked = held.withColumn("_row", F.xxhash64("_text"))
+        asked = marked.select("_row", F.explode(matches("_text")).alias("e")).select("_row", F.inline(F.expr(_entities("e"))))
         asked = asked.select("_row", F.concat_ws("|", "t", "n").alias("id")).distinct().join(again, "id")
         of = asked.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("id", "attempt"))).alias("_map"))
-        held = marked.join(of, "_row", "left").select(*names, "_map")
+        held = marked.join(of, "_row", "left")
         attempt = "coalesce(element_at(_map, concat_ws('|', x.t, x.n)), 0)"
-    new = f"concat({_title('e')}, array_join(transform({_entities('e')}, x -> {_drawn(key, 'x.t', 'x.v', 'x.n', attempt)}), ' '))"
-    held = held.withColumn("_found", matches(text)).withColumn("_new", F.expr(f"transform(_found, e -> {new})"))
-    parts = F.split(F.col(text), PATTERN, -1)  # between the matches
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    replaced = F.when(F.size("_found") > 0, joined).otherwise(F.col(text))
-    return held.select(*(replaced.alias(c) if c == text else F.col(c) for c in docs.columns), F.size("_found").alias("_entities"))
+    held = held.withColumn("_first", matches("_text"))
+    held = held.withColumn("_names", F.expr(f"filter(flatten(transform(_first, e -> {_entities('e')})), x -> x.t like '%name')"))
+    bare = r"concat('\\Q', x, '\\E')"  # NAME allows no backslash
+    parts = f"array_join(transform(array_distinct(flatten(transform(filter(_names, x -> length(x.v) > 1), x -> array(x.v, upper(x.v))))), x -> {bare}), '|')"
+    held = held.withColumn("_parts", F.expr(parts))
+    # in texts with names, their parts are found too, wherever they stand
+    wide = F.concat(F.lit(f"{PATTERN}|{EDGE}(?:"), F.col("_parts"), F.lit(f"){END}"))
+    named = F.col("_parts") != ""
+    held = held.withColumn("_found", F.when(named, F.regexp_extract_all("_text", wide, F.lit(0))).otherwise(F.col("_first")))
+    new = f"concat({_title('e')}, array_join(transform({_mentions('e', '_names')}, x -> {_drawn(key, 'x.t', 'x.v', 'x.n', attempt)}), ' '))"
+    held = held.withColumn("_new", F.expr(f"transform(_found, e -> {new})"))
+    between = F.when(named, F.split(F.col("_text"), wide, -1)).otherwise(F.split(F.col("_text"), PATTERN, -1))
+    joined = F.array_join(F.flatten(F.zip_with(between, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    replaced = F.when(F.size("_found") > 0, joined).otherwise(F.col("_text"))
+    return held.select(*((replaced if c == text else F.col("_doc").getField(c)).alias(c) for c in names), F.size("_found").alias("_entities"))
 
 
 def secret() -> str:
-    """The key of the surrogates: GLOSSA_PII_KEY, or a fixed one for tests."""
-    return os.environ.get("GLOSSA_PII_KEY", "surrogates")
+    """The key of the surrogates: GLOSSA_PII_KEY, or a random one."""
+    return os.environ.get("GLOSSA_PII_KEY") or secrets.token_hex(32)
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicate documents by the exact Jaccard similarity of their word shingles.
 
 A text is the set of the 64-bit hashes of its shingles. BANDS bands of ROWS minima each find the candidates: of pairs at a
-similarity of 0.8, one in seven million shares no band, above it fewer. A link needs the exact similarity; the sets
+similarity of 0.8, one in 2,800 shares no band, above it fewer. Bitmaps of the sets, by a bound that no link breaks, leave out most others. A link needs the exact similarity; the sets
 are made anew for the documents asked for, so that neither texts nor sets of the others are kept or shuffled.
 
 Texts of equal sets are one item throughout (by 64-bit hash), so copies never form pairs. Defined results: null and empty texts, and
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from .common import cut, drop
-from .linking import classes, shared, spanning
+from .linking import bitmap, classes, may_link, possible, shared, spanning
 
 SEED = 42
-BANDS, ROWS = 30, 4
+BANDS, ROWS, BITS = 20, 5, 1024
 THRESHOLD = 0.8
 #: Documents to verify up to which their ids are broadcast, so that the texts of the others aren't shuffled.
 BROADCAST_ASKED = 200_000
@@ -71,21 +71,22 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
-def _with(docs: DataFrame, text: str, keep: list[str], shingle: int, column: str, made) -> DataFrame:
-    """The columns `keep` of docs, id, and `column`: the longs that `made` gives for the text's set."""
-    schema = docs.select(*keep).schema.add("id", "long").add(column, ArrayType(LongType()))
+def _with(docs: DataFrame, text: str, keep: list[str], shingle: int, columns: dict) -> DataFrame:
+    """The columns `keep` of docs, id, n, the size of the text's set, and columns of the longs that functions of the set give."""
+    schema = docs.select(*keep).schema.add("id", "long").add("n", "long")
+    for c in columns:
+        schema = schema.add(c, ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 128):  # bounded memory
                 part = b.slice(at, 128)
-                ids, lists = [], []
-                for t in part.column(text).to_pylist():
-                    s = shingle_set(t, shingle)
-                    ids.append(item(s))
-                    lists.append(made(s).view(np.int64))
-                ends = pa.array(np.cumsum([0, *map(len, lists)], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists)))], [*keep, "id", column])
+                sets = [shingle_set(t, shingle) for t in part.column(text).to_pylist()]
+                made = [pa.array([item(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+                for of in columns.values():
+                    lists = [of(s).view(np.int64) for s in sets]
+                    made.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)], dtype=np.int32)), pa.array(np.concatenate(lists))))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *made], [*keep, "id", "n", *columns])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
@@ -93,10 +94,11 @@ def _with(docs: DataFrame, text: str, keep: list[str], shingle: int, column: str
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = 5) -> DataFrame:
     """(doc_id, component_id): one row a document with an id; component_id is the smallest id that links reach."""
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_doc_id"), F.col(text).alias("_text"))
-    marked = cut(_with(docs, "_text", ["_doc_id"], shingle, "bands", band_keys))
+    marked = cut(_with(docs, "_text", ["_doc_id"], shingle, {"bands": band_keys, "bits": lambda s: bitmap(s, BITS)}))
     firsts = cut(marked.groupBy("id").agg(F.min("_doc_id").alias("_first")))
-    keyed = marked.join(firsts, (marked["id"] == firsts["id"]) & (F.col("_doc_id") == F.col("_first"))).select(marked["id"], "bands")
-    keyed = shared(keyed.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
+    items = marked.join(firsts.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("_doc_id") == F.col("_first")))
+    keyed = shared(items.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
+    traits = cut(items.join(keyed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first(F.struct("bits", "n")).alias("trait")))
 
     def held(pairs: DataFrame) -> DataFrame:
         """Pairs of an exact Jaccard similarity of the threshold."""
@@ -104,15 +106,16 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         asked = cut(firsts.join(asked, "id").select(F.col("id").alias("_asked"), "_first"))
         asked = F.broadcast(asked) if asked.count() <= BROADCAST_ASKED else asked
         texts = docs.join(asked, F.col("_doc_id") == F.col("_first")).select("_asked", "_text")
-        sets = _with(texts, "_text", ["_asked"], shingle, "s", lambda s: s).where("id = _asked")  # an id may have several texts
+        sets = _with(texts, "_text", ["_asked"], shingle, {"s": lambda s: s}).where("id = _asked")  # an id may have several texts
         sets = cut(sets.dropDuplicates(["id"]).select("id", "s"))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    joined = classes(keyed, lambda pairs: spanning(cut(pairs), held))
+    near = may_link(threshold, BITS)
+    joined = classes(keyed, lambda pairs: spanning(possible(pairs, traits, near), held), near, traits)
     named = firsts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("_first").alias("component_id"))
     of = cut(named.join(least, "component").select("id", "component_id"))
-    drop(keyed, firsts)
+    drop(keyed, traits, firsts)
     return marked.select("_doc_id", "id").join(of, "id").select(F.col("_doc_id").alias(doc_id), "component_id")

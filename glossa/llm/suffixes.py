@@ -4,14 +4,14 @@ Suffixes of texts, in words, are retained at minimisers only: positions whose ha
 neighbouring ones. The choice depends on the words alone, so any two copies of a passage of LENGTH words retain a suffix at the same
 place within the first WINDOW words, and these suffixes agree in their first PREFIX = LENGTH - WINDOW + 1 words.
 
-Sorted by the hash of these words, suffixes that agree are neighbours, so comparing neighbours is comparing keys; it is done
-by an aggregate that counts each key, combined before the shuffle, since a passage may be in a third of all documents and
-its suffixes must not meet in one task. The suffixes that have a neighbour are extended to the left and to the right:
-every run of LENGTH words around them is held against all others in the same way, and runs found again, put
-together, are the passages at their full length.
+The array holds the retained suffixes, and is sorted by these words' hashes: its rows are dealt out by ranges of (hash, text, place), so that a passage that a third of
+all documents share spreads over as many tasks as its rows need, and sorted within each. Each suffix is compared with the one before and the one after it; the first and
+last rows of every range are compared across ranges. The suffixes that agree with a neighbour are extended to the left and to the right: the runs of LENGTH
+words around them are sorted and compared with their neighbours in the same way, and runs found again, put together, are the passages at their full
+length. (Extending a suffix against its two neighbours alone would lose matches, since the neighbour that goes on longest to the right needn't be the one that agrees to the left.)
 
-So a word is reported exactly if it lies in a run of LENGTH words that occurs elsewhere, in another text or in the same one
-(up to collisions of 64-bit hashes). Words are lower-cased and parted by blanks. Equal texts are taken once; copies are repeated as a whole.
+So a word is reported exactly if it lies in a run of LENGTH words that occurs elsewhere, in another text or in the same one. Words are compared by two independent
+hashes of 96 bits together, a rolling one of the words and one of their bytes. Words are lower-cased and parted by blanks. Equal texts are taken once; copies are repeated as a whole.
 
 Defined results: null and empty texts, and those of fewer than LENGTH words, have no passages; rows repeated as a whole are copies of
 each other; texts of any length are taken whole; an empty table gives an empty result.
@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import StructType
 
-from .common import cut, table
+from .common import cut, drop, table
 
 LENGTH, WINDOW, GRAM = 50, 25, 8
 PREFIX = LENGTH - WINDOW + 1
@@ -47,6 +47,8 @@ class Runs:
             size = 2 * n + 2
             Runs.powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, _P))), dtype=np.uint64)
             Runs.inverses = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, _P_INVERSE))), dtype=np.uint64)
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+        self.bytes = b" ".join(words)
         each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
         self.sums = np.concatenate(([np.uint64(0)], np.cumsum(each * Runs.powers[:n], dtype=np.uint64)))
 
@@ -56,6 +58,13 @@ class Runs:
         return h ^ (h >> np.uint64(29))
 
 
+    def checks(self, at: np.ndarray, length: int) -> np.ndarray:
+        """32 more bits, of the words' bytes."""
+        starts, view = np.where(at > 0, self.ends[at - 1] + 1, 0), memoryview(self.bytes)
+        found = (xxhash.xxh32_intdigest(view[a:b]) for a, b in zip(starts.tolist(), self.ends[at + length - 1].tolist(), strict=True))
+        return np.fromiter(found, np.uint32, len(at)).view(np.int32)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
@@ -74,64 +83,105 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)], dtype=np.int32)), pa.array(np.concatenate([*arrays, np.empty(0, kind)]).astype(kind)))
 
 
+PLACES = "at array<int>, keys array<long>, checks array<int>"
+
+
+def _places(runs: list[Runs], at: list[np.ndarray], length: int) -> list[pa.ListArray]:
+    return [
+        _lists(at, np.int32),
+        _lists([r.hashes(x, length).view(np.int64) for r, x in zip(runs, at, strict=True)], np.int64),
+        _lists([r.checks(x, length) if len(x) else np.empty(0, np.int32) for r, x in zip(runs, at, strict=True)], np.int32),
+    ]
+
+
+def text_key() -> Column:
+    return F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
+
+
 def with_suffixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_words, at, keys): the retained suffixes of each text, by place and hash of their prefix."""
-    shape = docs.select("doc_id").schema.add("text_key", "string").add("n_words", "long").add("at", ArrayType(IntegerType())).add("keys", ArrayType(LongType()))
+    """(doc_id, text_key, n_words, at, keys, checks): the retained suffixes of each text, by place and hashes of their prefix."""
+    shape = StructType([*docs.select("doc_id").schema.add("text_key", "binary").add("n_words", "long").fields, *StructType.fromDDL(PLACES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                at, keys, sizes = [], [], []
-                for text in part.column("text").to_pylist():
-                    runs = Runs(words_of(text))
-                    at.append(minimisers(runs))
-                    keys.append(runs.hashes(at[-1], PREFIX).view(np.int64))
-                    sizes.append(runs.n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), _lists(at, np.int32), _lists(keys, np.int64)], ["doc_id", "text_key", "n_words", "at", "keys"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                runs = [Runs(words_of(text)) for text in part.column("text").to_pylist()]
+                made = _places(runs, [minimisers(r) for r in runs], PREFIX)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([r.n for r in runs], pa.int64()), *made], [f.name for f in shape])
 
-    return docs.select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_key"), "text").mapInArrow(run, shape)
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, shape)
 
 
 def with_runs(texts: DataFrame) -> DataFrame:
-    """(tid, starts, keys) of (tid, text, at): the runs of LENGTH words around the suffixes at `at`."""
-    shape = texts.select("tid").schema.add("starts", ArrayType(IntegerType())).add("keys", ArrayType(LongType()))
+    """(tid, at, keys, checks) of (tid, text, at): the runs of LENGTH words around the suffixes at `at`."""
+    shape = StructType([*texts.select("tid").schema.fields, *StructType.fromDDL(PLACES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                starts, keys = [], []
-                for text, at in zip(part.column("text").to_pylist(), part.column("at").to_pylist(), strict=True):
-                    runs = Runs(words_of(text))
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                runs, starts = [Runs(words_of(text)) for text in part.column("text").to_pylist()], []
+                for r, at in zip(runs, part.column("at").to_pylist(), strict=True):
                     near = np.unique((np.array(at, np.int64)[:, None] - np.arange(WINDOW)).ravel())
-                    starts.append(near[(near >= 0) & (near + LENGTH <= runs.n)])
-                    keys.append(runs.hashes(starts[-1], LENGTH).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("tid"), _lists(starts, np.int32), _lists(keys, np.int64)], ["tid", "starts", "keys"])
+                    starts.append(near[(near >= 0) & (near + LENGTH <= r.n)])
+                yield pa.RecordBatch.from_arrays([part.column("tid"), *_places(runs, starts, LENGTH)], [f.name for f in shape])
 
     return texts.select("tid", "text", "at").mapInArrow(run, shape)
 
 
+def repeated_places(places: DataFrame) -> DataFrame:
+    """(tid, at): a row at least for each place of (tid, at, keys, checks) whose hashes another place has too."""
+    shape = "tid long, at int, key long, check int, edge boolean"
+    rows = places.select("tid", F.inline(F.arrays_zip("at", "keys", "checks"))).toDF("tid", "at", "key", "check")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("tid", "at", "key", "check")
+        batch = lambda cols, edge: pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(cols[0]), edge))], [*names, "edge"])
+        last, same = None, False
+        for b in batches:
+            cols = [b.column(c).to_numpy() for c in names]
+            if not b.num_rows:
+                continue
+            if last is None:
+                yield batch([c[:1] for c in cols], True)
+            else:
+                cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+            agree = (cols[2][1:] == cols[2][:-1]) & (cols[3][1:] == cols[3][:-1])
+            found = np.append(agree, False)
+            found[1:] |= agree
+            found[0] |= same
+            yield batch([c[:-1][found[:-1]] for c in cols], False)
+            last, same = [c[-1:].copy() for c in cols], bool(found[-1])
+        if last is not None:
+            yield batch(last, True)
+            if same:
+                yield batch(last, False)
+
+    array = rows.repartitionByRange("key", "check", "tid", "at").sortWithinPartitions("key", "check", "tid", "at")
+    found = cut(array.mapInArrow(run, shape))
+    edges = found.where("edge").select("tid", "at", "key", "check").distinct()  # two rows a range
+    over = edges.groupBy("key", "check").agg(F.count("*").alias("n")).where("n > 1")
+    return found.where("not edge").select("tid", "at").union(edges.join(over, ["key", "check"]).select("tid", "at"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word): the passages of (doc_id, text) that occur elsewhere too, end exclusive."""
     found = cut(with_suffixes(docs))
-    texts = found.where(f"n_words >= {LENGTH}").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("at").alias("at"), F.first("keys").alias("keys"))
+    arrays = [F.first(c).alias(c) for c in ("n_words", "at", "keys", "checks")]
+    texts = found.where(f"n_words >= {LENGTH}").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *arrays)
     texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))
-    suffixes = texts.select("tid", F.inline(F.arrays_zip("at", "keys"))).select("tid", "at", F.col("keys").alias("key"))
-    shared = suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    asked = cut(suffixes.join(shared, "key", "left_semi").groupBy("tid").agg(F.collect_list("at").alias("at")))
+    asked = repeated_places(texts).groupBy("tid").agg(F.collect_set("at").alias("at"))
     asked = asked.join(texts.select("tid", F.col("text_key").alias("_key"), "first"), "tid")
-    source = docs.select("doc_id", "text").withColumn("_key", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
+    source = docs.select("doc_id", "text").withColumn("_key", text_key())
     chosen = source.join(asked, (source["doc_id"].eqNullSafe(asked["first"])) & (source["_key"] == asked["_key"])).select("tid", "text", "at")
     runs = cut(with_runs(chosen))
-    each = runs.select("tid", F.inline(F.arrays_zip("starts", "keys")))
-    once = each.groupBy("keys").agg(F.count("*").alias("n"), F.min("tid").alias("tid"), F.min("starts").alias("start")).where("n = 1")
-    alone = once.groupBy("tid").agg(F.collect_list("start").alias("alone"))
-    again = runs.join(alone, "tid", "left").select("tid", F.array_sort(F.array_except("starts", F.coalesce("alone", F.array().cast("array<int>")))).alias("s"))
+    again = cut(repeated_places(runs).groupBy("tid").agg(F.array_sort(F.collect_set("at")).alias("s")))
+    drop(runs)
     # runs that touch or overlap are one passage
     begins = F.filter("s", lambda x, i: (i == 0) | (x > F.get("s", i - 1) + LENGTH))
     ends = F.transform(F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1) > x + LENGTH)), lambda x: x + LENGTH)
-    spans = again.where("size(s) > 0").select("tid", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("spans"))
+    spans = again.select("tid", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("spans"))
     copied = F.array(F.struct(F.lit(0).alias("a"), F.col("n_words").cast("int").alias("b")))
     of = texts.join(spans, "tid", "left").select("text_key", F.when(F.col("copies") > 1, copied).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     out = found.select("doc_id", "text_key").join(of, "text_key")
