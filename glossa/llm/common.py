@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,13 +33,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder, for wide rows of which readers take some columns each."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, file: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*cuts: DataFrame) -> None:
-    """Deletes the files of what cut() gave, or a projection of it, after its last reader; Spark itself keeps them until the application ends."""
+    """Deletes the files of what cut(), or a projection of it, or stored() gave, after the last reader; Spark itself keeps them until the application ends."""
     for df in cuts:
+        if path := df.__dict__.get("_stored_at"):
+            _delete(df.sparkSession, path)
+            continue
         spark, file = df.sparkSession, df._jdf.queryExecution().analyzed().collectLeaves().head().rdd().getCheckpointFile()
         if file.isDefined():
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, file.get())
 
 
 def hex_digits_for(rows: int, rows_per_cell: int = 1000) -> int:

@@ -59,10 +59,11 @@ def shared(keyed: DataFrame) -> DataFrame:
 
 
 def spanning(pairs: DataFrame, held: Verify) -> DataFrame:
-    """True links that join the same items as all true links among the distinct pairs (a, b), which must be cut; held: pairs to those that are links.
+    """True links that join the same items as all true links among the distinct pairs (a, b); held: pairs to those that are links.
 
     Of each item one pair goes first, then those whose items are still apart.
     """
+    pairs = cut(pairs)
     ends = pairs.select("a", "b", F.col("a").alias("x")).union(pairs.select("a", "b", F.col("b").alias("x")))
     once = cut(ends.groupBy("x").agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct())
     links = cut(held(once))
@@ -70,6 +71,7 @@ def spanning(pairs: DataFrame, held: Verify) -> DataFrame:
     rest = pairs.join(once, ["a", "b"], "left_anti")
     rest = rest.join(of.select(F.col("id").alias("a"), F.col("component").alias("_x")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("_y")), "b", "left")
     rest = cut(rest.where("coalesce(_x, a) <> coalesce(_y, b)").select("a", "b"))
+    drop(pairs, once)
     return links.union(held(rest)) if rest.head(1) else links
 
 

@@ -25,9 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import cut, drop, table
+from .common import cut, drop, stored, table
 from .linking import bitmap, classes, may_link, possible, shared, spanning
 
 BANDS, ROWS = 10, 4
@@ -35,8 +35,8 @@ BITS = 256
 SHINGLE = 5
 LEAST_WORDS = 25
 THRESHOLD = 0.8
-#: Paragraphs to verify up to which their hashes are broadcast, so that the sets of the others aren't shuffled.
-BROADCAST_ASKED = 400_000
+#: Rows (key, id) and paragraphs with a shared key up to which their hashes and places are broadcast, at 24 bytes each and some tens in the hash table, so that texts aren't shuffled.
+BROADCAST_ASKED = 1_000_000
 #: Hashes that a task remembers to give the set of a repeated paragraph once; beyond that it starts anew.
 REMEMBERED = 500_000
 _RANDOM = np.random.default_rng(20240229)
@@ -71,18 +71,23 @@ def paragraphs(text: str | None, least: int = LEAST_WORDS) -> Iterator[tuple[int
         at += len(line) + 1
 
 
+def item(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words))
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)], dtype=np.int32)), pa.array(np.concatenate(values)))
+
+
 def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, para, start, end, n_words, id, bands, bits, shingles) of the paragraphs of (doc_id, text).
+    """(doc_id, para, start, end, n_words, id, n, bands, bits) of the paragraphs of (doc_id, text); n: the size of the set.
 
-    The three arrays are empty where the task has given them before for the same id.
+    The arrays are empty, and n is 0, where the task has given them before for the same id.
     """
     shape = docs.select("doc_id").schema
     for n in ("para", "start", "end", "n_words"):
         shape = shape.add(n, "integer")
-    shape = shape.add("id", "long").add("bands", ArrayType(LongType())).add("bits", ArrayType(LongType())).add("shingles", ArrayType(IntegerType()))
-
-    def lists(values: list[np.ndarray], kind: type) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)], dtype=np.int32)), pa.array(np.concatenate(values).astype(kind, copy=False)))
+    shape = shape.add("id", "long").add("n", "integer").add("bands", ArrayType(LongType())).add("bits", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -93,7 +98,7 @@ def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float
                 rows, ids, sets, new, source = [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     for para, start, end, words in paragraphs(text, least):
-                        id = xxhash.xxh3_64_intdigest(b" ".join(words))
+                        id = item(words)
                         if id not in seen:
                             seen.add(id)
                             new.append(len(rows))
@@ -106,45 +111,67 @@ def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float
                 if not rows:
                     continue
                 numbers = np.array(rows, np.int32)
-                bands, bits, small = ([none] * len(rows) for _ in range(3))
+                bands, bits = ([none] * len(rows) for _ in range(2))
+                sizes = np.zeros(len(rows), np.int32)
                 if sets:
                     for j, s, keys in zip(new, sets, band_keys(sets), strict=True):
                         alone = len(s) < threshold * (len(s) + 1) - 1e-9
                         bands[j] = np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64) if alone else keys
-                        bits[j], small[j] = bitmap(s, BITS), np.unique(s.astype(np.uint32)).view(np.int32)
+                        bits[j], sizes[j] = bitmap(s, BITS), len(s)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array(ids, np.uint64).view(np.int64)), lists(bands, np.int64), lists(bits, np.int64), lists(small, np.int32)],
-                    ["doc_id", "para", "start", "end", "n_words", "id", "bands", "bits", "shingles"],
+                    [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes), _lists(bands), _lists(bits)],
+                    ["doc_id", "para", "start", "end", "n_words", "id", "n", "bands", "bits"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
+def with_sets(texts: DataFrame) -> DataFrame:
+    """(id, s): the shingles of the paragraphs asked for in (text, asked), an array of (para, id); the set of each comes from its words anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 128):  # bounded memory
+                part = b.slice(at, 128)
+                ids, sets = [], [np.empty(0, np.int64)]
+                for text, asked in zip(part.column("text").to_pylist(), part.column("asked").to_pylist(), strict=True):
+                    lines = (text or "").split("\n")
+                    for x in asked:
+                        words = lines[x["para"]].lower().encode("utf-8", "surrogatepass").split() if x["para"] < len(lines) else []
+                        if words and np.uint64(item(words)).view(np.int64) == x["id"]:  # another text of the same doc_id may have other lines
+                            ids.append(x["id"])
+                            sets.append(shingles(words).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets).slice(1)], ["id", "s"])
+
+    return texts.select("text", "asked").mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"])
+
+
 def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, para, start, end, n_words, class_doc_id, class_para, kept) of every paragraph in a class of two or more."""
-    found = cut(with_paragraphs(docs, least, threshold))
+    found = stored(with_paragraphs(docs, least, threshold))
     given = found.where("size(bands) > 0")  # once for each id and task at least
     keyed = shared(given.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
-    sharing = keyed.select("id").distinct()
-    sharing = F.broadcast(sharing) if keyed.count() <= BROADCAST_ASKED else sharing
-    traits = cut(given.join(sharing, "id", "left_semi").groupBy("id").agg(F.first(F.struct("bits", F.size("shingles").alias("n"))).alias("trait")))
+    ids = keyed.select("id").distinct()
+    ids = F.broadcast(ids) if keyed.count() <= BROADCAST_ASKED else ids
+    sharing = cut(given.select("id", "doc_id", "para", "bits", "n").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "para")).alias("at"), F.first(F.struct("bits", "n")).alias("trait")))
+    asked = sharing.groupBy(F.col("at.doc_id").alias("_doc_id")).agg(F.collect_list(F.struct("at.para", "id")).alias("asked"))
+    asked = F.broadcast(asked) if sharing.count() <= BROADCAST_ASKED else asked
+    sets = stored(with_sets(docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_doc_id")))))
+    traits, near = sharing.select("id", "trait"), may_link(threshold, BITS)
 
     def held(pairs: DataFrame) -> DataFrame:
-        """Pairs of an exact Jaccard similarity of the threshold."""
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = F.broadcast(asked) if pairs.count() <= BROADCAST_ASKED // 2 else asked
-        sets = given.select("id", "shingles").join(asked, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s"))
+        """Pairs of an exact Jaccard similarity of the threshold; their bitmaps go first."""
+        pairs = possible(pairs, traits, near)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         shared_by = F.size(F.array_intersect("x", "y"))
         return both.where(shared_by >= threshold * (F.size("x") + F.size("y") - shared_by)).select("a", "b")
 
-    near = may_link(threshold, BITS)
-    joined = classes(keyed, lambda pairs: spanning(possible(pairs, traits, near), held), near, traits)
+    joined = classes(keyed, lambda pairs: spanning(pairs, held), near, traits)
     items = found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "para")).alias("first"))
     named = items.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     size = named.groupBy("class").agg(F.sum("n").alias("members"), F.min("first").alias("class_first")).where("members > 1")
     inside = cut(named.join(size, "class").select("id", "class_first"))
-    drop(keyed, traits)
+    drop(keyed, sharing, sets)
     out = found.select("doc_id", "para", "start", "end", "n_words", "id").join(inside, "id")
     kept = F.struct("doc_id", "para") == F.col("class_first")
     return out.select("doc_id", "para", "start", "end", "n_words", F.col("class_first.doc_id").alias("class_doc_id"), F.col("class_first.para").alias("class_para"), kept.alias("kept"))

@@ -100,8 +100,11 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     keyed = shared(items.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
     traits = cut(items.join(keyed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first(F.struct("bits", "n")).alias("trait")))
 
+    near = may_link(threshold, BITS)
+
     def held(pairs: DataFrame) -> DataFrame:
         """Pairs of an exact Jaccard similarity of the threshold."""
+        pairs = possible(pairs, traits, near)
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         asked = cut(firsts.join(asked, "id").select(F.col("id").alias("_asked"), "_first"))
         asked = F.broadcast(asked) if asked.count() <= BROADCAST_ASKED else asked
@@ -112,8 +115,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    near = may_link(threshold, BITS)
-    joined = classes(keyed, lambda pairs: spanning(possible(pairs, traits, near), held), near, traits)
+    joined = classes(keyed, lambda pairs: spanning(pairs, held), near, traits)
     named = firsts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("_first").alias("component_id"))
     of = cut(named.join(least, "component").select("id", "component_id"))

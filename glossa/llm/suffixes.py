@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, drop, table
+from .common import cut, drop, stored, table
 
 LENGTH, WINDOW, GRAM = 50, 25, 8
 PREFIX = LENGTH - WINDOW + 1
@@ -159,7 +159,7 @@ def repeated_places(places: DataFrame) -> DataFrame:
                 yield batch(last, False)
 
     array = rows.repartitionByRange("key", "check", "tid", "at").sortWithinPartitions("key", "check", "tid", "at")
-    found = cut(array.mapInArrow(run, shape))
+    found = stored(array.mapInArrow(run, shape))
     edges = found.where("edge").select("tid", "at", "key", "check").distinct()  # two rows a range
     over = edges.groupBy("key", "check").agg(F.count("*").alias("n")).where("n > 1")
     return found.where("not edge").select("tid", "at").union(edges.join(over, ["key", "check"]).select("tid", "at"))
@@ -167,15 +167,15 @@ def repeated_places(places: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word): the passages of (doc_id, text) that occur elsewhere too, end exclusive."""
-    found = cut(with_suffixes(docs))
+    found = stored(with_suffixes(docs))
     arrays = [F.first(c).alias(c) for c in ("n_words", "at", "keys", "checks")]
     texts = found.where(f"n_words >= {LENGTH}").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *arrays)
-    texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))
+    texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()))
     asked = repeated_places(texts).groupBy("tid").agg(F.collect_set("at").alias("at"))
     asked = asked.join(texts.select("tid", F.col("text_key").alias("_key"), "first"), "tid")
     source = docs.select("doc_id", "text").withColumn("_key", text_key())
     chosen = source.join(asked, (source["doc_id"].eqNullSafe(asked["first"])) & (source["_key"] == asked["_key"])).select("tid", "text", "at")
-    runs = cut(with_runs(chosen))
+    runs = stored(with_runs(chosen))
     again = cut(repeated_places(runs).groupBy("tid").agg(F.array_sort(F.collect_set("at")).alias("s")))
     drop(runs)
     # runs that touch or overlap are one passage
