@@ -215,17 +215,17 @@ def with_bytes(docs: DataFrame, path: str, pattern: str, ids: str = "_ids", out:
 
 
 def digests(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` and n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    """`keep`, tokens, n_tokens, ids_sha256 and decoded_sha256 of each document."""
     import public_tokenizers as tokenizers
 
     path, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
     both = with_tokens(docs, path, pattern, keep=keep, decoded="_bytes")
     ids = F.encode(F.array_join(F.col("_ids").cast("array<string>"), " "), "utf-8")
-    return both.select(*keep, F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"))
+    return both.select(*keep, F.col("_ids").alias("tokens"), F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), ["doc_id"])
+    return digests(table(spark, sf_dir, "documents"), ["doc_id"]).drop("tokens")
 
 
 def with_place(docs: DataFrame, columns: list) -> DataFrame:
@@ -241,7 +241,7 @@ def with_place(docs: DataFrame, columns: list) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents but the text, their position in the mixed order, and the digests of their tokens and of what they decode to."""
+    """The columns of the documents but the text, their position in the mixed order, their tokens, and the digests of these and of what they decode to."""
     rest = F.struct(*(c for c in docs.columns if c != "text"))  # so no column's name can clash
     placed = with_place(docs, [rest.alias("_doc"), "text"])
-    return digests(placed, ["_doc", "_position"]).select("_doc.*", F.col("_position").alias("position"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(placed, ["_doc", "_position"]).select("_doc.*", F.col("_position").alias("position"), "tokens", "n_tokens", "ids_sha256", "decoded_sha256")

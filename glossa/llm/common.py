@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,10 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+#: What cut() and stored() have made, while within().
+_made: list[DataFrame] = []
+_within = 0
+
+
+@contextmanager
+def within() -> Iterator[None]:
+    """On leaving, deletes what cut() and stored() made inside; what is wanted of it must have been written elsewhere."""
+    global _within
+    first, _within = len(_made), _within + 1
+    try:
+        yield
+    finally:
+        _within -= 1
+        drop(*_made[first:])
+        del _made[first:]
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    if _within:
+        _made.append(df)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, which lost executors don't take along."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _kept(df.checkpoint(eager=True))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -39,10 +65,10 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    return out
+    return _kept(out)
 
 
-def _delete(spark: SparkSession, file: str) -> None:
+def delete(spark: SparkSession, file: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(file)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -51,11 +77,11 @@ def drop(*cuts: DataFrame) -> None:
     """Deletes the files of what cut(), or a projection of it, or stored() gave, after the last reader; Spark itself keeps them until the application ends."""
     for df in cuts:
         if path := df.__dict__.get("_stored_at"):
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
             continue
         spark, file = df.sparkSession, df._jdf.queryExecution().analyzed().collectLeaves().head().rdd().getCheckpointFile()
         if file.isDefined():
-            _delete(spark, file.get())
+            delete(spark, file.get())
 
 
 def hex_digits_for(rows: int, rows_per_cell: int = 1000) -> int:

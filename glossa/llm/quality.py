@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 
 BLANK = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -188,8 +188,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their columns as they were."""
-    labels = one_label(table(spark, sf_dir, "labels"))
-    counted = with_counts(docs, keep=["doc_id", "lang"])  # counts, not texts, go to the join
-    chosen = calibrate(counted.join(labels, "doc_id"), "lang")
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "lang")  # so no column's name can clash
-    return with_counts(whole, "_doc.text").where(accepted(chosen, "lang")).select("_doc.*")
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "lang")  # so no column's name can clash
+    counted = stored(with_counts(whole, "_doc.text"))  # with the texts, so that neither they are counted twice nor shuffled
+    chosen = calibrate(counted.drop("_doc").join(one_label(table(spark, sf_dir, "labels")), "doc_id"), "lang")
+    return counted.where(accepted(chosen, "lang")).select("_doc.*")

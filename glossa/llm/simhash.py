@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found with deletion-variant signatures.
+"""SimHash near-duplicates, found with deletion-variant signatures (raised bits on one side).
 
 A text's fingerprint has 64 bits; bit j is set if over half of its shingles' hashes have it set.
 Fingerprints link when they differ in `distance` bits at most. The 64 bits are cut into so few segments that, of
@@ -90,8 +90,8 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class: that with the smallest doc_id; texts whose only content is blank form one class.
 
-    Documents without an id have nothing to be told apart by, so they stay. A class is joined by links of an exact Jaccard
-    similarity of 0.8 on five-word shingles, as few bits of a fingerprint neither cover nor prove it.
+    Documents without an id have nothing to be told apart by, so they stay; rows repeated under one id stay or go together. A class is joined by links of an
+    exact Jaccard similarity of 0.8 on five-word shingles, as few bits of a fingerprint neither cover nor prove it.
     """
     found = similar_documents(docs.select("doc_id", "text"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -351,7 +352,14 @@ def test_counts():
         w = [rng.choice("ab") for _ in range(rng.randint(0, 40))]
         assert quality.repeated_words([x.encode() for x in w]) == plain_repeated(w)
     text = "a #b c\n \n\na #b c\n é*<"
-    assert quality.counts(text)[:5] == (5, 12, 4, 1, 0)
+    assert quality.counts(text)[:5] == (5, 13, 4, 1, 0)  # a no-break space is a word character
+    for _ in range(300):
+        text = "".join(rng.choice("ab#$é\u00a0 \t\n\n\r\x0b\x0c") for _ in range(rng.randint(0, 60)))
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        again = sum(x in lines[:i] for i, x in enumerate(lines))
+        expected = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, plain_repeated([x.encode() for x in w]))
+        assert quality.counts(text)[:5] == expected
     assert quality.counts(None)[0] == 0
 
 
@@ -447,3 +455,72 @@ def test_bpe_odd(spark, tokenizer, odd, none):
         ids = enc.encode_ordinary(r.text or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
     assert bpe.bpe_stage(spark, none, "").count() == 0
+
+
+def test_periods_hold_the_targets(spark):
+    """Cut into periods, every block has one slot, and no source is two blocks off its target."""
+    weights = {"hot": 300.0, None: 40.0} | {f"s{i:03}": 1.0 + i % 4 for i in range(120)}
+    blocks = {s: int(2 * w) for s, w in weights.items()}
+    known = spark.createDataFrame([*weights.items(), ("zero", 0.0), ("none", None)], "source string, weight double")
+    sizes = spark.createDataFrame([(s, 4 * n) for s, n in blocks.items()] + [("zero", 9), ("none", 9)], "source string, rows long")
+    total = sum(weights.values())
+    for size, most in ((1 << 16, 1 + 1e-6), (100, 2), (700, 2)):
+        got = mixing.schedule(known, sizes, 4, size).collect()
+        assert sorted((str(r.source), r.k) for r in got) == sorted((str(s), k) for s, n in blocks.items() for k in range(n))
+        by, taken = {r.slot: r.source for r in got}, Counter()
+        assert len(by) == len(got)
+        for t in range(min(max(r.slot for r in got if r.source == s) for s in weights)):
+            taken[by[t]] += 1
+            assert all(abs(taken[s] - (t + 1) * w / total) < most for s, w in weights.items())
+
+
+def test_no_weight_no_slot(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(90)], "doc_id long, source string").withColumn("slot", F.lit(1)).withColumn("_n", F.lit(2))
+    got = mixing.mix(docs, spark.createDataFrame([("a", 2.0), ("b", 0.0)], "source string, weight double"), 4, None).collect()
+    assert len(got) == 90 and all((r.slot is None) == (r.source != "a") and r._n == 2 for r in got)
+
+
+def test_pii_mentions_without_title(spark):
+    texts = ["Mr John Smith called. Later Smith paid; John Smith left, SMITH said. Smithers stayed.", "Smith alone", "Mrs O'Neil, Mr Νίκος Παπάς and Νίκος", "abcdefab" * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumns({c: F.lit(1) for c in ("_names", "_found", "_new", "_map", "_row", "_first", "_doc", "_text")})
+    got = [r.text for r in pii.pseudonymise(docs, "it's a \\ key").orderBy("i").collect()]
+    given, last = got[0].split()[1:3]
+    assert got[0] == f"Mr {given} {last} called. Later {last} paid; {given} {last} left, {last.upper()} said. Smithers stayed."
+    assert got[1] == texts[1] and "O'Neil" not in got[2] and re.fullmatch(r"Mrs [A-Z][a-z]+, Mr ([Α-ώ]+) [Α-ώ]+ and \1", got[2])
+    assert len(got[3]) == 40 and got[3] != texts[3]
+
+
+def test_pii_many_names_stay_apart(spark):
+    """More entities than one draw keeps apart, in the order of thousands, with apostrophes."""
+    names = [f"O'{a}{b}{c}" for a in "ABCDEFGHIJ" for b in "abcdefghij" for c in "abcdefghijklmnop"]
+    docs = spark.createDataFrame([(i, f"Mr {n} came") for i, n in enumerate(names)], "i long, text string")
+    got = {r.text for r in pii.pseudonymise(docs, "k").collect()}
+    assert len(got) == len(names) and pii.redrawn(docs, "k").count() > 0
+
+
+def test_pii_whole_result(spark):
+    """Over the smallest table: what lies between the entities stays, and entities map one to one, each to its own format."""
+    import os
+
+    import regex
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found, to, back = regex.compile(pii.PATTERN), {}, {}
+    shape = lambda s: regex.sub(r"\p{Ll}", "x", regex.sub(r"\p{Lu}", "X", regex.sub("[0-9]", "0", s)))
+    before = {r.doc_id: r.text for r in docs.collect()}
+    n = 0
+    for r in pii.pseudonymise(docs, "k").collect():
+        old = before[r.doc_id]
+        hits = list(found.finditer(old)) if old else []
+        assert r._entities == len(hits) and (hits or r.text == old)
+        gaps = [old[a:b] for a, b in zip([0, *(h.end() for h in hits)], [*(h.start() for h in hits), len(old)], strict=True)] if hits else []
+        m = regex.fullmatch("(.+?)".join(map(regex.escape, gaps)), r.text, regex.S) if hits else None
+        for h, new in zip(hits, m.groups() if m else (), strict=True):
+            n += 1
+            key, drawn = regex.sub(r"[^\p{L}\p{N}@.]", "", h[0]).lower(), regex.sub(r"[^\p{L}\p{N}@.]", "", new).lower()
+            assert to.setdefault(key, drawn) == drawn and back.setdefault(drawn, key) == key and drawn not in before.values()
+            if "@" not in h[0] and h[0].count(".") < 3 and not regex.fullmatch("[0-9a-fA-F]{32,}", h[0]):
+                assert shape(new) == shape(h[0])
+    assert n > 20
