@@ -27,15 +27,20 @@ def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.int64)
 
 
-def may_link(threshold: float, bits: int) -> Linked:
-    """A condition on two traits (bits, n) that all pairs of a Jaccard similarity of the threshold meet.
+def may_link(threshold: float, *bits: int) -> Linked:
+    """A condition on two traits (bits, n) that all pairs of a Jaccard similarity of the threshold meet; bits: the sizes of bitmaps in use.
 
-    No two bitmaps differ in more bits than the sets do in elements; a set of n elements can differ from one of m in (n + m)(1 - t)/(1 + t).
+    The smaller set has the threshold's share of the larger one's elements at least. No two bitmaps of one size differ in more bits than the sets
+    do in elements; a set of n elements can differ from one of m in (n + m)(1 - t)/(1 + t).
     """
 
     def test(a: Column, b: Column) -> Column:
-        apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(bits // 64)), F.lit(0))
-        return apart <= (1 - threshold) / (1 + threshold) * (a["n"] + b["n"]) + 1e-9
+        apart = F.lit(0)
+        for n in bits:
+            each = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(n // 64)), F.lit(0))
+            apart = F.when((F.size(a["bits"]) == n // 64) & (F.size(b["bits"]) == n // 64), each).otherwise(apart)
+        close = apart <= (1 - threshold) / (1 + threshold) * (a["n"] + b["n"]) + 1e-9
+        return (F.least(a["n"], b["n"]) >= threshold * F.greatest(a["n"], b["n"]) - 1e-9) & close
 
     return test
 
@@ -121,14 +126,18 @@ def classes(keyed: DataFrame, verify: Verify | None = None, linked: Linked | Non
     left_out = more.where("homes > 1").select("key")
     now = keyed.join(left_out, "key", "left_semi").join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     if traits is not None:
-        now = now.join(traits, "id")
+        now = now.join(traits, "id").join(now.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     now = cut(now)
     share = now.groupBy("key", "class").agg(F.count("*").alias("n"))
     most = share.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("most"), F.count("*").alias("k")).where("k > 1")
     minor = now.join(most.select(F.col("key").alias("_k"), "most"), (F.col("key") == F.col("_k")) & (F.col("class") != F.col("most")))
-    minor = minor.select("key", F.col("id").alias("x"), F.col("class").alias("xc"), F.col("home").alias("xh"), *([F.col("trait").alias("xt")] if traits is not None else []))
-    apart = (F.col("class") != F.col("xc")) & (F.col("home") | F.col("xh"))
-    last = true(met(minor, now, "x", "id", apart & linked(F.col("trait"), F.col("xt")) if traits is not None else apart))
+    also = [F.col("trait").alias("xt"), F.col("keys").alias("xk")] if traits is not None else []
+    minor = minor.select("key", "most", F.col("id").alias("x"), F.col("class").alias("xc"), F.col("home").alias("xh"), *also)
+    # two rows that are both outside of the largest class meet once
+    apart = (F.col("class") != F.col("xc")) & ((F.col("class") == F.col("most")) | (F.col("x") < F.col("id"))) & (F.col("home") | F.col("xh"))
+    if traits is not None:  # and a pair meets at the first key that it shares
+        apart = apart & linked(F.col("trait"), F.col("xt")) & (minor["key"] == F.array_min(F.array_intersect("keys", "xk")))
+    last = true(met(minor, now, "x", "id", apart))
     out = components(links.union(last))
     drop(now, shape, last, links)
     return out

@@ -31,7 +31,8 @@ from .common import cut, drop, stored, table
 from .linking import bitmap, classes, may_link, possible, shared, spanning
 
 BANDS, ROWS = 10, 4
-BITS = 256
+#: Bits of the bitmaps of sets up to BITS[0] / 4 elements, and of larger ones, which would fill so few.
+BITS = (1024, 4096)
 SHINGLE = 5
 LEAST_WORDS = 25
 THRESHOLD = 0.8
@@ -80,14 +81,11 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, para, start, end, n_words, id, n, bands, bits) of the paragraphs of (doc_id, text); n: the size of the set.
-
-    The arrays are empty, and n is 0, where the task has given them before for the same id.
-    """
+    """(doc_id, para, start, end, n_words, id, bands) of the paragraphs of (doc_id, text); bands are empty where the task has given them before for the same id."""
     shape = docs.select("doc_id").schema
     for n in ("para", "start", "end", "n_words"):
         shape = shape.add(n, "integer")
-    shape = shape.add("id", "long").add("n", "integer").add("bands", ArrayType(LongType())).add("bits", ArrayType(LongType()))
+    shape = shape.add("id", "long").add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -111,23 +109,21 @@ def with_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float
                 if not rows:
                     continue
                 numbers = np.array(rows, np.int32)
-                bands, bits = ([none] * len(rows) for _ in range(2))
-                sizes = np.zeros(len(rows), np.int32)
+                bands = [none] * len(rows)
                 if sets:
                     for j, s, keys in zip(new, sets, band_keys(sets), strict=True):
                         alone = len(s) < threshold * (len(s) + 1) - 1e-9
                         bands[j] = np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64) if alone else keys
-                        bits[j], sizes[j] = bitmap(s, BITS), len(s)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes), _lists(bands), _lists(bits)],
-                    ["doc_id", "para", "start", "end", "n_words", "id", "n", "bands", "bits"],
+                    [part.column("doc_id").take(pa.array(source)), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(np.array(ids, np.uint64).view(np.int64)), _lists(bands)],
+                    ["doc_id", "para", "start", "end", "n_words", "id", "bands"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
-    """(id, s): the shingles of the paragraphs asked for in (text, asked), an array of (para, id); the set of each comes from its words anew."""
+    """(id, trait, s): the shingles, and their number and bitmap, of the paragraphs asked for in (text, asked), an array of (para, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,9 +137,10 @@ def with_sets(texts: DataFrame) -> DataFrame:
                         if words and np.uint64(item(words)).view(np.int64) == x["id"]:  # another text of the same doc_id may have other lines
                             ids.append(x["id"])
                             sets.append(shingles(words).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets).slice(1)], ["id", "s"])
+                bits = [bitmap(s.view(np.uint64), BITS[4 * len(s) > BITS[0]]) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets[1:]], pa.int64()), _lists(bits).slice(1), _lists(sets).slice(1)], ["id", "n", "bits", "s"])
 
-    return texts.select("text", "asked").mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"])
+    return texts.select("text", "asked").mapInArrow(run, "id long, n long, bits array<long>, s array<long>").dropDuplicates(["id"]).select("id", F.struct("bits", "n").alias("trait"), "s")
 
 
 def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -153,11 +150,11 @@ def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: f
     keyed = shared(given.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
     ids = keyed.select("id").distinct()
     ids = F.broadcast(ids) if keyed.count() <= BROADCAST_ASKED else ids
-    sharing = cut(given.select("id", "doc_id", "para", "bits", "n").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "para")).alias("at"), F.first(F.struct("bits", "n")).alias("trait")))
+    sharing = cut(given.select("id", "doc_id", "para").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "para")).alias("at")))
     asked = sharing.groupBy(F.col("at.doc_id").alias("_doc_id")).agg(F.collect_list(F.struct("at.para", "id")).alias("asked"))
     asked = F.broadcast(asked) if sharing.count() <= BROADCAST_ASKED else asked
     sets = stored(with_sets(docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_doc_id")))))
-    traits, near = sharing.select("id", "trait"), may_link(threshold, BITS)
+    traits, near = sets.select("id", "trait"), may_link(threshold, *BITS)
 
     def held(pairs: DataFrame) -> DataFrame:
         """Pairs of an exact Jaccard similarity of the threshold; their bitmaps go first."""
