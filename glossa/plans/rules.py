@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .native import NotNative, token_mentions
 from .paths import GraphPattern, compile_graph
 from .patterns import LAYERS, PatternError, Program, compile_pattern
 
@@ -105,17 +106,25 @@ class View:
     def __init__(self, layers: dict, sent: int, state: State, graph: str = DEFAULT_GRAPH):
         self.layers, self.sent, self.state = layers, sent, state
         self.by_field = {name: layers.get(layer) for name, layer in LAYERS.items()}
-        self.out: dict[int, list] = {}
-        self.into: dict[int, list] = {}
-        for e in (layers.get("graphs") or {}).get(graph) or ():
-            self.out.setdefault(e["source"], []).append((e["destination"], e["relation"]))
-            self.into.setdefault(e["destination"], []).append((e["source"], e["relation"]))
-        for index in (self.out, self.into):
-            for x in index.values():
-                x.sort()
+        self.graph, self.indexed = graph, None
+        self.size = len(layers.get("words") or ())  # null words are none
+
+    @property
+    def index(self) -> tuple[dict[int, list], dict[int, list]]:
+        """Edges out of and into each token, made when first asked for."""
+        if self.indexed is None:
+            out, into = {}, {}
+            for e in (dict(self.layers.get("graphs") or ())).get(self.graph) or ():
+                out.setdefault(e["source"], []).append((e["destination"], e["relation"]))
+                into.setdefault(e["destination"], []).append((e["source"], e["relation"]))
+            for each in (out, into):
+                for x in each.values():
+                    x.sort()
+            self.indexed = out, into
+        return self.indexed
 
     def __len__(self) -> int:
-        return len(self.layers["words"])
+        return self.size
 
     def value(self, name: str, i: int) -> str:
         layer = self.by_field[name]
@@ -124,7 +133,7 @@ class View:
         return layer[i]
 
     def edges(self, i: int, back: bool) -> list[tuple[int, str]]:
-        return (self.into if back else self.out).get(i, [])
+        return self.index[back].get(i, [])
 
     def edge_labels(self, i: int, direction: str) -> list[str]:
         return [r for _, r in self.edges(i, direction == "incoming")]
@@ -160,6 +169,7 @@ class Rule:
     graph: str = DEFAULT_GRAPH
     window: tuple[int, int] = (0, 0)
     source: str = ""
+    unit: str = "word"
 
     def runs(self, iteration: int) -> bool:
         if self.only is not None:
@@ -299,7 +309,7 @@ def _rule(e: dict, taxonomy: Taxonomy | None, graph: str) -> Rule:
     else:
         raise PatternError(f"unknown type {kind!r}")
     keep = str(e.get("keep", True)).lower() in ("true", "yes", "y", "on", "1")
-    return Rule(str(e["name"]), labels, kind, pattern, *priority(e.get("priority", "1+")), keep, e.get("action", "default"), graph, window, str(e["pattern"]))
+    return Rule(str(e["name"]), labels, kind, pattern, *priority(e.get("priority", "1+")), keep, e.get("action", "default"), graph, window, str(e["pattern"]), unit)
 
 
 def _token_rule(rule: Rule, view: View) -> list[Mention]:
@@ -430,10 +440,18 @@ def text_of(sentence: dict, start: int, end: int) -> str:
     return "".join((" " * max(0, a[i] - b[i - 1]) if i > start else "") + raw[i] for i in range(start, end))
 
 
-def extract(docs: DataFrame, grammar: str, keys: list[str], actions: dict[str, Action] | None = None, files: dict[str, str] | None = None) -> DataFrame:
+def extract(docs: DataFrame, grammar: str, keys: list[str], actions: dict[str, Action] | None = None, files: dict[str, str] | None = None, native: bool = True) -> DataFrame:
     """(keys, MENTION): the mentions of documents (keys, sentences), where sentences is an array of structs with the layers,
-    and graphs, a map of edge arrays, if rules ask for them. The grammar is checked on the driver, before any task runs."""
-    read_rules(grammar, files)
+    and graphs, a map of edge arrays, if rules ask for them. The grammar is checked on the driver, before any task runs.
+
+    A grammar of one token rule that needs nothing but tokens runs without Python workers, unless `native` is false.
+    """
+    rules = read_rules(grammar, files)
+    if native and not actions and len(rules) == 1 and rules[0].kind == "token" and rules[0].keep:
+        try:
+            return token_mentions(docs, keys, rules[0], rules[0].unit, rules[0].source)
+        except NotNative:
+            pass
     shape = StructType([*docs.select(*keys).schema.fields, *StructType.fromDDL(MENTION).fields])
     kinds = to_arrow_schema(shape)
 
