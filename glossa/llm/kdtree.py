@@ -8,7 +8,7 @@ a category that holds a third of all rows can be cut anywhere.
 
 The medians are distributed: each pass is one aggregate that sums bytes in bins of a node's interval, and the next pass
 looks only into the bin where the quantile lies, until that bin's bytes don't matter. The driver sees bins and nodes,
-never rows: at most BINS rows a pass.
+never rows: at most BINS rows a pass, or LEAST_BINS for each node. Rows learn their node level by level, by joins with the level's splits.
 
 Equal texts keep together, at the metadata of their smallest id, unless their bytes exceed `whole` of a leaf's;
 such a group is cut like other rows, since it would make the sizes uneven.
@@ -22,12 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hex_digits_for, number_rows, table
+from .common import cut, drop, hex_digits_for, number_rows, table
 
 #: Rows at most that a pass over one level brings to the driver.
 BINS = 1 << 17
-MAX_LEAVES = 1024
+LEAST_BINS = 8
+#: Nodes of a level up to which its splits are broadcast, at some 100 bytes each.
+BROADCAST_NODES = 1 << 20
 SPAN = 1 << 31
+#: Levels after which the rows' nodes are written down.
+LEVELS = 6
 
 
 def _coordinates(docs: DataFrame) -> list[Column]:
@@ -35,27 +39,25 @@ def _coordinates(docs: DataFrame) -> list[Column]:
     return [place("source"), place("lang"), (F.log2("size") / 50 * SPAN).cast("long")]
 
 
-def _assign(tree: dict, node: int, dims: int) -> Column:
-    """The leaf, or the unsplit node, that a row belongs to."""
-    if node not in tree:
-        return F.lit(node)
-    d, at, left, right = tree[node]
-    return F.when(F.col(f"_k{d}") < F.lit(at), _assign(tree, left, dims)).otherwise(_assign(tree, right, dims))
+def _with(points: DataFrame, rows: list[tuple], names: str) -> DataFrame:
+    """points with a level's rows (_n, ...), joined by node; nulls where there is none."""
+    table = points.sparkSession.createDataFrame(rows, "_n int, " + names)
+    return points.join(F.broadcast(table) if len(rows) <= BROADCAST_NODES else table, F.col("_node") == F.col("_n"), "left")
 
 
-def _quantiles(rows: DataFrame, node: Column, wanted: dict[int, tuple[int, float]], slack: float) -> dict[int, int]:
+def _at(dims: int) -> Column:
+    return F.get(F.array(*(F.col(f"_k{i}") for i in range(dims))), F.col("_d"))
+
+
+def _quantiles(points: DataFrame, dims: int, wanted: dict[int, tuple[int, float]], slack: float) -> dict[int, int]:
     """{node: key}: the key at which the bytes below reach the target; wanted: {node: (dimension, target bytes)}."""
-    bins = max(64, BINS // len(wanted))
+    bins = max(LEAST_BINS, BINS // len(wanted))
     state = {n: [d, 0, SPAN * SPAN, 0.0, target] for n, (d, target) in wanted.items()}  # dimension, interval, bytes below it, target
     found: dict[int, int] = {}
     while state:
-        key = lo = width = F.lit(None).cast("long")
-        for n, (d, a, b, _, _) in state.items():
-            here = F.col("_node") == n
-            key = F.when(here & F.col(f"_k{d}").between(a, b - 1), F.col(f"_k{d}")).otherwise(key)
-            lo, width = F.when(here, F.lit(a)).otherwise(lo), F.when(here, F.lit(max(1, -(-(b - a) // bins)))).otherwise(width)
-        keyed = rows.withColumn("_node", node).select("_node", "size", key.alias("k"), lo.alias("lo"), width.alias("w")).where("k is not null")
-        sums = keyed.groupBy("_node", F.expr("(k - lo) div w").alias("bin")).agg(F.sum("size").alias("bytes"), F.min("k").alias("least"), F.max("k").alias("most")).collect()
+        rows = [(n, d, a, b, max(1, -(-(b - a) // bins))) for n, (d, a, b, _, _) in state.items()]
+        keyed = _with(points, rows, "_d int, _lo long, _hi long, _w long").where("_n is not null").withColumn("_k", _at(dims)).where("_k >= _lo and _k < _hi")
+        sums = keyed.groupBy("_node", F.expr("(_k - _lo) div _w").alias("bin")).agg(F.sum("size").alias("bytes"), F.min("_k").alias("least"), F.max("_k").alias("most")).collect()
         by: dict[int, list] = {}
         for r in sums:
             by.setdefault(r["_node"], []).append((r["bin"], r["bytes"], r["least"], r["most"]))
@@ -80,10 +82,9 @@ def _quantiles(rows: DataFrame, node: Column, wanted: dict[int, tuple[int, float
 
 def with_leaf(rows: DataFrame, leaves: int, whole: float = 0.05) -> DataFrame:
     """rows (group, doc_id, size, source, lang) with `shard`, from 0 to leaves - 1, near equal in bytes."""
-    if leaves > MAX_LEAVES:
-        raise ValueError(f"at most {MAX_LEAVES} leaves in one tree; shard the leaves again for more")
     total = rows.agg(F.sum("size")).first()[0] or 0
     of = [c.alias(f"_c{i}") for i, c in enumerate(_coordinates(rows))]
+    dims = len(of)
     first = F.min_by(F.struct(*of), F.struct("doc_id", *of))
     groups = rows.groupBy("group").agg(first.alias("_at"), F.sum("size").alias("_bytes"))
     small = F.col("_bytes") <= whole * total / leaves
@@ -91,42 +92,46 @@ def with_leaf(rows: DataFrame, leaves: int, whole: float = 0.05) -> DataFrame:
     mine = F.struct(*of)
     tie = F.pmod(F.when(small, F.xxhash64("group")).otherwise(F.xxhash64("group", "doc_id")), F.lit(SPAN))
     points = joined.withColumn("_p", F.when(small, F.col("_at")).otherwise(mine)).withColumn("_h", tie)
-    points = cut(points.select(*rows.columns, *((F.col(f"_p._c{i}") * SPAN + F.col("_h")).alias(f"_k{i}") for i in range(len(of)))))
+    points = cut(points.select(*rows.columns, F.lit(0).alias("_node"), *((F.col(f"_p._c{i}") * SPAN + F.col("_h")).alias(f"_k{i}") for i in range(dims))))
+    base, level = points, 0
     tree, parts, next_node = {}, {0: leaves}, 1
     whole_width: list[float] = []
-    while open_ := [n for n, m in parts.items() if n not in tree and m > 1]:
-        node = _assign(tree, 0, len(of))
-        shape = points.groupBy(node.alias("n")).agg(F.sum("size").alias("bytes"), *(f(f"_k{i}").alias(f"{s}{i}") for i in range(len(of)) for s, f in (("lo", F.min), ("hi", F.max))))
-        seen = {r["n"]: r for r in shape.collect()}
+    open_ = [0] if leaves > 1 else []
+    while open_:
+        shape = points.groupBy("_node").agg(F.sum("size").alias("bytes"), *(f(f"_k{i}").alias(f"{s}{i}") for i in range(dims) for s, f in (("lo", F.min), ("hi", F.max))))
+        seen = {r["_node"]: r for r in shape.collect()}
         wanted = {}
         for n in open_:
-            if n not in seen:
-                parts[n] = 1  # empty
-                continue
-            widths = [seen[n][f"hi{i}"] // SPAN - seen[n][f"lo{i}"] // SPAN for i in range(len(of))]
-            whole_width = whole_width or [max(1, w) for w in widths]
-            d = max(range(len(of)), key=lambda i: (widths[i] / whole_width[i], -i))
-            wanted[n] = (d, seen[n]["bytes"] * (parts[n] // 2) / parts[n])
+            if n in seen:  # others are empty
+                widths = [seen[n][f"hi{i}"] // SPAN - seen[n][f"lo{i}"] // SPAN for i in range(dims)]
+                whole_width = whole_width or [max(1, w) for w in widths]
+                d = max(range(dims), key=lambda i: (widths[i] / whole_width[i], -i))
+                wanted[n] = (d, seen[n]["bytes"] * (parts[n] // 2) / parts[n])
         if not wanted:
             break
-        for n, at in _quantiles(points, node, wanted, slack=total / leaves / 1000).items():
-            tree[n] = (wanted[n][0], at, next_node, next_node + 1)
+        splits, open_ = [], []
+        for n, at in _quantiles(points, dims, wanted, slack=total / leaves / 1000).items():
+            splits.append((n, wanted[n][0], at, next_node, next_node + 1))
+            tree[n] = (next_node, next_node + 1)
             parts[next_node], parts[next_node + 1] = parts[n] // 2, parts[n] - parts[n] // 2
+            open_ += [x for x in tree[n] if parts[x] > 1]
             next_node += 2
-    ends = {}
-
-    def walk(n: int) -> None:
+        points = _with(points, splits, "_d int, _split long, _left int, _right int")
+        node = F.when(F.col("_n").isNull(), F.col("_node")).when(_at(dims) < F.col("_split"), F.col("_left")).otherwise(F.col("_right"))
+        points = points.withColumn("_node", node).drop("_n", "_d", "_split", "_left", "_right")
+        if (level := level + 1) % LEVELS == 0:
+            points = cut(points)
+            drop(base)
+            base = points
+    ends, stack = [], [0]  # the leaves from left to right
+    while stack:
+        n = stack.pop()
         if n in tree:
-            walk(tree[n][2])
-            walk(tree[n][3])
+            stack += tree[n][::-1]
         else:
-            ends[n] = len(ends)
-
-    walk(0)
-    numbered = {n: (d, at, left, right) for n, (d, at, left, right) in tree.items()}
-    leaf = _assign(numbered, 0, len(of))
-    shard = F.element_at(F.create_map(*(F.lit(x) for pair in ends.items() for x in pair)), leaf) if len(ends) > 1 else F.lit(0)
-    return points.select(*rows.columns, shard.cast("int").alias("shard"))
+            ends.append((n, len(ends)))
+    out = _with(points, ends, "shard int")
+    return out.select(*rows.columns, "shard")
 
 
 def shard_documents(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:

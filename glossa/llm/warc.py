@@ -2,12 +2,16 @@
 
 The reader cuts the files into byte ranges. A task scans its range for gzip's magic number; a place counts as a
 record's start only if a member decodes from there and begins with a WARC header, so magic numbers inside of
-compressed data are passed over. A record belongs to the range its first byte is in, and is read to its end beyond the range.
+compressed data are passed over, and only if the members that follow it lead on from one to the next to the end of the range, so that archives
+inside of a record's data are passed over too (but for one that is stored uncompressed, in a record that goes on beyond the range it starts in, to
+that range's end). A record belongs to the range its first byte is in, and is read to its end beyond the range; the reader then makes sure that another starts there.
 
 The folder must be one that pyarrow can open on the executors (a shared mount, hdfs, s3 or gs).
 Each writing task names its files anew, and only those in the list that it returns count, so retries and
 lost executors leave no record twice; what a failed attempt leaves behind isn't listed.
 
+A record that can't be unpacked, or whose payload hasn't its digest, is an error, never left out; op4 holds the records read against those written besides.
+
 Defined results: a null payload is an empty one; a null id or address leaves its header out; payloads of any size are kept
 whole; repeated rows are repeated records; an empty table gives no files and no records.
 """
@@ -90,56 +94,94 @@ class Range:
     """Bytes of a file from `start` on, read when asked for."""
 
     def __init__(self, source, start: int):
-        self.source, self.at, self.data = source, start, b""
-        source.seek(start)
+        self.source, self.base, self.pos, self.data = source, start, 0, b""
+
+    @property
+    def at(self) -> int:
+        return self.base + self.pos
 
     def more(self) -> bool:
+        if self.pos >= CHUNK:
+            self.data, self.base, self.pos = self.data[self.pos :], self.at, 0
+        self.source.seek(self.base + len(self.data))
         got = self.source.read(CHUNK)
         self.data += got
         return bool(got)
 
-    def drop(self, n: int) -> None:
-        self.data = self.data[n:]
-        self.at += n
+    def ended(self) -> bool:
+        return self.pos >= len(self.data) and not self.more()
 
 
 def member(r: Range) -> tuple[bytes, int] | None:
-    """What the gzip member at the range's place holds, and its length; None if no WARC record starts there."""
-    unpack, parts, used, total = zlib.decompressobj(31), [], 0, 0
+    """What the gzip member at the range's place holds, and its length; None if no whole WARC record starts there."""
+    unpack, parts, used, head = zlib.decompressobj(31), [], 0, b""
     while not unpack.eof:
-        if used >= len(r.data) and not r.more():
-            return None
-        piece = r.data[used : used + CHUNK]
+        if unpack.unconsumed_tail:
+            piece = unpack.unconsumed_tail
+        else:
+            if r.pos + used >= len(r.data) and not r.more():
+                return None
+            piece = r.data[r.pos + used : r.pos + used + CHUNK]
+            used += len(piece)
         try:
-            parts.append(unpack.decompress(piece))
+            parts.append(unpack.decompress(piece, CHUNK))
         except zlib.error:
             return None
-        used += len(piece) - len(unpack.unused_data)
-        total += len(parts[-1])
-        if total >= 7 and len(parts) and not b"".join(parts[:2])[:7].startswith(b"WARC/1."):
-            return None
-    whole = b"".join(parts)
-    return (whole, used) if whole.startswith(b"WARC/1.") else None
+        if len(head) < 7:
+            head += parts[-1][: 7 - len(head)]
+            if not b"WARC/1.".startswith(head):
+                return None  # before the rest is unpacked
+    return (b"".join(parts), used - len(unpack.unused_data)) if head == b"WARC/1." else None
+
+
+def leads_on(source, start: int, end: int) -> bool:
+    """Whether members follow each other from start to one at `end` or beyond, or to the file's end; ValueError if a member is damaged."""
+    r = Range(source, start)
+    first = True
+    while got := member(r):
+        r.pos += got[1]
+        if r.ended():
+            return True
+        while len(r.data) - r.pos < len(MAGIC) and r.more():
+            pass
+        if not r.data.startswith(MAGIC, r.pos):
+            return False
+        if r.at >= end:
+            return True
+        first = False
+    if not first:
+        raise ValueError(f"damaged record at byte {r.at}")
+    return False
 
 
 def records_from(source, start: int, end: int) -> Iterator[bytes]:
     """The records that start in [start, end)."""
     r = Range(source, start)
+    sure = start == 0  # that a record starts here
     while r.at < end:
-        found = r.data.find(MAGIC)
-        if found < 0:
-            r.drop(max(0, len(r.data) - len(MAGIC) + 1))
-            if not r.more():
+        if not sure:
+            found = r.data.find(MAGIC, r.pos)
+            if found < 0:
+                r.pos = max(r.pos, len(r.data) - len(MAGIC) + 1)
+                if not r.more():
+                    return
+                continue
+            r.pos = found
+            if r.at >= end:
                 return
-            continue
-        r.drop(found)
-        if r.at >= end:
+            if not leads_on(source, r.at, end):
+                r.pos += 1
+                continue
+            sure = True
+        if r.ended():
             return
-        if got := member(r):
-            yield got[0]
-            r.drop(got[1])
-        else:
-            r.drop(1)
+        got = member(r)
+        if not got:
+            raise ValueError(f"damaged record at byte {r.at}")
+        yield got[0]
+        r.pos += got[1]
+    if sure and not r.ended() and not member(r):  # the next range would take it for a false magic number
+        raise ValueError(f"damaged record at byte {r.at}")
 
 
 def parse(raw: bytes) -> tuple:
@@ -154,6 +196,8 @@ def parse(raw: bytes) -> tuple:
             size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
     digest = fields.get("warc-payload-digest", "")
     digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") and len(digest) == 37 else digest or None
+    if fields.get("warc-type") == "response" and digest and len(digest) == 40 and digest != hashlib.sha1(payload).hexdigest():
+        raise ValueError(f"the payload of {fields.get('warc-record-id')} hasn't its digest")
     return fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), digest, size, payload
 
 
@@ -186,13 +230,14 @@ def with_originals(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     The pages' texts aren't shuffled unless there are more than BROADCAST_ROWS distinct repeated payloads.
     """
-    html = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    keyed = pages.withColumn("_key", F.when(F.octet_length(html) >= least, F.sha2(html, 256)))
-    repeated = cut(keyed.where("_key is not null").groupBy("_key").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_last"))
+    whole = pages.select(F.struct(*(c for c in pages.columns if c != "refers_to")).alias("_page"))  # so no column's name can clash
+    html = F.encode(F.coalesce("_page.html", F.lit("")), "utf-8")
+    keyed = whole.withColumn("_key", F.when(F.octet_length(html) >= least, F.sha2(html, 256)))
+    repeated = cut(keyed.where("_key is not null").groupBy("_key").agg(F.max("_page.page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_last"))
     if repeated.count() <= BROADCAST_ROWS:
         repeated = F.broadcast(repeated)
     joined = keyed.join(repeated, "_key", "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))).drop("_key", "_last")
+    return joined.select("_page.*", F.when(~F.col("_page.page_id").eqNullSafe(F.col("_last")), F.col("_last")).alias("refers_to"))
 
 
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +246,10 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_warc(with_originals(pages), folder)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     found = cut(read_warc(files, payload=False).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))
-    if files.head(1):
+    written, read = files.agg(F.sum("records")).first()[0] or 0, found.count()
+    if written != read:
+        raise ValueError(f"{written} records were written and {read} read")
+    if written:
         store, at = open_fs(folder)
         store.delete_dir(at)  # the archives have been read
     return found

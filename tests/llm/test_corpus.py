@@ -524,3 +524,34 @@ def test_pii_whole_result(spark):
             if "@" not in h[0] and h[0].count(".") < 3 and not regex.fullmatch("[0-9a-fA-F]{32,}", h[0]):
                 assert shape(new) == shape(h[0])
     assert n > 20
+
+
+def test_warc_damage_and_archives_inside(tmp_path):
+    """A damaged member is an error wherever ranges are cut, and archives stored in a record's data aren't records."""
+    import io
+    import zlib
+
+    rng = random.Random(8)
+    good = [warc.record(i, "u", words(rng, 200).encode(), None) for i in range(6)]
+    for hurt in range(6):
+        parts = list(good)
+        at = len(parts[hurt]) // 2
+        parts[hurt] = parts[hurt][:at] + bytes([parts[hurt][at] ^ 255]) + parts[hurt][at + 1 :]
+        raw = b"".join(parts)
+        for cut in range(1, len(raw), 97):
+            with pytest.raises(ValueError):
+                for x in [*warc.records_from(io.BytesIO(raw), 0, cut), *warc.records_from(io.BytesIO(raw), cut, len(raw))]:
+                    warc.parse(x)
+    inside = good[0]
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    body = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(inside) + inside + b"\r\n\r\n"
+    raw = good[1] + stored.compress(body) + stored.flush() + good[2]
+    for cut in range(1, len(raw), 5):
+        got = [*warc.records_from(io.BytesIO(raw), 0, cut), *warc.records_from(io.BytesIO(raw), cut, len(raw))]
+        assert len(got) == 3 and warc.parse(got[1])[6] == inside
+
+
+def test_shards_beyond_a_thousand_leaves(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"))
+    got = Counter(r.shard for r in kdtree.shard_documents(docs, leaves=1500).collect())
+    assert set(got) == set(range(1500)) and max(got.values()) <= 6
