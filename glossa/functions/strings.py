@@ -104,3 +104,16 @@ def stem(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:
         known = {w: porter(w) for w in s.dropna().unique()}
         yield pd.Series([known.get(w) for w in s], dtype=object)
+
+
+def day_replaced(date: Column, day: Column) -> Column:
+    """A date whose last part is the number, in two digits."""
+    return F.concat(F.regexp_extract(date, "^(.*-)?", 0), F.lpad(day.cast("string"), 2, "0"))
+
+
+def last_weeks(year: Column, month: Column, n: int) -> Column:
+    """The range of the last 1, 2 or 3 weeks of a month, counted back from the length it has in a year of 365 days."""
+    length = F.when(month == 2, 28).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    head = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(head, two(length - (7 * n - 1)), F.lit(" -- "), head, two(length))

@@ -73,3 +73,54 @@ def attachment_scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) ->
     right = F.coalesce(F.col("gs") == F.col("ps"), F.lit(False))
     both = right & F.coalesce(F.col("gr") == F.col("pr"), F.lit(False))
     return g.join(p, [*keys, "dst"], "left").agg(F.avg(right.cast("double")).alias("uas"), F.avg(both.cast("double")).alias("las"))
+
+
+def endless(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node): nodes whose walk along the first incoming edge never ends, as it runs into a cycle.
+
+    Steps are doubled: after k rounds a node has walked 2^k, which is over the nodes of the largest graph at last.
+    """
+    up = cut(edges.groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("to")))
+    most = up.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    steps = 1
+    while steps <= most:
+        up = cut(up.join(up.select(*keys, F.col("node").alias("to"), F.col("to").alias("next")), [*keys, "to"]).select(*keys, "node", F.col("next").alias("to")))
+        steps *= 2
+    return up.select(*keys, "node")
+
+
+def extents(front: DataFrame, edges: DataFrame, keys: list[str], hops: int) -> DataFrame:
+    """(keys, start, first, last): the least and the largest node that can be reached from each start, itself included."""
+    return closure(front, edges, keys, hops).groupBy(*keys, "start").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+
+
+def merged(graphs: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The edges of all graphs, with those that several have once."""
+    out = graphs[0].select(*keys, "src", "dst", "rel")
+    for g in graphs[1:]:
+        out = out.union(g.select(*keys, "src", "dst", "rel"))
+    return out.distinct()
+
+
+def with_conjunctions(edges: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges whose label conj gets the conjunction: conj_<word>, by the first cc of the conjunct, or else of the head."""
+    cc = edges.where("rel = 'cc'").join(words.select(*keys, F.col("node").alias("dst"), "word"), [*keys, "dst"])
+    cc = cc.groupBy(*keys, "src").agg(F.min_by(F.lower("word"), "dst").alias("word"))
+    of = lambda end, name: cc.select(*keys, F.col("src").alias(end), F.col("word").alias(name))
+    both = edges.join(of("dst", "_own"), [*keys, "dst"], "left").join(of("src", "_head"), [*keys, "src"], "left")
+    mark = F.coalesce("_own", "_head")
+    return both.select(*keys, "src", "dst", F.when((F.col("rel") == "conj") & mark.isNotNull(), F.concat(F.lit("conj_"), mark)).otherwise(F.col("rel")).alias("rel"))
+
+
+def subjects_of_complements(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges and, for a verb with nsubj and xcomp, an edge nsubj:xsubj from the complement to the subject."""
+    subject = edges.where("rel = 'nsubj'").select(*keys, "src", F.col("dst").alias("who"))
+    new = edges.where("rel = 'xcomp'").select(*keys, "src", F.col("dst").alias("what")).join(subject, [*keys, "src"])
+    return merged([edges, new.select(*keys, F.col("what").alias("src"), F.col("who").alias("dst"), F.lit("nsubj:xsubj").alias("rel"))], keys)
+
+
+def copular_subjects(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges and, for a predicate with cop and nsubj, the subject's edge from the copula as well."""
+    subject = edges.where("rel = 'nsubj'").select(*keys, "src", F.col("dst").alias("who"))
+    new = edges.where("rel = 'cop'").select(*keys, "src", F.col("dst").alias("verb")).join(subject, [*keys, "src"])
+    return merged([edges, new.select(*keys, F.col("verb").alias("src"), F.col("who").alias("dst"), F.lit("nsubj").alias("rel"))], keys)

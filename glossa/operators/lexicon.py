@@ -84,3 +84,27 @@ def span_scores(gold: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
     on = [*keys, "start", "end", "label"]
     both = gold.select(*on).withColumn("g", F.lit(1)).join(predicted.select(*on).withColumn("p", F.lit(1)), on, "full_outer")
     return both.groupBy("label").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+
+
+def contentful(words: Column, known: Column) -> Column:
+    """Whether a span of words is worth being an entity: it holds a letter, and has two words, over three characters, a digit, an upper-case letter, or a known first word."""
+    text = F.array_join(words, " ")
+    enough = (F.size(words) > 1) | (F.length(text) > 3) | text.rlike("[0-9]") | text.rlike(r"\p{Lu}") | F.coalesce(F.array_contains(known, F.get(words, F.lit(0))), F.lit(False))
+    return text.rlike(r"\p{L}") & enough
+
+
+def accepted(custom: DataFrame, generic: DataFrame, *keys: str) -> DataFrame:
+    """Spans (keys, start, end, label) of `custom` both of whose ends are no inner places of one of `generic`.
+
+    Inner places are a row each, so this is an equality join, however many spans a sentence has.
+    """
+    inner = generic.where("end - start > 1").select(*keys, F.explode(F.sequence(F.col("start") + 1, F.col("end") - 1)).alias("_at")).distinct()
+    left = custom.join(inner.withColumnRenamed("_at", "start"), [*keys, "start"], "left_anti").join(inner.withColumnRenamed("_at", "end"), [*keys, "end"], "left_anti")
+    return left.select(*keys, "start", "end", "label")
+
+
+def cleared_before(tokens: DataFrame, *keys: str, cleared: str, before: str, label: str = "entity") -> DataFrame:
+    """tokens with the runs of labels that fit the regex `cleared` turned to O where `before` comes next."""
+    loose = F.col(label).rlike(cleared)
+    following = F.first(F.when(~loose, F.col(label)), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("tok").rowsBetween(1, Window.unboundedFollowing))
+    return tokens.withColumn(label, F.when(loose & (following == before), "O").otherwise(F.col(label)))

@@ -37,15 +37,17 @@ def outermost(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hypernyms(nodes: DataFrame, most: int = 32) -> DataFrame:
-    """(name, above, depth) of (name, parent): each label and all that it is a kind of."""
+    """(name, above, depth) of (name, parent): each label and all that it is a kind of. Deeper than `most`, or in a circle, is an error."""
     now = nodes.select("name", F.col("name").alias("above"), F.lit(0).alias("depth"))
     links = nodes.where("parent is not null").select(F.col("name").alias("above"), "parent")
     out = now
     for d in range(1, most + 1):
         now = now.join(links, "above").select("name", F.col("parent").alias("above"), F.lit(d).alias("depth"))
         if not now.head(1):
-            break
+            return out
         out = out.union(now)
+    if now.join(links, "above").head(1):
+        raise ValueError(f"labels are over {most} deep, or in a circle")
     return out
 
 
@@ -79,3 +81,27 @@ def merged_labels(into: Column, source: Column) -> Column:
     runs = F.transform(starts, lambda i: F.struct(i.alias("a"), ends(i).alias("b")))
     free = F.filter(runs, lambda r: F.forall(F.slice(into, r["a"] + 1, r["b"] - r["a"]), lambda x: x == "O"))
     return F.transform(into, lambda x, i: F.when(F.exists(free, lambda r: (r["a"] <= i) & (i < r["b"])), source[i]).otherwise(x))
+
+
+def longest_of_overlapping(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (keys, start, end) that no overlapping one beats, by length, then by the earlier start: those that are best at each of their places.
+
+    Places are a row each, so overlapping spans never form pairs.
+    """
+    each = spans.select(*keys, "start", "end").distinct()
+    places = each.withColumn("_at", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    best = places.groupBy(*keys, "_at").agg(F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("s"))).alias("b"))
+    held = best.groupBy(*keys, (-F.col("b.s")).alias("start"), (F.col("b.n") - F.col("b.s")).alias("end")).agg(F.count("*").alias("_n"))
+    return held.where("_n = end - start").select(*keys, "start", "end")
+
+
+def top_of_head(mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the mentions (keys, head, start, end) with one head, the longest, ties to the earlier start."""
+    order = Window.partitionBy(*keys, "head").orderBy(F.desc(F.col("end") - F.col("start")), "start")
+    return mentions.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def chain_of(asked: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """All mentions (keys, chain, head, ...) of the chains to which the mentions with the heads asked for (keys, head) belong."""
+    chains = asked.join(mentions.select(*keys, "head", "chain"), [*keys, "head"]).select(*keys, "chain").distinct()
+    return mentions.join(chains, [*keys, "chain"])

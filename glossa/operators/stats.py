@@ -25,6 +25,13 @@ def combine(left: DataFrame, right: DataFrame, key: str, how: str, default: floa
     return both.select(key, value.alias("n"))
 
 
+def combined(left: DataFrame, right: DataFrame, key: str, default: float = 0.0) -> DataFrame:
+    """(key, plus, minus, times, ratio) of counters (key, n), over the union of their keys, in one join."""
+    a, b = F.coalesce("x", F.lit(default)), F.coalesce("y", F.lit(default))
+    both = left.select(key, F.col("n").cast("double").alias("x")).join(right.select(key, F.col("n").cast("double").alias("y")), key, "full_outer")
+    return both.select(key, (a + b).alias("plus"), (a - b).alias("minus"), (a * b).alias("times"), F.try_divide(a, b).alias("ratio"))
+
+
 def dot_products(a: DataFrame, b: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """(left, right, dot, cosine) of sparse vectors (id, key, n) that share a key."""
     norms = lambda df, i: df.groupBy(i).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
@@ -174,3 +181,52 @@ def extremes(counts: DataFrame, key: str, *keys: str) -> DataFrame:
 
 def accuracy(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     return rows.agg((100 * F.avg((F.col(gold) == F.col(predicted)).cast("double"))).alias("accuracy"))
+
+
+def norms(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, l1, l2) of counters (keys, n): the plain sum of the values, and the root of the sum of their squares."""
+    return counts.groupBy(*keys).agg(F.sum("n").alias("l1"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l2"))
+
+
+def equal_histogram(rows: DataFrame, value: str, n: int) -> DataFrame:
+    """(bucket, n) of n buckets of equal width between least and largest value, closed on the right; every bucket has a row."""
+    ends = rows.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).where("lo is not null")
+    at = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.ceil((F.col(value) - F.col("lo")) * n / (F.col("hi") - F.col("lo"))) - 1))
+    bucket = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(at).cast("int")
+    counts = rows.where(F.col(value).isNotNull()).join(F.broadcast(ends)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))  # one row
+    every = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"))
+    return every.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def n_best(rows: DataFrame, n: int, score: str, *ties: str) -> DataFrame:
+    """The n rows of the highest scores; each task keeps n at most."""
+    return rows.orderBy(F.desc(score), *ties).limit(n)
+
+
+def n_sampled(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """n rows at random: those of the least hash of seed and key, whatever the partitions."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key).limit(n)
+
+
+def top_per_group(rows: DataFrame, n: int, group: str, score: str, *ties: str) -> DataFrame:
+    """The n rows of the highest scores of each group, with rank from 1; each task keeps n of a group at most."""
+    order = Window.partitionBy(group).orderBy(F.desc(score), *ties)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def micro_scores(gold: DataFrame, predicted: DataFrame, on: list[str]) -> DataFrame:
+    """One row (precision, recall, f1) of exact matches of distinct rows, summed over all."""
+    both = gold.select(*on).distinct().withColumn("_g", F.lit(1)).join(predicted.select(*on).distinct().withColumn("_p", F.lit(1)), on, "full_outer")
+    sums = both.agg(F.count("_g").alias("g"), F.count("_p").alias("p"), F.count_if(F.col("_g").isNotNull() & F.col("_p").isNotNull()).alias("hit"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    out = sums.select(share("hit", "p").alias("precision"), share("hit", "g").alias("recall"))
+    return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def indexed(rows: DataFrame, group: str, key: str, *order: str) -> DataFrame:
+    """(group, key, index): a lexicon of the distinct keys of each group, numbered from 0 in the order they come first in.
+
+    Keys taken out before are not counted, so that later ones move up.
+    """
+    first = rows.groupBy(group, key).agg(F.min(F.struct(*order)).alias("_at"))
+    return first.select(group, key, (F.row_number().over(Window.partitionBy(group).orderBy("_at", key)) - 1).alias("index"))

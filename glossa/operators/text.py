@@ -124,3 +124,58 @@ def corrected_tags(tokens: DataFrame, pairs: dict[tuple[str, str], str], *keys:
     for (word, following), new in pairs.items():
         tag = tag.when((low == word) & (after == following), new)
     return tokens.withColumn("tag", tag.otherwise(F.col("tag")))
+
+
+def lines_as_sentences(docs: DataFrame, key: str, between: int = 1) -> DataFrame:
+    """(key, sent, begin, end): a document of a list of sentences, one a line; offsets go on with `between` characters after each."""
+    lines = F.split("text", "\n", -1)
+    rows = F.transform(lines, lambda x, i: F.struct(i.alias("sent"), F.length(x).alias("n")))
+    spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sent:int,begin:int,end:int>>").alias("out")), lambda a, x: F.struct((a["at"] + x["n"] + between).alias("at"), F.array_append(a["out"], F.struct(x["sent"].alias("sent"), a["at"].alias("begin"), (a["at"] + x["n"]).alias("end"))).alias("out")), lambda a: a["out"])
+    return docs.where("text is not null").select(key, F.inline(spans))
+
+
+def made_offsets(words: DataFrame, *keys: str, between: int = 1) -> DataFrame:
+    """(keys, tok, start, end) for tokens (keys, tok, word) without offsets: their lengths, `between` characters apart."""
+    ahead = Window.partitionBy(*keys).orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("word") + between).over(ahead), F.lit(0))
+    return words.select(*keys, "tok", start.cast("int").alias("start"), (start + F.length("word")).cast("int").alias("end"))
+
+
+def reversed_layers(sentence: Column, names: list[str]) -> Column:
+    """A sentence whose layers run from right to left; graphs stay as they are."""
+    out = sentence
+    for n in names:
+        out = out.withField(n, F.reverse(sentence[n]))
+    return out
+
+
+def ordered_hash(words: Column) -> Column:
+    """The same for equal sequences."""
+    return F.md5(F.array_join(words, "\u001f"))
+
+
+def unordered_hash(words: Column) -> Column:
+    """The same for equal bags, whatever their order."""
+    return ordered_hash(F.array_sort(words))
+
+
+def tokens_between(tokens: DataFrame, *keys: str, first: int, last: int) -> DataFrame:
+    """Tokens (keys, tok, ...) from `first` to `last`, numbered anew."""
+    return tokens.where((F.col("tok") >= first) & (F.col("tok") < last)).withColumn("tok", F.col("tok") - first)
+
+
+def properties(arguments: list[str]) -> dict[str, str]:
+    """`-name value`, `--name=value` and `-flag` (true) as a map; a name keeps its last value, other words go under ''."""
+    out: dict[str, str] = {}
+    i = 0
+    while i < len(arguments):
+        a = arguments[i]
+        if a.startswith("-") and a.strip("-"):
+            name, eq, value = a.lstrip("-").partition("=")
+            if not eq and i + 1 < len(arguments) and not arguments[i + 1].startswith("-"):
+                i, value = i + 1, arguments[i + 1]
+            out[name] = value if value or eq else "true"
+        else:
+            out[""] = f"{out[''] } {a}" if "" in out else a
+        i += 1
+    return out

@@ -278,16 +278,12 @@ def counter_top_keys(spark, d):
     return stats.top_keys(words(spark, d).groupBy("word").agg(F.count("*").alias("n")), 50, "word")
 
 
-@query(f"""WITH {W}, l AS (SELECT word, lang, count(*) AS n FROM w JOIN documents USING (doc_id) GROUP BY ALL), a AS (SELECT word, n FROM l WHERE lang = 'en'), b AS (SELECT word, n FROM l WHERE lang = 'de')
-SELECT word, coalesce(a.n, 0)::DOUBLE + coalesce(b.n, 0) AS plus, coalesce(a.n, 0)::DOUBLE - coalesce(b.n, 0) AS minus, coalesce(a.n, 0)::DOUBLE * coalesce(b.n, 0) AS times,
-CASE WHEN coalesce(b.n, 0) <> 0 THEN round(coalesce(a.n, 0)::DOUBLE / b.n, 6) END AS ratio FROM a FULL OUTER JOIN b USING (word)""")
+@query(r"""WITH l AS MATERIALIZED (SELECT word, count(*) FILTER (lang = 'en')::DOUBLE AS a, count(*) FILTER (lang IS DISTINCT FROM 'en')::DOUBLE AS b FROM (SELECT lang, unnest(regexp_extract_all(text, '[^ \t\n\r]+')) AS word FROM documents) GROUP BY word)
+SELECT word, a + b AS plus, a - b AS minus, a * b AS times, CASE WHEN b <> 0 THEN round(a / b, 6) END AS ratio FROM l""")
 def counter_algebra(spark, d):
-    by = docs(spark, d).select("lang", F.explode(F.regexp_extract_all("text", F.lit(text.BLANKS), F.lit(0))).alias("word")).where("lang in ('en', 'de')").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    a, b = by.where("lang = 'en'"), by.where("lang = 'de'")
-    out = None
-    for how, name in (("+", "plus"), ("-", "minus"), ("*", "times"), ("/", "ratio")):
-        one = stats.combine(a, b, "word", how).withColumnRenamed("n", name)
-        out = one if out is None else out.join(one, "word")
+    """The words of English documents against those of all others."""
+    by = docs(spark, d).select((F.coalesce(F.col("lang") == "en", F.lit(False))).alias("en"), F.explode(F.regexp_extract_all("text", F.lit(text.BLANKS), F.lit(0))).alias("word")).groupBy("en", "word").agg(F.count("*").alias("n"))
+    out = stats.combined(by.where("en"), by.where("not en"), "word")
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -402,7 +398,8 @@ def lexicon_entities(spark, d):
     return lexicon_hits(spark, d)
 
 
-@query(f"""WITH {_HITS} SELECT doc_id, CAST(tok AS INTEGER) AS tok, coalesce((CASE WHEN tok = start THEN 'B-' ELSE 'I-' END) || label, 'O') AS entity FROM w LEFT JOIN m ON w.doc_id = m.doc_id AND tok >= start AND tok < "end" """.replace("SELECT doc_id, CAST(tok AS INTEGER) AS tok, coal", "SELECT w.doc_id, CAST(tok AS INTEGER) AS tok, coal"))
+@query(f"""WITH {_HITS}, p AS (SELECT doc_id, start, label, unnest(range(start, "end")) AS tok FROM m)
+SELECT w.doc_id, CAST(w.tok AS INTEGER) AS tok, coalesce((CASE WHEN w.tok = start THEN 'B-' ELSE 'I-' END) || label, 'O') AS entity FROM w LEFT JOIN p ON w.doc_id = p.doc_id AND w.tok = p.tok""")
 def bio_labels(spark, d):
     hits = lexicon_hits(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
     both = one_sentence(spark, d).where("size(words) > 0").join(hits, "doc_id", "left")

@@ -1,5 +1,6 @@
 """Queries of the text-analytics operators and their SQL."""
 
+import glossa.queries_tables  # noqa: F401  registers its queries
 from glossa.queries import ORACLES, QUERIES
 
 FLAGSHIP = "token_rule_basic"
