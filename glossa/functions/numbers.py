@@ -7,9 +7,15 @@ written as doubles, `2.0`. The recogniser is a grammar of the rule engine whose
 from __future__ import annotations
 
 import calendar
+import datetime
 import re
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
 from glossa.plans.rules import Mention, State, extract_from, read_rules
 
 # English number words.
@@ -20,15 +26,33 @@ ORDINALS = {"first": 1, "second": 2, "third": 3, "fifth": 5, "eighth": 8, "ninth
 MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_name) if m}
 UNKNOWN_DATE, REFERENCE = "XXXX-XX-XX", "ref-date"
 #: First and last day of a season, as month and day.
-SEASONS = {"spring": ((3, 20), (6, 20)), "summer": ((6, 21), (9, 22)), "autumn": ((9, 23), (12, 20)), "fall": ((9, 23), (12, 20)), "winter": ((12, 21), (3, 20))}
-#: Holidays on a fixed day. Movable ones are left to the caller's own table.
+# Fixed values.
+SEASONS = {"winter": ((12, 21), (3, 20)), "spring": ((3, 20), (6, 21)), "summer": ((6, 21), (9, 22)), "autumn": ((9, 22), (12, 21)), "fall": ((9, 22), (12, 21))}
+#: First and last day of the weeks of a month, but for the last ones, which are counted back from its end. Fixed values.
+WEEKS = {"first week": (1, 7), "second week": (8, 14), "third week": (15, 21), "fourth week": (22, 28), "first two weeks": (1, 14), "second two weeks": (15, 28)}
+LAST_WEEKS = {"last week": 6, "last two weeks": 13, "last three weeks": 20}
+#: Holidays on a fixed day.
 HOLIDAYS = {"christmas": (12, 25), "christmas eve": (12, 24), "halloween": (10, 31), "independence day": (7, 4), "valentine 's day": (2, 14), "new year 's eve": (12, 31), "new year 's day": (1, 1), "boxing day": (12, 26)}
+#: Holidays on a weekday of a month: month, weekday (Monday is 0), and which of them (-1: the last).
+WEEKDAY_HOLIDAYS = {
+    "martin luther king day": (1, 0, 3), "presidents day": (2, 0, 3), "mothers day": (5, 6, 2), "memorial day": (5, 0, -1), "fathers day": (6, 6, 3),
+    "labor day": (9, 0, 1), "columbus day": (10, 0, 2), "thanksgiving": (11, 3, 4),
+}
+#: Holidays at a number of days from Easter Sunday.
+EASTER_HOLIDAYS = {"ash wednesday": -46, "palm sunday": -7, "good friday": -2, "easter": 0, "easter sunday": 0, "easter monday": 1, "ascension day": 39, "pentecost": 49, "corpus christi": 60}
 #: Unit to its canonical name and class.
 MEASURES = {
     "km": ("km", "LENGTH"), "kilometer": ("km", "LENGTH"), "kilometre": ("km", "LENGTH"), "m": ("m", "LENGTH"), "meter": ("m", "LENGTH"), "metre": ("m", "LENGTH"), "cm": ("cm", "LENGTH"), "mm": ("mm", "LENGTH"),
     "mile": ("mile", "LENGTH"), "kg": ("kg", "WEIGHT"), "kilogram": ("kg", "WEIGHT"), "g": ("g", "WEIGHT"), "gram": ("g", "WEIGHT"), "t": ("t", "WEIGHT"), "ton": ("t", "WEIGHT"), "tonne": ("t", "WEIGHT"),
     "ha": ("ha", "AREA"), "hectare": ("ha", "AREA"), "acre": ("acre", "AREA"), "l": ("l", "VOLUME"), "liter": ("l", "VOLUME"), "litre": ("l", "VOLUME"), "day": ("d", "TIME"), "hour": ("h", "TIME"), "year": ("year", "TIME"), "month": ("month", "TIME"),
+    "foot": ("ft", "LENGTH"), "feet": ("ft", "LENGTH"), "ft": ("ft", "LENGTH"), "inch": ("in", "LENGTH"), "inches": ("in", "LENGTH"), "yard": ("yd", "LENGTH"), "pound": ("lb", "WEIGHT"), "lb": ("lb", "WEIGHT"),
+    "ounce": ("oz", "WEIGHT"), "oz": ("oz", "WEIGHT"), "gallon": ("gal", "VOLUME"), "second": ("s", "TIME"), "minute": ("min", "TIME"), "week": ("week", "TIME"),
 }
+for _short, _long in (("k", "kilo"), ("h", "hecto"), ("d", "deci"), ("c", "centi"), ("m", "milli")):  # metric prefixes
+    for _base, _names, _class in (("m", ("meter", "metre"), "LENGTH"), ("g", ("gram",), "WEIGHT"), ("l", ("liter", "litre"), "VOLUME")):
+        for _name in (_short + _base, *(_long + n for n in _names)):
+            MEASURES.setdefault(_name, (_short + _base, _class))
+del MEASURES["dm"], MEASURES["dl"], MEASURES["dg"], MEASURES["hm"]  # also found as other abbreviations
 
 
 def _numeric(word: str) -> float | None:
@@ -104,6 +128,49 @@ def season_range(season: str, year: int | None = None) -> str:
     return f"{make_date(d1, m1, year)} -- {make_date(d2, m2, year + 1 if year and m2 < m1 else year)}"
 
 
+def easter(year: int) -> datetime.date:
+    """Easter Sunday of the Gregorian calendar."""
+    a, (b, c) = year % 19, divmod(year, 100)
+    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+    w = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+    month, day = divmod(h + w - 7 * ((a + 11 * h + 22 * w) // 451) + 114, 31)
+    return datetime.date(year, month, day + 1)
+
+
+def holiday_date(name: str, year: int | None) -> str | None:
+    """The day of a holiday; a movable one has none without a year."""
+    name = name.lower()
+    if name in HOLIDAYS:
+        month, day = HOLIDAYS[name]
+        return make_date(day, month, year)
+    if year is None:
+        return None
+    if name in EASTER_HOLIDAYS:
+        return (easter(year) + datetime.timedelta(EASTER_HOLIDAYS[name])).isoformat()
+    month, weekday, which = WEEKDAY_HOLIDAYS[name]
+    days = [d for d in calendar.Calendar().itermonthdates(year, month) if d.month == month and d.weekday() == weekday]
+    return days[which - (which > 0)].isoformat()
+
+
+def season_end(season: str, year: int | None) -> str:
+    return season_range(season, year).split(" -- ")[1]
+
+
+def season_start(season: str, year: int | None) -> str:
+    return season_range(season, year).split(" -- ")[0]
+
+
+def week_days(week: str, month: int) -> tuple[int, int]:
+    """First and last day of the weeks that words name; the last ones from the month's length in a year of 365 days."""
+    week = week.lower()
+    if week in LAST_WEEKS:
+        end = calendar.monthrange(2001, month)[1]
+        return end - LAST_WEEKS[week], end
+    for short, long in (("1st", "first"), ("2nd", "second"), ("3rd", "third"), ("4th", "fourth")):
+        week = week.replace(short, long)
+    return WEEKS[week if week in WEEKS else week.split()[0] + " week"]
+
+
 def part_of(date: str, part: float) -> str:
     """A day, or a month, at a share of a month or year: 0 its start, 0.5 its middle, 1 its end."""
     y, m, d = date[:10].split("-")
@@ -120,11 +187,13 @@ def unit_norm(words: list[str]) -> tuple[str, str | None]:
 
 
 _MONTH = "|".join(f"{m}|{m[:3]}[.]?" for m in MONTHS)
+_HOLIDAYS = " | ".join(" ".join(f"[word=/(?i)^{w}$/]" for w in name.split()) for name in sorted([*HOLIDAYS, *WEEKDAY_HOLIDAYS, *EASTER_HOLIDAYS], key=lambda n: (-len(n.split()), n)))
 GRAMMAR = f"""
 vars:
   num: '/^[+-]?([0-9][0-9,]*([.][0-9]+)?|[.][0-9]+)$/'
   numword: '/(?i)^({"|".join([*UNITS, *TENS, *SCALES])})(-[a-z]+)?$/'
   month: '/(?i)^({_MONTH})$/'
+  season: '/(?i)^({"|".join(SEASONS)})$/'
   year: '/^(1[0-9]|20)[0-9][0-9]$/'
   day: '/^([1-9]|[12][0-9]|3[01])(st|nd|rd|th)?$/'
 rules:
@@ -138,8 +207,22 @@ rules:
 - {{name: month-year, label: DATE, type: token, priority: 3, action: date, pattern: "(?<month>[word=${{month}}]) (',' | of)? (?<year>[word=${{year}}])"}}
 - {{name: month, label: DATE, type: token, priority: 3, action: date, pattern: "(?<=[word=/(?i)^(in|of|since|until|by|during|from|to|before|after)$/]) (?<month>[word=${{month}}]) (?![word=${{day}}] | [word=${{year}}])"}}
 - {{name: in-year, label: DATE, type: token, priority: 3, action: date, pattern: "(?<=[word=/(?i)^(in|since|until|by|during|from|to|before|after)$/]) (?<year>[word=${{year}}])"}}
-- {{name: holiday, label: DATE, type: token, priority: 3, action: date, pattern: "[word=/(?i)^(christmas|halloween)$/] (?<year>[word=${{year}}])?"}}
-- {{name: season, label: DATE-RANGE, type: token, priority: 3, action: season, pattern: "[word=/(?i)^(spring|summer|autumn|fall|winter)$/] of? (?<year>[word=${{year}}])"}}
+- {{name: holiday, label: DATE, type: token, priority: 3, action: holiday, pattern: "(?<holiday>{_HOLIDAYS}) ([word=/(?i)^(in|of|,)$/]? (?<year>[word=${{year}}]))?"}}
+- {{name: ym, label: DATE, type: token, priority: 3, action: date, pattern: "[word=/^[0-9]{{4}}[-\\\\/][0-9]{{1,2}}$/]"}}
+- {{name: my, label: DATE, type: token, priority: 3, action: date, pattern: "[word=/^[0-9]{{1,2}}[-\\\\/][0-9]{{4}}$/]"}}
+- {{name: short-ymd, label: DATE, type: token, priority: 3, action: date, pattern: "[word=/^[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}$/]"}}
+- {{name: years, label: DATE-RANGE, type: token, priority: 3, action: years, pattern: "[word=/^(1[0-9]|20)[0-9][0-9]-(1[0-9]|20)[0-9][0-9]$/]"}}
+- {{name: vague-season, label: DATE-RANGE, type: token, priority: 3, action: years, pattern: "[word=/^(1[0-9]|20)[0-9][0-9](WS|DS)$/]"}}
+- {{name: months, label: DATE-RANGE, type: token, priority: 5, action: months, pattern: "[word=/(?i)^(from|between)$/]? (?<m1>[word=${{month}}]) [word=/(?i)^(to|until|and|-)$/] (?<m2>[word=${{month}}]) (',' | of | in)? (?<year>[word=${{year}}])"}}
+- {{name: days, label: DATE-RANGE, type: token, priority: 5, action: days, pattern: "[word=/(?i)^(from|between)$/] (?<number>[word=${{day}}]) [word=/(?i)^(to|until|and|-)$/] @b:DATE"}}
+- {{name: week, label: DATE-RANGE, type: token, priority: 5, action: week, pattern: "(?<week>[word=/(?i)^(first|1st|second|2nd|third|3rd|fourth|4th|last)$/] [word=/(?i)^week$/] | [word=/(?i)^(first|second|last)$/] [word=/(?i)^(two|three)$/] [word=/(?i)^weeks$/]) of (?<month>[word=${{month}}])"}}
+- {{name: weeks, label: DATE-RANGE, type: token, priority: 5, action: weeks, pattern: "[word=/(?i)^between$/] [word=/(?i)^the$/]? (?<w1>[word=/(?i)^(first|1st|second|2nd)$/]) [word=/(?i)^week$/]? [word=/(?i)^(and|to)$/] [word=/(?i)^the$/]? (?<w2>[word=/(?i)^(second|2nd|third|3rd|fourth|4th|last)$/]) [word=/(?i)^weeks?$/] of (?<month>[word=${{month}}])"}}
+- {{name: season, label: DATE-RANGE, type: token, priority: 3, action: season, pattern: "(?<season>[word=${{season}}]) [word=/(?i)^(in|of)$/]? (?<year>[word=${{year}}]) | (?<year>[word=${{year}}]) (?<season>[word=${{season}}])"}}
+- {{name: seasons, label: DATE-RANGE, type: token, priority: 5, action: seasons, pattern: "[word=/(?i)^(from|between)$/]? (?<s1>[word=${{season}}]) (?<y1>[word=${{year}}])? [word=/(?i)^(to|and|-)$/] (?<s2>[word=${{season}}]) [word=/(?i)^(in|of)$/]? (?<y2>[word=${{year}}])"}}
+- {{name: season-since, label: DATE-RANGE, type: token, priority: 5, action: season-open, pattern: "[word=/(?i)^(since|from)$/] (?<season>[word=${{season}}]) [word=/(?i)^(in|of)$/]? (?<year>[word=${{year}}])?"}}
+- {{name: season-until, label: DATE-RANGE, type: token, priority: 5, action: season-open, pattern: "[word=/(?i)^(until|through)$/] (?<season>[word=${{season}}]) [word=/(?i)^(in|of)$/]? (?<year>[word=${{year}}])?"}}
+- {{name: season-before, label: DATE-RANGE, type: token, priority: 5, action: season-open, pattern: "[word=/(?i)^(before|prior|previous)$/] to? (?<season>[word=${{season}}]) [word=/(?i)^(in|of)$/]? (?<year>[word=${{year}}])?"}}
+- {{name: season-after, label: DATE-RANGE, type: token, priority: 5, action: season-open, pattern: "[word=/(?i)^(after|beyond|following)$/] (?<season>[word=${{season}}]) [word=/(?i)^(in|of)$/]? (?<year>[word=${{year}}])?"}}
 - {{name: part, label: DATE, type: token, priority: 4, action: part, pattern: "[word=/(?i)^(start|beginning|middle|mid|end)$/] of? @date:DATE"}}
 - {{name: approx, label: DATE, type: token, priority: 4, action: approx, pattern: "[word=/(?i)^(around|about|circa)$/] @date:DATE"}}
 - {{name: from-to, label: DATE-RANGE, type: token, priority: 5, action: dates, pattern: "[word=/(?i)^(from|between)$/] @a:DATE [word=/^(to|until|and|-)$/] @b:DATE"}}
@@ -186,8 +269,12 @@ def _actions(words: list[list[str]]) -> dict:
             y, mo, d = re.split("[-/]", w[0])
         elif m.found_by == "dmy":
             d, mo, y = re.split("[-/]", w[0])
-        elif m.found_by == "holiday":
-            (mo, d), y = HOLIDAYS[w[0].lower()], first(m, "year")
+        elif m.found_by == "ym":
+            (y, mo), d = re.split("[-/]", w[0]), None
+        elif m.found_by == "my":
+            (mo, y), d = re.split("[-/]", w[0]), None
+        elif m.found_by == "short-ymd":
+            y, mo, d = w[0].split("-")
         else:
             d, mo, y = (first(m, r) for r in ("day", "month", "year"))
             d = re.sub("[a-z]+$", "", d) if d else None
@@ -208,9 +295,44 @@ def _actions(words: list[list[str]]) -> dict:
         unit, kind = unit_norm(text(m.of("unit")[0])) if m.of("unit") else ("%", None)
         return _normed(m, f"{known(m, 'n')} {unit}", f"MEASUREMENT-{kind}" if kind else m.label)
 
+    def year_of(m: Mention, role: str = "year") -> int | None:
+        return int(first(m, role)) if m.of(role) else None
+
+    def years(m: Mention):
+        w = text(m)[0]
+        a, b = w.split("-") if "-" in w else (w[:4], w[:4])
+        return _normed(m, f"{make_date(None, None, a)} -- {make_date(None, None, b)}")
+
+    def months(m: Mention):
+        return _normed(m, " -- ".join(make_date(None, first(m, r).rstrip("."), first(m, "year")) for r in ("m1", "m2")))
+
+    def days(m: Mention):
+        b, n = known(m, "b"), int(re.sub("[a-z]+$", "", first(m, "number")))
+        return _normed(m, f"{b[:8]}{n:02} -- {b}") if re.fullmatch(r"[0-9X]{4}-[0-9]{2}-[0-9]{2}", b) else []
+
+    def of_month(m: Mention, *weeks: str):
+        month = int(make_date(None, first(m, "month").rstrip("."))[5:7])
+        a, b = week_days(weeks[0], month)[0], week_days(weeks[-1], month)[1]
+        return _normed(m, f"{make_date(a, month)} -- {make_date(b, month)}")
+
+    def seasons(m: Mention):
+        y2 = year_of(m, "y2")
+        return _normed(m, f"{season_end(first(m, 's1'), year_of(m, 'y1') or y2)} -- {season_start(first(m, 's2'), y2)}")
+
+    def season_open(m: Mention):
+        s, y = first(m, "season"), year_of(m)
+        a, b = {
+            "season-since": (season_end(s, y), REFERENCE), "season-until": (REFERENCE, season_start(s, y)),
+            "season-before": (UNKNOWN_DATE, season_start(s, y)), "season-after": (season_end(s, y), UNKNOWN_DATE),
+        }[m.found_by]
+        return _normed(m, f"{a} -- {b}")
+
     each = {
+        "holiday": lambda m: _normed(m, holiday_date(first(m, "holiday"), year_of(m))), "years": years, "months": months, "days": days,
+        "week": lambda m: of_month(m, first(m, "week")), "weeks": lambda m: of_month(m, first(m, "w1") + " week", first(m, "w2") + " week"),
+        "seasons": seasons, "season-open": season_open, "season": lambda m: _normed(m, season_range(first(m, "season"), year_of(m))),
         "number": number, "range": number_range, "date": date, "dates": dates, "part": part, "measure": measure,
-        "season": lambda m: _normed(m, season_range(text(m)[0], int(first(m, "year")))), "approx": lambda m: _normed(m, known(m, "date") + " [APPROX]"),
+        "approx": lambda m: _normed(m, known(m, "date") + " [APPROX]"),
     }
 
     def safe(f):
@@ -246,3 +368,17 @@ def label_tokens(words: list[str], found: list[tuple[int, int, str, str]]) -> tu
         for i in range(start, end):
             labels[i], norms[i] = ("B-" if i == start else "I-") + label, norm
     return labels, norms
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("label", StringType()), StructField("norm", StringType())])))
+def norms_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The numeric mentions of each text, whose tokens blanks part; the grammar is read once a worker."""
+    for batch in texts:
+        yield pd.Series([[{"label": r[3], "norm": r[4]} for r in recognise([t.split()])] if t else [] for t in batch])
+
+
+@F.pandas_udf(DoubleType())
+def numbers_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The number that each text's words stand for; null if they stand for none."""
+    for batch in texts:
+        yield pd.Series([parse_number(t.split()) if t else None for t in batch], dtype="float64")

@@ -105,3 +105,14 @@ def chain_of(asked: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFram
     """All mentions (keys, chain, head, ...) of the chains to which the mentions with the heads asked for (keys, head) belong."""
     chains = asked.join(mentions.select(*keys, "head", "chain"), [*keys, "head"]).select(*keys, "chain").distinct()
     return mentions.join(chains, [*keys, "chain"])
+
+
+def with_merged_labels(tokens: DataFrame, keys: list[str], into: str, source: str) -> DataFrame:
+    """tokens (keys, tok, into, source) with a column `labels`: those of `into`, with each entity of `source` copied where all of its places are O."""
+    order = Window.partitionBy(*keys).orderBy("tok")
+    kind = F.substring(source, 1, 2)
+    rows = tokens.withColumn("_run", F.sum((kind != "I-").cast("int")).over(order))  # a B- or an O begins anew
+    inside = Window.partitionBy(*keys, "_run")
+    entity = F.max((kind == "B-").cast("int")).over(inside) == 1
+    free = F.max((F.col(into) != "O").cast("int")).over(inside) == 0
+    return rows.withColumn("labels", F.when(entity & free, F.col(source)).otherwise(F.col(into))).drop("_run")

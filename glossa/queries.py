@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from glossa.functions.tokenizer import with_sentences
 from glossa.operators import graphs, lexicon, mentions, stats, text
@@ -232,20 +231,6 @@ def string_parts(spark, d):
     return table(spark, d, "pages").select("page_id", text.before_first(url, "?").alias("path"), text.after_last(url, "/").alias("last"), text.parens_normalised(url).alias("parens"))
 
 
-WORDS_IN = "(VALUES (1, 'won''t'), (2, 'don''t'), (3, 'I''m'), (4, 'let''s'), (5, 'dog''s'), (6, 'we''ve'), (7, 'they''re'), (8, 'she''ll'), (9, 'ain''t'), (10, 'plain'), (11, 'mid-July'), (12, 'non-zero'), (13, 'all-in'), (14, 'x-ray'), (15, 'Can''t')) AS t(id, word)"
-
-
-@query("""SELECT * FROM (VALUES (1, ['will', 'not']), (2, ['do', 'not']), (3, ['I', 'am']), (4, ['let''s']), (5, ['dog', '''s']), (6, ['we', 'have']), (7, ['they', 'are']), (8, ['she', 'will']), (9, ['ain''t']), (10, ['plain']),
-(11, ['mid-July']), (12, ['non-zero']), (13, ['all-in']), (14, ['x-ray']), (15, ['can', 'not'])) AS t(id, parts)""")
-def contractions(spark, d):
-    return spark.sql(f"SELECT * FROM {WORDS_IN}").select("id", text.contraction_parts(F.col("word")).alias("parts"))
-
-
-@query(rf"""SELECT id, CASE WHEN regexp_matches(word, '^(mid|bi|semi|non|all)-[A-Za-z0-9_]+$') THEN [split_part(word, '-', 1), split_part(word, '-', 2)] ELSE [word] END AS parts FROM {WORDS_IN}""")
-def hyphens(spark, d):
-    return spark.sql(f"SELECT * FROM {WORDS_IN}").select("id", text.hyphen_parts(F.col("word")).alias("parts"))
-
-
 @query("""SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "begin",
 CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS BIGINT) AS "end" FROM conversations""")
 def combined_documents(spark, d):
@@ -259,12 +244,6 @@ def veiled_texts(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.veiled(F.col("text"), ranges).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, 'as shown     here'), (2, 'see         and    .'), (3, 'none')) AS t(id, text)")
-def references_removed(spark, d):
-    rows = "(VALUES (1, 'as shown [1] here'), (2, 'see [2,3-5] and [7].'), (3, 'none')) AS t(id, text)"
-    return spark.sql(f"SELECT * FROM {rows}").select("id", text.without_references(F.col("text")).alias("text"))
-
-
 # --- counters and measures
 
 
@@ -413,12 +392,6 @@ def bio_spans(spark, d):
     return lexicon.spans(bio_labels(spark, d), "doc_id")
 
 
-@query("SELECT * FROM (VALUES (0, 'B-A'), (1, 'I-A'), (2, 'B-B'), (3, 'O'), (4, 'B-A'), (5, 'B-C')) AS t(tok, entity)")
-def bio_patched(spark, d):
-    rows = spark.sql("SELECT 1 AS id, * FROM (VALUES (0, 'I-A'), (1, 'I-A'), (2, 'I-B'), (3, 'O'), (4, 'I-A'), (5, 'B-C')) AS t(tok, entity)")
-    return lexicon.patched(rows, "id").select("tok", "entity")
-
-
 @query(rf"""WITH {W}, c AS (SELECT doc_id, count(*) FILTER (regexp_matches(word, 'ing$')) AS p, count(*) FILTER (regexp_matches(word, '^un')) AS n FROM w GROUP BY doc_id),
 s AS (SELECT doc_id, CASE WHEN p = 0 AND n = 0 THEN 0.5 WHEN n = 0 THEN 1.0 WHEN p = 0 THEN 0.0 ELSE 1 / (1 + exp((n - p)::DOUBLE)) END::DOUBLE AS positive FROM c) SELECT doc_id, round(positive, 6) AS positive, round(1 - positive, 6) AS negative FROM s""")
 def lexicon_sentiment(spark, d):
@@ -470,13 +443,6 @@ def state_set_operations(spark, d):
     return out
 
 
-@query("""WITH RECURSIVE t AS (SELECT * FROM (VALUES ('Thing', NULL), ('Food', 'Thing'), ('Fruit', 'Food'), ('Apple', 'Fruit'), ('Person', 'Thing')) AS t(name, parent)),
-c AS (SELECT name, name AS above, 0 AS depth FROM t UNION ALL SELECT c.name, t.parent, depth + 1 FROM c JOIN t ON t.name = c.above WHERE t.parent IS NOT NULL) SELECT name, above, depth FROM c""")
-def taxonomy_closure(spark, d):
-    nodes = spark.sql("SELECT * FROM (VALUES ('Thing', NULL), ('Food', 'Thing'), ('Fruit', 'Food'), ('Apple', 'Fruit'), ('Person', 'Thing')) AS t(name, parent)")
-    return mentions.hypernyms(nodes)
-
-
 # --- graphs
 
 
@@ -524,26 +490,6 @@ def attachment_scores(spark, d):
 # --- numbers, strings, sources, streams, learning
 
 
-@query("""SELECT * FROM (VALUES (1, 205.0), (2, 21.0), (3, 3500000.0), (4, 1000.0), (5, 0.5), (6, 12.0), (7, -5.0), (8, 1.0), (9, NULL)) AS t(id, value)""")
-def number_words(spark, d):
-    from glossa.functions.numbers import parse_number
-
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'two hundred and five'), (2, 'twenty-one'), (3, '3.5 million'), (4, '1,000'), (5, '1/2'), (6, 'a dozen'), (7, 'minus 5'), (8, 'first'), (9, 'apple')) AS t(id, words)")
-    parse = F.pandas_udf(lambda s: s.map(lambda w: parse_number(w.split())), DoubleType(), F.PandasUDFType.SCALAR)
-    return rows.select("id", parse("words").alias("value"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'DATE', '2001-05-05'), (2, 'DATE-RANGE', '2001-05-05 -- 2001-06-07'), (3, 'MEASUREMENT-LENGTH', '3.5 km'), (4, 'PERCENTAGE', '20.0 %'), (5, 'DATE-RANGE', '2005-XX-XX -- ref-date'),
-(6, 'DATE-RANGE', '1999-06-21 -- 1999-09-22'), (7, 'MEASUREMENT-AREA', '10.0 -- 20.0 ha'), (8, 'DATE', '2010-05-31')) AS t(id, label, norm)""")
-def numeric_norms(spark, d):
-    """Dates, ranges and measurements by the rule engine."""
-    from glossa.functions.numbers import recognise
-
-    rows = spark.sql("""SELECT * FROM (VALUES (1, 'May 5 , 2001'), (2, 'from May 5 , 2001 to June 7 , 2001'), (3, 'it was 3.5 km'), (4, 'twenty percent'), (5, 'since 2005'), (6, 'summer of 1999'), (7, '10 - 20 ha'), (8, 'end of May 2010')) AS t(id, text)""")
-    find = F.pandas_udf(lambda s: s.map(lambda t: [{"label": r[3], "norm": r[4]} for r in recognise([t.split()])]), ArrayType(StructType.fromDDL("label string, norm string")), F.PandasUDFType.SCALAR)
-    return rows.select("id", F.inline(find("text")))
-
-
 @query("SELECT item_id, CAST(levenshtein(t, replace(t, 'the', 'a')) AS INTEGER) AS distance FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)")
 def edit_distance(spark, d):
     t = F.regexp_replace("text", "[^ -~]", "")
@@ -627,25 +573,12 @@ def mention_state(spark, d):
     return mentions.state(m, ["doc_id"]).select("doc_id", "tok", "label")
 
 
-@query("""SELECT a, b, x, y, a <= x AND b >= y AS holds, a < y AND x < b AND a < b AND x < y AS meets FROM (VALUES (0, 5, 1, 3), (0, 5, 5, 6), (2, 4, 2, 4), (1, 1, 0, 3), (3, 6, 1, 4)) AS t(a, b, x, y)""")
-def interval_predicates(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (0, 5, 1, 3), (0, 5, 5, 6), (2, 4, 2, 4), (1, 1, 0, 3), (3, 6, 1, 4)) AS t(a, b, x, y)")
-    c = [F.col(n) for n in "abxy"]
-    return rows.select("a", "b", "x", "y", mentions.contains(*c).alias("holds"), mentions.overlaps(*c).alias("meets"))
-
-
 @query(f"""WITH {_HITS}, s AS (SELECT DISTINCT doc_id, label FROM m) SELECT a.doc_id, a.label AS first, b.label AS second FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.label < b.label""")
 def argument_pairs(spark, d):
     """Combinations of two labels of a document."""
     return mentions.pairs_of(lexicon_hits(spark, d), ["doc_id"], "label")
 
 
-@query("SELECT * FROM (VALUES (1, ['B-A', 'I-A', 'O', 'B-X']), (2, ['O', 'B-Y', 'B-X', 'I-X'])) AS t(id, labels)")
-def labels_merged(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, array('O', 'O', 'O', 'B-X'), array('B-A', 'I-A', 'O', 'B-C')), (2, array('O', 'O', 'B-X', 'I-X'), array('O', 'B-Y', 'B-Z', 'I-Z'))) AS t(id, into, source)")
-    return rows.select("id", mentions.merged_labels(F.col("into"), F.col("source")).alias("labels"))
-
-
 @query(f"""WITH RECURSIVE {CHAIN}, b AS (SELECT conv_id, turn, src, dst FROM e UNION SELECT conv_id, turn, dst, src FROM e),
 c AS (SELECT DISTINCT conv_id, turn, src AS start, src AS node, 0 AS depth FROM b WHERE src = 0 UNION SELECT c.conv_id, c.turn, c.start, b.dst, depth + 1 FROM c JOIN b ON b.conv_id = c.conv_id AND b.turn = c.turn AND b.src = c.node WHERE depth < 20)
 SELECT conv_id, turn, node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY ALL""")

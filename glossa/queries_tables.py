@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossa.functions.numbers import norms_of, numbers_of
 from glossa.functions.strings import day_replaced, last_weeks
 from glossa.operators import graphs, lexicon, mentions, stats, text
 from glossa.queries import CHAIN, KEYS, W, chain, docs, query, table, words
@@ -247,3 +248,117 @@ def graph_subjects(spark, d):
     """Subjects of complements and of copulas."""
     e, _ = _rels(spark, d)
     return graphs.merged([graphs.subjects_of_complements(e, KEYS), graphs.copular_subjects(e, KEYS)], KEYS)
+
+
+# --- numbers, labels and words
+
+_UNITS, _TENS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine"), ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_orderkey % 4 WHEN 0 THEN l_quantity * 1000 WHEN 1 THEN (l_partkey % 9 + 1) * 100 + (l_suppkey % 8 + 2) * 10 WHEN 2 THEN -l_quantity ELSE l_quantity / 4 END::DOUBLE AS value FROM lineitem""")
+def number_words(spark, d):
+    """Numbers in digits and words, made of each line's figures."""
+    q = F.col("l_quantity").cast("int").cast("string")
+    word = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i.cast("int"))
+    spoken = F.concat(word(_UNITS, F.col("l_partkey") % 9 + 1), F.lit(" hundred and "), word(_TENS, F.col("l_suppkey") % 8 + 1))
+    kind = F.col("l_orderkey") % 4
+    said = F.when(kind == 0, F.concat(q, F.lit(" thousand"))).when(kind == 1, spoken).when(kind == 2, F.concat(F.lit("minus "), q)).otherwise(F.concat(q, F.lit("/4")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numbers_of(said).alias("value"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderdate AS t, o_orderdate + INTERVAL 65 DAY AS u, o_orderkey % 97 + 2 AS n, o_orderkey % 18 AS kind FROM orders),
+e AS (SELECT *, CASE WHEN month(t) = 2 THEN 28 WHEN month(t) IN (4, 6, 9, 11) THEN 30 ELSE 31 END AS days FROM o)
+SELECT k AS o_orderkey, CASE WHEN kind IN (0, 5, 9, 10) THEN 'DATE' WHEN kind = 3 THEN 'MEASUREMENT-LENGTH' WHEN kind = 4 THEN 'PERCENTAGE' WHEN kind = 7 THEN 'MEASUREMENT-AREA' ELSE 'DATE-RANGE' END AS label, CASE kind
+WHEN 0 THEN strftime(t, '%Y-%m-%d') WHEN 1 THEN strftime(t, '%Y-%m-%d') || ' -- ' || strftime(u, '%Y-%m-%d') WHEN 2 THEN strftime(t, '%Y-XX-XX -- ref-date') WHEN 3 THEN n || '.0 km' WHEN 4 THEN n || '.0 %' WHEN 5 THEN strftime(t, '%Y-%m-%d')
+WHEN 6 THEN strftime(t, 'XXXX-XX-XX -- %Y-%m-XX') WHEN 7 THEN n || '.0 -- ' || (n + 5) || '.0 ha' WHEN 8 THEN strftime(t, '%Y-06-21 -- %Y-09-22') WHEN 9 THEN strftime(t, '%Y-%m-XX') WHEN 10 THEN strftime(t, '%Y-%m-XX')
+WHEN 11 THEN strftime(u, '%Y-') || strftime(t, '%m-XX -- ') || strftime(u, '%Y-%m-XX') WHEN 12 THEN strftime(t, 'XXXX-%m-01 -- XXXX-%m-14') WHEN 13 THEN strftime(t, 'XXXX-%m-') || (days - 6) || strftime(t, ' -- XXXX-%m-') || days
+WHEN 14 THEN (year(t) + 1) || '-03-20 -- XXXX-XX-XX' WHEN 15 THEN strftime(t, '%Y-%m-02 -- %Y-%m-09') WHEN 16 THEN strftime(t, 'ref-date -- %Y-09-22') ELSE year(t) || '-06-21 -- ' || (year(t) + 1) || '-09-22' END AS norm FROM e""")
+def numeric_norms(spark, d):
+    """Dates, ranges of many kinds and measurements, made of each order's date and key, normed by the rule engine."""
+    t, u, n = F.col("o_orderdate"), F.date_add("o_orderdate", 65), (F.col("o_orderkey") % 97 + 2).cast("string")
+    f = F.date_format
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    kinds = [
+        f(t, "MMMM d , yyyy"), say("from ", f(t, "MMMM d , yyyy"), " to ", f(u, "MMMM d , yyyy")), say("since ", f(t, "yyyy")), say("it was ", n, " km"), say(n, " percent"), f(t, "d MMMM yyyy"),
+        say("before ", f(t, "MMMM yyyy")), say(n, " - ", (F.col("o_orderkey") % 97 + 7).cast("string"), " ha"), say("summer of ", f(t, "yyyy")), f(t, "yyyy-MM"), f(t, "MM/yyyy"),
+        say("from ", f(t, "MMMM"), " to ", f(u, "MMMM yyyy")), say("first two weeks of ", f(t, "MMMM")), say("last week of ", f(t, "MMMM")), say("after winter ", f(t, "yyyy")), say("between 2 and 9 ", f(t, "MMMM yyyy")),
+        say("until fall ", f(t, "yyyy")), say("from spring ", f(t, "yyyy"), " to autumn ", (F.year(t) + 1).cast("string")),
+    ]
+    said = F.element_at(F.array(*kinds), (F.col("o_orderkey") % 18 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.inline(norms_of(said)))
+
+
+_DISTINCT = f"{W}, x AS (SELECT DISTINCT word FROM w)"
+_ENDINGS = ("'s", "'d", "n't", "'m", "'ll", "'ve", "'re", "")
+
+
+@query(f"""WITH {_DISTINCT}, e AS (SELECT word || ['''s', '''d', 'n''t', '''m', '''ll', '''ve', '''re', ''][length(word) % 8 + 1] AS word FROM x UNION SELECT unnest(['won''t', 'Can''t', 'shan''t', 'let''s', 'ain''t'])), l AS (SELECT DISTINCT word, lower(word) AS low FROM e)
+SELECT word, CASE WHEN low = 'won''t' THEN ['will', 'not'] WHEN low = 'can''t' THEN ['can', 'not'] WHEN low = 'shan''t' THEN ['shall', 'not'] WHEN low IN ('let''s', 'cont''d', 'ain''t') THEN [word]
+WHEN ends_with(low, '''s') THEN [left(word, length(word) - 2), '''s'] WHEN ends_with(low, '''d') THEN [left(word, length(word) - 2), '''d'] WHEN ends_with(low, 'n''t') THEN [left(word, length(word) - 3), 'not'] WHEN ends_with(low, '''m') THEN [left(word, length(word) - 2), 'am']
+WHEN ends_with(low, '''ll') THEN [left(word, length(word) - 3), 'will'] WHEN ends_with(low, '''ve') THEN [left(word, length(word) - 3), 'have'] WHEN ends_with(low, '''re') THEN [left(word, length(word) - 3), 'are'] ELSE [word] END AS parts FROM l""")
+def contractions(spark, d):
+    """Parts of each word of the documents with an ending of contractions, and of the irregular ones."""
+    x = words(spark, d).select("word").distinct()
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), F.length("word") % 8 + 1)
+    few = spark.createDataFrame([(w,) for w in ("won't", "Can't", "shan't", "let's", "ain't")], "word string")
+    each = x.select(F.concat("word", ending).alias("word")).union(few).distinct()
+    return each.select("word", text.contraction_parts(F.col("word")).alias("parts"))
+
+
+@query(rf"""WITH {_DISTINCT}, e AS (SELECT ['mid-', 'bi-', 'semi-', 'non-', 'all-', 'x-', ''][length(word) % 7 + 1] || word AS word FROM x)
+SELECT DISTINCT word, CASE WHEN regexp_matches(word, '^(mid|bi|semi|non|all)-[A-Za-z0-9_]+$') THEN [split_part(word, '-', 1), split_part(word, '-', 2)] ELSE [word] END AS parts FROM e""")
+def hyphens(spark, d):
+    """Parts of each word of the documents behind a prefix."""
+    prefix = F.element_at(F.array(*map(F.lit, ("mid-", "bi-", "semi-", "non-", "all-", "x-", ""))), F.length("word") % 7 + 1)
+    each = words(spark, d).select("word").distinct().select(F.concat(prefix, "word").alias("word")).distinct()
+    return each.select("word", text.hyphen_parts(F.col("word")).alias("parts"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, '[' || doc_id || ',3-5] ' || text || ' [7].' AS text FROM documents),
+p AS (SELECT doc_id, string_split_regex(text, '\[[0-9]+(?:[,-] ?[0-9]+)*\]') AS parts, regexp_extract_all(text, '\[[0-9]+(?:[,-] ?[0-9]+)*\]') AS found FROM t)
+SELECT doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(repeat(' ', length(found[i])), '')), '') AS text FROM p""")
+def references_removed(spark, d):
+    """References blanked in each document, which gets two more."""
+    t = F.concat(F.lit("["), F.col("doc_id"), F.lit(",3-5] "), F.col("text"), F.lit(" [7]."))
+    return docs(spark, d).select("doc_id", text.without_references(t).alias("text"))
+
+
+_LOOSE = f"{W}, t AS (SELECT doc_id, CAST(tok AS INTEGER) AS tok, CASE WHEN tok % 7 < 3 THEN 'I-A' WHEN tok % 7 = 3 THEN 'I-B' WHEN tok % 7 = 5 THEN 'B-C' ELSE 'O' END AS entity FROM w)"
+
+
+@query(f"""WITH {_LOOSE}, b AS (SELECT *, lag(entity) OVER (PARTITION BY doc_id ORDER BY tok) AS before FROM t)
+SELECT doc_id, tok, CASE WHEN entity LIKE 'I-%' AND (before IS NULL OR before = 'O' OR substr(before, 3) <> substr(entity, 3)) THEN 'B-' || substr(entity, 3) ELSE entity END AS entity FROM b""")
+def bio_patched(spark, d):
+    """Labels of each word that continue nothing."""
+    place = F.col("tok") % 7
+    loose = words(spark, d).select("doc_id", "tok", F.when(place < 3, "I-A").when(place == 3, "I-B").when(place == 5, "B-C").otherwise("O").alias("entity"))
+    return lexicon.patched(loose, "doc_id").select("doc_id", "tok", "entity")
+
+
+@query(f"""WITH {W}, t AS (SELECT doc_id, CAST(tok AS INTEGER) AS tok, CASE WHEN regexp_matches(word, '^[Tt]') THEN 'B-X' ELSE 'O' END AS into_, CASE tok % 7 WHEN 0 THEN 'B-A' WHEN 1 THEN 'I-A' WHEN 2 THEN 'I-A' ELSE 'O' END AS source FROM w),
+r AS (SELECT doc_id, tok // 7 AS run FROM t WHERE source <> 'O' GROUP BY ALL HAVING count(*) FILTER (into_ <> 'O') = 0)
+SELECT t.doc_id, t.tok, CASE WHEN r.run IS NOT NULL AND source <> 'O' THEN source ELSE into_ END AS labels FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.run = t.tok // 7""")
+def labels_merged(spark, d):
+    """Entities every seven words, copied where no word begins with a t."""
+    place = F.col("tok") % 7
+    t = words(spark, d).select("doc_id", "tok", F.when(F.col("word").rlike("^[Tt]"), "B-X").otherwise("O").alias("into_"), F.when(place == 0, "B-A").when(place < 3, "I-A").otherwise("O").alias("source"))
+    return mentions.with_merged_labels(t, ["doc_id"], "into_", "source").select("doc_id", "tok", "labels")
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber::INTEGER AS a, (l_linenumber + l_quantity % 6)::INTEGER AS b, (l_partkey % 9)::INTEGER AS x, (l_partkey % 9 + l_suppkey % 4)::INTEGER AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, a <= x AND b >= y AS holds, a < y AND x < b AND a < b AND x < y AS meets FROM t""")
+def interval_predicates(spark, d):
+    """Two intervals made of each line's figures."""
+    a, x = F.col("l_linenumber").cast("int"), (F.col("l_partkey") % 9).cast("int")
+    b, y = (a + F.col("l_quantity") % 6).cast("int"), (x + F.col("l_suppkey") % 4).cast("int")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", mentions.contains(a, b, x, y).alias("holds"), mentions.overlaps(a, b, x, y).alias("meets"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT 'all' AS name, NULL AS parent UNION ALL SELECT 'r' || r_regionkey, 'all' FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders), c AS (SELECT name, name AS above, 0 AS depth FROM t UNION ALL SELECT c.name, t.parent, depth + 1 FROM c JOIN t ON t.name = c.above WHERE t.parent IS NOT NULL) SELECT name, above, depth FROM c""")
+def taxonomy_closure(spark, d):
+    """Orders, customers, nations and regions as labels, with all that they are a kind of."""
+    of = lambda t, a, x, b, y: table(spark, d, t).select(F.concat(F.lit(a), F.col(x)).alias("name"), F.concat(F.lit(b), F.col(y)).alias("parent"))
+    top = spark.createDataFrame([("all", None)], "name string, parent string").union(table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")), F.lit("all")))
+    nodes = top.union(of("nation", "n", "n_nationkey", "r", "n_regionkey")).union(of("customer", "c", "c_custkey", "n", "c_nationkey")).union(of("orders", "o", "o_orderkey", "c", "o_custkey"))
+    return mentions.hypernyms(nodes)

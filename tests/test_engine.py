@@ -314,3 +314,27 @@ def test_open_entities(spark):
     assert openie.find_entities([s]) == [(0, 1, 7)]
     assert openie.find_entities([s], avoid='[{name: x, label: X, type: token, pattern: "prices"}]') == [(0, 1, 2)]
     assert not openie.fit({"words": ["two"], "tags": ["CD"]}, 0, 1, 10)
+
+
+@pytest.mark.parametrize(
+    "text, label, norm",
+    [
+        ("from May to July 2001", "DATE-RANGE", "2001-05-XX -- 2001-07-XX"), ("2005-06", "DATE", "2005-06-XX"), ("06/2005", "DATE", "2005-06-XX"), ("98-05-06", "DATE", "XX98-05-06"),
+        ("2005-2006", "DATE-RANGE", "2005-XX-XX -- 2006-XX-XX"), ("2011WS", "DATE-RANGE", "2011-XX-XX -- 2011-XX-XX"), ("first two weeks of May", "DATE-RANGE", "XXXX-05-01 -- XXXX-05-14"),
+        ("last week of February", "DATE-RANGE", "XXXX-02-22 -- XXXX-02-28"), ("last three weeks of April", "DATE-RANGE", "XXXX-04-10 -- XXXX-04-30"),
+        ("between the second and third weeks of June", "DATE-RANGE", "XXXX-06-08 -- XXXX-06-21"), ("between 3 and 12 May 2001", "DATE-RANGE", "2001-05-03 -- 2001-05-12"),
+        ("after winter 1999", "DATE-RANGE", "2000-03-20 -- XXXX-XX-XX"), ("since summer 2001", "DATE-RANGE", "2001-09-22 -- ref-date"), ("until spring", "DATE-RANGE", "ref-date -- XXXX-03-20"),
+        ("before summer of 1999", "DATE-RANGE", "XXXX-XX-XX -- 1999-06-21"), ("from fall 2001 to spring 2003", "DATE-RANGE", "2001-12-21 -- 2003-03-20"), ("2001 winter", "DATE-RANGE", "2001-12-21 -- 2002-03-20"),
+        ("good friday 2024", "DATE", "2024-03-29"), ("thanksgiving , 2023", "DATE", "2023-11-23"), ("on Halloween", "DATE", "XXXX-10-31"), ("memorial day 2022", "DATE", "2022-05-30"), ("12 kilometers", "MEASUREMENT-LENGTH", "12.0 km"),
+    ],
+)
+def test_norms_of_ranges_and_holidays(text, label, norm):
+    from glossa.functions.numbers import recognise
+
+    assert [r[3:] for r in recognise([text.split()])] == [(label, norm)]
+
+
+def test_properties():
+    from glossa.operators.text import properties
+
+    assert properties(["-a", "1", "--b=2", "-c", "x.txt", "-d", "-a", "3", "y"]) == {"a": "3", "b": "2", "c": "x.txt", "d": "true", "": "y"}
