@@ -362,3 +362,68 @@ def taxonomy_closure(spark, d):
     top = spark.createDataFrame([("all", None)], "name string, parent string").union(table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")), F.lit("all")))
     nodes = top.union(of("nation", "n", "n_nationkey", "r", "n_regionkey")).union(of("customer", "c", "c_custkey", "n", "c_nationkey")).union(of("orders", "o", "o_orderkey", "c", "o_custkey"))
     return mentions.hypernyms(nodes)
+
+
+# --- sources and open entities
+
+
+@query(f"""WITH {_DISTINCT} SELECT word AS phrase, 'WORD' AS label FROM x WHERE length(word) % 3 <> 0 AND word NOT LIKE '#%' AND word NOT LIKE '//%' AND word NOT LIKE '%//%'""")
+def lexicon_lines(spark, d):
+    """A lexicon's lines, made of all words: some with a comment behind, some commented out."""
+    w = words(spark, d).select("word").distinct().where("word not like '%//%' and word not like '#%'")
+    lines = w.select(F.when(F.length("word") % 3 == 0, F.concat(F.lit("# "), "word")).when(F.length("word") % 3 == 1, F.concat("word", F.lit("  // said twice"))).otherwise(F.col("word")).alias("value"))
+    return lexicon.read_lexicon(lines, "WORD")
+
+
+@query("""SELECT 'c' || c_custkey AS phrase, CAST(c_nationkey AS VARCHAR) AS label FROM customer WHERE c_custkey % 4 <> 0""")
+def override_lines(spark, d):
+    """Lines of two or three columns; those without a tab are passed over."""
+    k = F.concat(F.lit("c"), "c_custkey")
+    value = F.when(F.col("c_custkey") % 4 == 0, k).when(F.col("c_custkey") % 4 == 1, F.concat_ws("\t", k, F.lit("old"), "c_nationkey")).otherwise(F.concat_ws("\t", k, "c_nationkey"))
+    return lexicon.read_overrides(table(spark, d, "customer").select(value.alias("value")))
+
+
+@query("""SELECT 'p' || p_partkey AS phrase, 'n' || p_partkey % 50 AS norm, CASE WHEN p_partkey % 2 = 0 THEN 'K' || p_partkey % 5 ELSE '' END AS unit_class FROM part""")
+def normed_lines(spark, d):
+    """Lines of a phrase with its norm, and its class or none."""
+    k = F.col("p_partkey")
+    value = F.concat(F.lit("p"), k, F.lit(" // n"), k % 50, F.when(k % 2 == 0, F.concat(F.lit("::K"), k % 5)).otherwise(F.lit("")))
+    return lexicon.read_normed(table(spark, d, "part").select(value.alias("value")))
+
+
+@query("""SELECT l_orderkey AS qid, (l_linenumber % 2)::DOUBLE AS label, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity + l_discount), 4) AS total FROM lineitem GROUP BY ALL""")
+def svmlight_round_trip(spark, d):
+    """Ranking lines of each order's items, written and read again."""
+    from glossa.sources.columns import read_svmlight, svmlight_lines
+
+    rows = table(spark, d, "lineitem").select((F.col("l_linenumber") % 2).cast("double").alias("label"), F.col("l_orderkey").cast("string").alias("qid"), F.create_map(F.lit(3), F.col("l_quantity"), F.lit(1), F.col("l_discount")).alias("features"))
+    read = read_svmlight(svmlight_lines(rows)).select(F.col("qid").cast("long").alias("qid"), "label", (F.col("features")[1] + F.col("features")[3]).alias("x"))
+    return read.groupBy("qid", "label").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS tok FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM conversations))
+SELECT conv_id, turn, CAST(tok AS INTEGER) AS tok, concat_ws(chr(9), (tok + 1)::VARCHAR, word, lower(word), '_', '_', 'O', tok::VARCHAR, CASE WHEN tok = 0 THEN 'root' ELSE 'next' END, '_', '_') AS line FROM w""")
+def conllu_columns(spark, d):
+    """Each turn in ten columns, its words a chain."""
+    from glossa.sources.columns import conllu_lines
+
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(text.BLANKS), F.lit(0)).alias("w"))
+    edges = F.expr("transform(slice(w, 2, size(w)), (x, i) -> named_struct('source', i, 'destination', i + 1, 'relation', 'next'))")
+    none = F.lit(None).cast("array<string>")
+    s = F.struct(F.col("w").alias("words"), F.transform("w", F.lower).alias("lemmas"), none.alias("tags"), none.alias("chunks"), F.transform("w", lambda x: F.lit("O")).alias("entities"), none.alias("norms"), F.create_map(F.lit("universal-enhanced"), edges).alias("graphs"))
+    return conllu_lines(t.select("conv_id", "turn", F.array(s).alias("sentences")), "conv_id", "turn").drop("sent")
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS tok FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM conversations)),
+t AS (SELECT *, ['JJ', 'NN', 'NNS', 'VB'][1 + (length(word) + tok) % 4] AS tag FROM w), p AS (SELECT *, lag(tag) OVER (PARTITION BY conv_id, turn ORDER BY tok) AS before FROM t),
+r AS (SELECT *, sum(CASE WHEN tag = 'VB' OR before IS NULL OR before = 'VB' OR (tag = 'JJ' AND before LIKE 'NN%') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY tok) AS run FROM p)
+SELECT conv_id, turn, CAST(min(tok) AS INTEGER) AS start, CAST(max(tok) + 1 AS INTEGER) AS "end" FROM r WHERE tag <> 'VB' GROUP BY conv_id, turn, run
+HAVING bool_or(tag LIKE 'NN%') AND count(*) <= 10 AND bool_or(length(word) > 1) AND count(*) FILTER (word = '(') = count(*) FILTER (word = ')')""")
+def open_entities(spark, d):
+    """Noun phrases by tags, cut and filtered."""
+    from glossa.operators import openie
+
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(text.BLANKS), F.lit(0)).alias("w"))
+    tag = F.transform("w", lambda x, i: F.element_at(F.array(*map(F.lit, ("JJ", "NN", "NNS", "VB"))), 1 + (F.length(x) + i) % 4))
+    found = openie.entities(t.select("conv_id", "turn", F.array(F.struct(F.col("w").alias("words"), tag.alias("tags"))).alias("sentences")), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "start", "end")
