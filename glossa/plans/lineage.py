@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """df behind a reliable checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine, as in tests."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-checkpoint-"))
     return df.checkpoint(eager=True)
