@@ -124,3 +124,61 @@ def copular_subjects(edges: DataFrame, keys: list[str]) -> DataFrame:
     subject = edges.where("rel = 'nsubj'").select(*keys, "src", F.col("dst").alias("who"))
     new = edges.where("rel = 'cop'").select(*keys, "src", F.col("dst").alias("verb")).join(subject, [*keys, "src"])
     return merged([edges, new.select(*keys, F.col("verb").alias("src"), F.col("who").alias("dst"), F.lit("nsubj").alias("rel"))], keys)
+
+
+def stanford_prepositions(edges: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges in which prep and the pobj below it are one edge prep_<word>; a prep without pobj goes as well."""
+    word = words.select(*keys, F.col("node").alias("mid"), "word")
+    prep = edges.where("rel = 'prep'").select(*keys, "src", F.col("dst").alias("mid"))
+    pobj = edges.where("rel = 'pobj'").select(*keys, F.col("src").alias("mid"), "dst")
+    new = prep.join(pobj, [*keys, "mid"]).join(word, [*keys, "mid"]).select(*keys, "src", "dst", F.concat(F.lit("prep_"), "word").alias("rel"))
+    gone = prep.select(*keys, F.col("mid").alias("src"), F.lit("pobj").alias("rel")).distinct()
+    rest = edges.where("rel <> 'prep'").join(gone, [*keys, "src", "rel"], "left_anti")
+    return merged([rest, new], keys)
+
+
+def with_multiwords(edges: DataFrame, words: DataFrame, keys: list[str], first: str = "due", second: str = "to") -> DataFrame:
+    """Edges in which the word `second` right after `first` hangs on it by mwe alone."""
+    low = words.select(*keys, "node", F.lower("word").alias("word"))
+    pairs = low.where(F.col("word") == first).select(*keys, "node", (F.col("node") + 1).alias("dst")).join(low.where(F.col("word") == second).select(*keys, F.col("node").alias("dst")), [*keys, "dst"])
+    rest = edges.join(pairs.select(*keys, "dst").distinct(), [*keys, "dst"], "left_anti")
+    return merged([rest, pairs.select(*keys, F.col("node").alias("src"), "dst", F.lit("mwe").alias("rel"))], keys)
+
+
+def relative_clauses(edges: DataFrame, words: DataFrame, keys: list[str], pronouns: tuple[str, ...] = ("who", "which", "that", "whom")) -> DataFrame:
+    """Edges and, for a clause acl:relcl whose subject or object is a relative pronoun, that edge to the noun which the clause is of."""
+    clause = edges.where("rel = 'acl:relcl'").select(*keys, F.col("src").alias("noun"), F.col("dst").alias("verb"))
+    role = edges.where("rel in ('nsubj', 'nsubjpass', 'dobj')").select(*keys, F.col("src").alias("verb"), F.col("dst").alias("node"), "rel")
+    pronoun = words.where(F.lower("word").isin(*pronouns)).select(*keys, "node")
+    new = clause.join(role, [*keys, "verb"]).join(pronoun, [*keys, "node"], "left_semi")
+    return merged([edges, new.select(*keys, F.col("verb").alias("src"), F.col("noun").alias("dst"), "rel")], keys)
+
+
+def shared_by_verbs(edges: DataFrame, tags: DataFrame, keys: list[str], labels: tuple[str, ...] = ("nsubj", "nsubjpass", "agent", "dobj"), pattern: str = "^(nmod|prep)_") -> DataFrame:
+    """Edges and, for two verbs joined by conj, those of the one which the other has none of: by these labels, and by labels that fit the pattern.
+
+    tags: (keys, node, tag). Both ways read the edges as given, so that nothing goes on from verb to verb beyond one step.
+    """
+    verbs = tags.where("tag like 'VB%'")
+    of = lambda end: verbs.select(*keys, F.col("node").alias(end))
+    conj = edges.where("rel = 'conj'").select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")).join(of("a"), [*keys, "a"], "left_semi").join(of("b"), [*keys, "b"], "left_semi")
+    both = conj.unionByName(conj.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    moved = edges.where(F.col("rel").isin(*labels) | F.col("rel").rlike(pattern)).select(*keys, F.col("src").alias("a"), "dst", "rel")
+    new = both.join(moved, [*keys, "a"]).select(*keys, F.col("b").alias("src"), "dst", "rel")
+    return merged([edges, new.join(edges.select(*keys, "src", "rel").distinct(), [*keys, "src", "rel"], "left_anti")], keys)
+
+
+def enhanced_roles(roles: DataFrame, edges: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Semantic roles over basic dependencies: a role that ends on a preposition goes to what this marks (Ax becomes Ax_<word>), conjoined predicates share their roles,
+    and conjoined arguments have the same role."""
+    mark = edges.where(F.col("rel").rlike("case|mark")).groupBy(*keys, F.col("dst")).agg(F.min("src").alias("object"))
+    word = words.select(*keys, F.col("node").alias("dst"), F.lower("word").alias("word"))
+    met = roles.select(*keys, "src", "dst", "rel").join(mark, [*keys, "dst"], "left").join(word, [*keys, "dst"], "left")
+    label = F.when((F.col("rel") == "Ax") & F.col("object").isNotNull(), F.concat(F.lit("Ax_"), "word")).otherwise(F.col("rel"))
+    now = met.select(*keys, "src", F.coalesce("object", "dst").alias("dst"), label.alias("rel")).distinct()
+    conj = edges.where("rel = 'conj'").select(*keys, F.col("src").alias("a"), F.col("dst").alias("b"))
+    either = conj.unionByName(conj.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    shared = now.withColumnRenamed("src", "a").join(either, [*keys, "a"]).where("b <> dst").select(*keys, F.col("b").alias("src"), "dst", "rel")
+    now = merged([now, shared], keys)
+    arguments = now.withColumnRenamed("dst", "a").join(conj, [*keys, "a"]).where("b <> src").select(*keys, "src", F.col("b").alias("dst"), "rel")
+    return merged([now, arguments], keys)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,25 @@ def hashed(rows: DataFrame, words: str, size: int = 1 << 14) -> DataFrame:
     return HashingTF(numFeatures=size, inputCol=words, outputCol="features").transform(rows)
 
 
-def logistic(rows: DataFrame, l1: bool = False, strength: float = 0.01):
-    return LogisticRegression(regParam=strength, elasticNetParam=float(l1), maxIter=30).fit(rows)
+def _weighted(estimator, weight: str | None):
+    return estimator.setWeightCol(weight) if weight else estimator
 
 
-def linear_svm(rows: DataFrame, strength: float = 0.01):
-    return LinearSVC(regParam=strength, maxIter=30).fit(rows)
+def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
+    """rows with `weight`: all classes weigh the same together."""
+    n = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    total = n.agg(F.sum("_n").alias("_all"), F.count("*").alias("_classes"))
+    share = n.join(F.broadcast(total)).select(F.col(label).alias("_label"), (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))
+    return rows.join(F.broadcast(share), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+
+
+def logistic(rows: DataFrame, l1: bool = False, strength: float = 0.01, weight: str | None = None, bias: bool = True):
+    """weight: a column of the rows' weights."""
+    return _weighted(LogisticRegression(regParam=strength, elasticNetParam=float(l1), maxIter=30, fitIntercept=bias), weight).fit(rows)
+
+
+def linear_svm(rows: DataFrame, strength: float = 0.01, weight: str | None = None, bias: bool = True):
+    return _weighted(LinearSVC(regParam=strength, maxIter=30, fitIntercept=bias), weight).fit(rows)
 
 
 def random_forest(rows: DataFrame, trees: int = 20, seed: int = 7):
@@ -74,3 +88,35 @@ def vote(predictions: DataFrame, *keys: str) -> DataFrame:
     """(keys, prediction): the most frequent prediction of an ensemble, ties to the smaller."""
     counts = predictions.groupBy(*keys, "prediction").agg(F.count("*").alias("n"))
     return counts.groupBy(*keys).agg(F.max_by("prediction", F.struct("n", -F.col("prediction"))).alias("prediction"))
+
+
+def regression(rows: DataFrame, strength: float = 0.0):
+    """Least squares of `label` on `features`; strength: of the L2 penalty."""
+    return LinearRegression(regParam=strength, solver="normal" if not strength else "auto").fit(rows)
+
+
+def bagged(rows: DataFrame, fit, rounds: int = 10, share: float = 0.66, seed: int = 7) -> list:
+    """A model for each of `rounds` samples of the rows, drawn with replacement."""
+    return [fit(rows.sample(withReplacement=True, fraction=share, seed=seed + i)) for i in range(rounds)]
+
+
+def ensemble(rows: DataFrame, models: list, *keys: str) -> DataFrame:
+    """(keys, prediction): the vote of several models."""
+    out = models[0].transform(rows).select(*keys, "prediction")
+    for m in models[1:]:
+        out = out.union(m.transform(rows).select(*keys, "prediction"))
+    return vote(out, *keys)
+
+
+def cross_validated(rows: DataFrame, fit, folds: int, fold: str = "fold") -> DataFrame:
+    """The rows with the `prediction` of a model that was fitted on the other folds."""
+    out = None
+    for i in range(folds):
+        part = fit(rows.where(F.col(fold) != i)).transform(rows.where(F.col(fold) == i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def selected(gains: DataFrame, n: int, feature: str, gain: str = "gain") -> DataFrame:
+    """The n features of the highest gain, ties to the smaller feature."""
+    return gains.orderBy(F.desc(gain), feature).limit(n)

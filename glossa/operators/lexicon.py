@@ -108,3 +108,21 @@ def cleared_before(tokens: DataFrame, *keys: str, cleared: str, before: str, lab
     loose = F.col(label).rlike(cleared)
     following = F.first(F.when(~loose, F.col(label)), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("tok").rowsBetween(1, Window.unboundedFollowing))
     return tokens.withColumn(label, F.when(loose & (following == before), "O").otherwise(F.col(label)))
+
+
+def with_variations(entries: DataFrame, variations: Column) -> DataFrame:
+    """Entries of a lexicon and, under their labels and ranks, the phrases that `variations`, an array made of an entry's columns, adds."""
+    more = entries.select(F.explode(variations).alias("phrase"), "label", "rank")
+    return entries.select("phrase", "label", "rank").unionByName(more).distinct()
+
+
+def overridden(standard: DataFrame, overrides: DataFrame, overwrite: bool = True) -> DataFrame:
+    """(phrase, label, rank): the entries of both, overrides first: with `overwrite`, a phrase that they have keeps none of its standard labels, else only its rank falls behind."""
+    first = overrides.select("phrase", "label", F.lit(0).alias("rank"))
+    rest = standard.join(first.select("phrase").distinct(), "phrase", "left_anti") if overwrite else standard
+    return first.unionByName(rest.select("phrase", "label", (F.col("rank") + 1).alias("rank")))
+
+
+def validated(matched: DataFrame, sentences: DataFrame, valid: Column, *keys: str) -> DataFrame:
+    """Matches (keys, start, end, label) of which `valid`, made of these columns and the sentence's words, holds; null is no."""
+    return matched.join(sentences.select(*keys, "words"), [*keys]).where(valid).select(*keys, "start", "end", "label")

@@ -116,3 +116,28 @@ def with_merged_labels(tokens: DataFrame, keys: list[str], into: str, source: st
     entity = F.max((kind == "B-").cast("int")).over(inside) == 1
     free = F.max((F.col(into) != "O").cast("int")).over(inside) == 0
     return rows.withColumn("labels", F.when(entity & free, F.col(source)).otherwise(F.col(into))).drop("_run")
+
+
+#: A mention in JSON: arguments and triggers are ids of other mentions of the document.
+LINE = "document string, mentions array<struct<id: string, type: string, labels: array<string>, sentence: int, start: int, end: int, text: string, foundBy: string, trigger: string, arguments: map<string, array<string>>>>"
+
+
+def to_lines(found: DataFrame, key: str) -> DataFrame:
+    """(key, value): a JSON line a document with its mentions in the order of sentence, start, end, rule and id.
+
+    found: (key, mention_id, kind, labels, sent, start, end, text, trigger_id, found_by, args), as extract() returns; a mention that comes twice is written once.
+    """
+    roles = F.array_sort(F.array_distinct(F.transform("args", lambda a: a["role"])))
+    of = F.map_from_arrays(roles, F.transform(roles, lambda r: F.transform(F.filter("args", lambda a: a["role"] == r), lambda a: a["mention_id"])))
+    body = F.struct(F.col("mention_id").alias("id"), F.col("kind").alias("type"), "labels", F.col("sent").alias("sentence"), "start", "end", "text", F.col("found_by").alias("foundBy"), F.col("trigger_id").alias("trigger"), F.when(F.size("args") > 0, of).alias("arguments"))
+    once = found.dropDuplicates([key, "mention_id"])
+    order = F.struct("sent", "start", "end", "found_by", "mention_id")
+    each = once.select(key, F.struct(order.alias("_order"), F.to_json(body).alias("json")).alias("m")).groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    inner = F.array_join(F.transform("m", lambda x: x["json"]), ",")
+    return each.select(key, F.concat(F.lit('{"document":'), F.to_json(F.array(F.col(key).cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(key).cast("string")))) - 2), F.lit(',"mentions":['), inner, F.lit("]}")).alias("value"))
+
+
+def from_lines(lines: DataFrame) -> DataFrame:
+    """(document, id, type, labels, sentence, start, end, text, foundBy, trigger, arguments): a row a mention of JSON lines in `value`; lines that aren't JSON are an error."""
+    parsed = lines.select(F.from_json("value", LINE, {"mode": "FAILFAST"}).alias("d"))
+    return parsed.select("d.document", F.inline("d.mentions"))

@@ -1,6 +1,7 @@
 """Queries of the text-analytics operators and their SQL."""
 
-import glossa.queries_tables  # noqa: F401  registers its queries
+import glossa.queries_tables
+import glossa.queries_trees  # noqa: F401  these register their queries
 from glossa.queries import ORACLES, QUERIES
 
 FLAGSHIP = "token_rule_basic"
