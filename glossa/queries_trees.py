@@ -8,6 +8,7 @@ from glossa.functions.lemmas import BRACKETS, IRREGULAR, RULES, lemma
 from glossa.operators import graphs, learning, lexicon, mentions, parsing, text
 from glossa.plans.rules import extract
 from glossa.queries import KEYS, W, docs, one_sentence, query, table
+from glossa.sources import columns
 
 # --- hexatags: a word's head is its place without the lowest bit, which makes nested spans; every other turn is mirrored
 
@@ -176,3 +177,22 @@ def regression_line(spark, d):
 @query("""WITH n AS (SELECT quality AS label, count(*) AS n FROM labels GROUP BY ALL) SELECT doc_id, label, (SELECT sum(n) FROM n) / ((SELECT count(*) FROM n) * n) AS weight FROM labels JOIN n ON n.label IS NOT DISTINCT FROM quality""")
 def class_weights(spark, d):
     return learning.class_weights(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")))
+
+
+# --- documents to read
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, '[{"Tokens":[' || coalesce(array_to_string(list_transform(l, lambda w, i: '["' || replace(replace(w, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '",' || (i - 1) || ']'), ','), '')
+|| '],"Enhanced_syntactic_dependencies":[' || coalesce(array_to_string(list_transform(range(len(l) - 1), lambda i: '[' || i || ',' || (i + 1) || ',"' || CASE WHEN regexp_matches(l[i + 2], '[.]$') THEN 'end' ELSE 'next' END || '"]'), ','), '') || ']}]' AS json FROM d""")
+def documents_graph_json(spark, d):
+    """Words and their graph, in JSON."""
+    return columns.graph_json(one_sentence(spark, d).where("words is not null"), "doc_id")
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM documents)
+SELECT doc_id, CAST(0 AS INTEGER) AS line, 'Sentence #0' AS text FROM d UNION ALL SELECT doc_id, CAST(1 AS INTEGER), 'words: ' || array_to_string(l, ' ') FROM d WHERE l IS NOT NULL""")
+def documents_printed(spark, d):
+    """Documents as lines to read."""
+    s = one_sentence(spark, d)
+    return columns.printed(s, "doc_id")

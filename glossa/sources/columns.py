@@ -85,3 +85,37 @@ def svmlight_lines(rows: DataFrame) -> DataFrame:
     """(value): lines of (label, qid, features), features by rising index."""
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("features")), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), " ")
     return rows.select(F.concat_ws(" ", F.col("label").cast("string"), F.when(F.col("qid").isNotNull(), F.concat(F.lit("qid:"), F.col("qid"))), pairs).alias("value"))
+
+
+def _quoted(text: Column) -> Column:
+    """A string in JSON, without what goes around it."""
+    array = F.to_json(F.array(text))
+    return F.when(text.isNull(), "null").otherwise(F.substring(array, F.lit(2), F.length(array) - 2))
+
+
+def graph_json(annotated: DataFrame, *keys: str) -> DataFrame:
+    """(keys, json): an array of sentences with tokens and chunks as [word, place], offsets, and sorted edges [source, destination, relation] of
+    four graphs; what a sentence lacks is left out."""
+    fields = annotated.schema["sentences"].dataType.elementType.names
+    part = lambda name, body: F.concat(F.lit(f'"{name}":['), body, F.lit("]"))
+    placed = lambda x: F.array_join(F.transform(x, lambda w, i: F.concat(F.lit("["), _quoted(w), F.lit(","), i.cast("string"), F.lit("]"))), ",")
+    edges = lambda e: F.array_join(F.transform(F.array_sort(e), lambda x: F.concat(F.lit("["), x["source"].cast("string"), F.lit(","), x["destination"].cast("string"), F.lit(","), _quoted(x["relation"]), F.lit("]"))), ",")
+    graphs = {"Basic_syntactic_dependencies": "universal-basic", "Enhanced_syntactic_dependencies": "universal-enhanced", "Semantic_dependencies": "semantic-roles", "Enhanced_semantic_dependencies": "enhanced-semantic-roles"}
+
+    def sentence(s: Column) -> Column:
+        parts = [part("Tokens", placed(s["words"]))]
+        parts += [part("Chunks", placed(s["chunks"]))] if "chunks" in fields else []
+        parts += [part(n, F.array_join(s[f].cast("array<string>"), ",")) for n, f in (("Start_character_offsets", "starts"), ("End_character_offsets", "ends")) if f in fields]
+        parts += [part(n, edges(s["graphs"][g])) for n, g in graphs.items()] if "graphs" in fields else []
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+    return annotated.select(*keys, F.concat(F.lit("["), F.array_join(F.transform("sentences", sentence), ","), F.lit("]")).alias("json"))
+
+
+def printed(annotated: DataFrame, *keys: str) -> DataFrame:
+    """(keys, line, text): documents as lines to read: for each sentence a line with its number, then its layers."""
+    each = annotated.select(*keys, F.posexplode("sentences").alias("sent", "s"))
+    layers = [f for f in annotated.schema["sentences"].dataType.elementType.names if f != "graphs"]
+    lines = F.array(F.concat(F.lit("Sentence #"), F.col("sent").cast("string")), *(F.concat(F.lit(f"{f}: "), F.array_join(F.col(f"s.{f}").cast("array<string>"), " ", "_")) for f in layers))
+    out = each.select(*keys, F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("nth", "text"), "sent")
+    return out.select(*keys, (F.col("sent") * (len(layers) + 1) + F.col("nth")).cast("int").alias("line"), "text")

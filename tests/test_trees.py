@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa.functions.lemmas import lemma, with_lemmas
+from glossa.functions.tokenizer import with_sentences
 from glossa.operators import learning, lexicon, mentions, parsing
+from glossa.sources import columns
 
 
 def tree(rng, a, b):
@@ -137,3 +139,22 @@ def test_overrides_without_overwriting(spark):
     over = spark.createDataFrame([("a", "O")], "phrase string, label string")
     got = lambda w: sorted(map(tuple, lexicon.overridden(standard, over, w).collect()))
     assert got(True) == [("a", "O", 0), ("b", "S", 1)] and got(False) == [("a", "O", 0), ("a", "S", 1), ("b", "S", 1)]
+
+
+def test_graph_json_and_lines(spark):
+    kind = "id int, sentences array<struct<words: array<string>, starts: array<int>, ends: array<int>, chunks: array<string>, graphs: map<string, array<struct<source: int, destination: int, relation: string>>>>>"
+    rows = spark.createDataFrame([(1, [(['a"', None], [0, 3], [2, 4], None, {"universal-basic": [(1, 0, "x"), (0, 1, "y")]})]), (2, []), (3, None)], kind)
+    made = {r.id: r.json and json.loads(r.json) for r in columns.graph_json(rows, "id").collect()}
+    assert made == {1: [{"Tokens": [['a"', 0], [None, 1]], "Start_character_offsets": [0, 3], "End_character_offsets": [2, 4], "Basic_syntactic_dependencies": [[0, 1, "y"], [1, 0, "x"]]}], 2: [], 3: None}
+    lines = [tuple(r) for r in columns.printed(rows, "id").orderBy("id", "line").collect()]
+    assert lines == [(1, 0, "Sentence #0"), (1, 1, 'words: a" _'), (1, 2, "starts: 0 3"), (1, 3, "ends: 2 4")]
+
+
+def test_refused_sentences_come_without_layers(spark):
+    def annotate(layers):
+        layers["tags"] = ["T"] * len(layers["words"])
+        assert len(layers["words"]) < 4
+        return layers
+
+    rows = spark.createDataFrame([("Short one. This one is much too long.",)], "text string")
+    assert [s.tags for s in with_sentences(rows, annotate=annotate).first().sentences] == [["T"] * 3, None]
