@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -84,6 +85,17 @@ def drop(*cuts: DataFrame) -> None:
             delete(spark, file.get())
 
 
+def portions(batch: pa.RecordBatch, column: str, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about that many bytes of a column, or of one row."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+        if held and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield batch.slice(start)
+
+
 def hex_digits_for(rows: int, rows_per_cell: int = 1000) -> int:
     """Leading hex digits of a hash that leave about rows_per_cell rows in a cell, or fewer."""
     digits = 1

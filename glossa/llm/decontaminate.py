@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from .common import shared_dir, stored, table
+from .common import portions, shared_dir, stored, table
 from .warc import open_fs
 
 #: What parts words, as SQL and the JVM's regular expressions write it.
@@ -140,17 +140,8 @@ def searched(docs: DataFrame, paths: list[str], keep: list[str], window: int = 1
     shape = row.select("row").schema.add("n_words", LongType()).add("spans", ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))).add("items", ArrayType(StringType()))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def portions(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(b.column("text")).fill_null(0).to_pylist()):
-            if held and held + n > portion:
-                yield b.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        yield b.slice(start)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for batch in batches for p in portions(batch)):
+        for b in (p for batch in batches for p in portions(batch, "text", portion)):
             texts = [t.translate(BYTES) for t in b.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
             counts, hits, lists = [0] * len(texts), [[] for _ in texts], [{} for _ in texts]
             for k, path in enumerate(paths):
