@@ -144,6 +144,8 @@ def searched(docs: DataFrame, paths: list[str], keep: list[str], window: int = 1
         for b in (p for batch in batches for p in portions(batch, "text", portion)):
             texts = [t.translate(BYTES) for t in b.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
             counts, hits, lists = [0] * len(texts), [[] for _ in texts], [{} for _ in texts]
+            if not paths:
+                counts = [sum(new for _, new, _ in pieces(t, 0, piece)) for t in texts]
             for k, path in enumerate(paths):
                 block = patterns(path)
                 for i, t in enumerate(texts):
