@@ -36,6 +36,8 @@ BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else
 #: Words are numbered within a chunk by so many bits, and a chunk has fewer words than they can number.
 WORD_BITS, CHUNK_BYTES = 21, 3 << 20
 DEPTH, BLOCK_CELLS = 2, 1 << 18
+#: Bytes of texts for a task at least: each shuffles its sketch, and each phrase that it has.
+TASK_BYTES = 64 << 20
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -113,8 +115,9 @@ def sketch(rows: DataFrame, bits: int, least: int, longest: int) -> np.ndarray:
                         own[r, at] = np.minimum(own[r, at] + np.add.reduceat(packed & np.uint64(255), first), least)
         for r in range(DEPTH):
             for k in range(blocks):
-                if (part := own[r, k * width : (k + 1) * width]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["row", "block", "cells"])
+                if (part := own[r, k * width : (k + 1) * width]).any():  # which cells aren't empty, and what they hold
+                    packed = [zlib.compress(x.tobytes(), 1) for x in (np.packbits(part > 0), part[part > 0])]
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["row", "block", "full", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(width, np.uint16)
@@ -123,17 +126,17 @@ def sketch(rows: DataFrame, bits: int, least: int, longest: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["row", "block", "cells"])
 
         for b in batches:
-            for row, block, part in zip(b.column("row").to_pylist(), b.column("block").to_pylist(), b.column("cells"), strict=True):
+            for row, block, full, held in zip(b.column("row").to_pylist(), b.column("block").to_pylist(), b.column("full").to_pylist(), b.column("cells").to_pylist(), strict=True):
                 if (row, block) != at:
                     if at:
                         yield done()
                     at, total = (row, block), np.zeros(width, np.uint16)
-                total = np.minimum(total + np.frombuffer(zlib.decompress(part.as_buffer()), np.uint8), least)
+                cells_of = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(full), np.uint8)))
+                total[cells_of] = np.minimum(total[cells_of] + np.frombuffer(zlib.decompress(held), np.uint8), least)
         if at:
             yield done()
 
-    kind = "row int, block int, cells binary"
-    merged = rows.mapInArrow(add, kind).repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, kind)
+    merged = rows.mapInArrow(add, "row int, block int, full binary, cells binary").repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, "row int, block int, cells binary")
     out = np.zeros((DEPTH, max(1, cells // 8)), np.uint8)
     for x in merged.toLocalIterator():  # a bit a cell in all
         out[x["row"], x["block"] * width // 8 : (x["block"] + 1) * width // 8] = np.frombuffer(x["cells"], np.uint8)
@@ -147,6 +150,8 @@ def frequent(docs: DataFrame, least: int = 10, longest: int = 3, text: str = "te
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(16, (size // 16).bit_length()), most_cells.bit_length() - 1)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    rows = rows.coalesce(tasks)  # what a task sees again isn't shuffled again
     passed = rows.sparkSession.sparkContext.broadcast(sketch(rows, bits, least, longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
