@@ -72,7 +72,7 @@ def points(segments: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Points as rows without a side, and the first and last row of the range as rows of side 0 and 1."""
-        part, last = TaskContext.get().partitionId(), None
+        part, last, told = TaskContext.get().partitionId(), None, False  # told: whether the end of a path like the last one is among the points
 
         def row(z1, z2, depth, path, c, ends, side):
             return [z1, z2, depth, path, c, ends, part, side]
@@ -96,8 +96,10 @@ def points(segments: DataFrame) -> DataFrame:
                     if agree < short:
                         place(agree)
                     same = agree == len(path) == len(last[3])
-                if ends and not same:
+                told = told and same
+                if ends and not told:
                     place(len(path))
+                    told = True
                 now = (z1, z2, depth, path.copy(), c, ends)
                 if last is None:
                     found.append(row(z1, z2, depth, path.ravel().tolist(), c, ends, 0))
@@ -162,7 +164,7 @@ def trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
     """The nodes of the trie of rebuilt conversations; ids and turns as rebuilt() gives them."""
     prefixes, segments = with_prefixes(ids, turns)
     passed = stored(prefixes.join(points(segments), PLACE))  # each conversation at each point on its way
-    facts = passed.groupBy(*PLACE).agg(F.min("c").alias("m"), F.count("*").alias("n"), F.count(F.when(F.col("depth") == F.col("size"), 1)).alias("n_ends"))
+    facts = stored(passed.groupBy(*PLACE).agg(F.min("c").alias("m"), F.count("*").alias("n"), F.count(F.when(F.col("depth") == F.col("size"), 1)).alias("n_ends")))  # apart from the join, so that hot points can be split there
     way, all_of = Window.partitionBy("c").orderBy("depth"), Window.partitionBy("c")  # points on the way of one conversation: no more than others part from it
     rows = passed.join(facts, PLACE)
     rows = rows.select("c", *PLACE, "len", "before", "m", "n",
