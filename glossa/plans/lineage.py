@@ -3,15 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine, as in tests."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-checkpoint-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossa-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, of which readers take the columns that they need."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def delete(*tables: DataFrame) -> None:
+    """Deletes what cut() and written() made, after its last reader."""
+    for df in tables:
+        spark = df.sparkSession
+        path = df.__dict__.get("_written_at")
+        if path is None:
+            file = df._jdf.queryExecution().analyzed().collectLeaves().head().rdd().getCheckpointFile()
+            path = file.get() if file.isDefined() else None
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,9 +1,9 @@
-"""Token rules as Catalyst expressions, without Python workers.
+"""Token patterns as regular expressions of the JVM.
 
 A token becomes one character that says which of a pattern's constraints it meets, a sentence a string of them, and the pattern a regular expression
-over these characters; the JVM finds its matches, and their places follow from the lengths of the matches and of what lies between them.
+over these characters, so that the JVM finds its matches.
 
-Taken are rules on the layers of tokens with sequences, alternatives, repetitions, anchors and look-around. Captures, mentions, edges, numbers, repetitions without
+Taken are constraints on the layers of tokens, sequences, alternatives, repetitions, anchors and look-around. Numbers, repetitions without
 an end of more than one token (whose matching would recurse for each token), and look-behind without an end are left to the kernel, which gives the same results.
 """
 
@@ -12,14 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .patterns import FIELDS, LAYERS, Parser, nullable, unquote
+from .patterns import FIELDS, Parser, unquote
 
-#: Constraints that a pattern may have, so that the characters stay few.
-MOST_CONSTRAINTS = 8
 _ASCII = "0123456789abcdefghijklmnopqrstuv"
 Get = Callable[[str], Column]
 
@@ -53,8 +50,6 @@ class NativeParser(Parser):
         return self._numbered(test)
 
     def _numbered(self, test) -> int:
-        if len(self.tests) == MOST_CONSTRAINTS:
-            raise NotNative("too many constraints")
         self.tests.append(test)
         return len(self.tests) - 1
 
@@ -129,52 +124,3 @@ def _regex(node: tuple, chars: str, behind: bool = False) -> str:
         case ("edge", mark):
             return r"\A" if mark == "^" else r"\z"
     raise NotNative(node[0])
-
-
-def compiled(pattern: str, unit: str, layers: set[str]) -> tuple[str, list, set[str]]:
-    """(regex, tests, fields) of a pattern; NotNative if it needs the kernel, or layers that sentences don't have."""
-    p = NativeParser(pattern, unit)
-    node = p.pattern()
-    if nullable(node):
-        raise NotNative("may match no token")
-    if not {LAYERS[f] for f in p.fields} <= layers:
-        raise NotNative("a layer that sentences don't have")
-    return _regex(node, _chars(len(p.tests))), p.tests, p.fields
-
-
-def token_mentions(docs: DataFrame, keys: list[str], rule, unit: str, source: str) -> DataFrame:
-    """The mentions of one token rule, in the columns of extract(); source: the rule's pattern."""
-    element = docs.schema["sentences"].dataType.elementType
-    if not isinstance(element, StructType):
-        raise NotNative("sentences aren't structs")
-    layers = set(element.names)
-    regex, tests, fields = compiled(source, unit, layers)
-    used = sorted({"words"} | {LAYERS[f] for f in fields} | (layers & {"raw", "starts", "ends"}))
-    # each layer alone, so that others, such as graphs, aren't even built
-    zipped = F.arrays_zip(*(F.col(f"sentences.{n}").alias(n) for n in used))
-    rows = docs.where(F.size("sentences") > 0).select(*keys, F.posexplode(zipped).alias("sent", "s")).select(*keys, "sent", *(F.col(f"s.{n}").alias(f"_{n}") for n in used))
-    chars = _chars(len(tests))
-
-    def char(word: Column, i: Column) -> Column:
-        get = lambda name: word if name == "word" else F.get(F.col(f"_{LAYERS[name]}"), i)
-        mask = sum((F.when(t(get), F.lit(1 << j)).otherwise(F.lit(0)) for j, t in enumerate(tests)), F.lit(0))
-        return F.element_at(F.array(*map(F.lit, chars)), mask + 1)
-
-    text = F.array_join(F.transform("_words", char), "")
-    rows = rows.where(F.size("_words") > 0).withColumn("_text", text).where(F.col("_text").rlike(regex))
-    rows = rows.withColumn("_found", F.regexp_extract_all("_text", F.lit(regex), F.lit(0))).withColumn("_gaps", F.split("_text", regex, -1))
-    spans = F.expr("""aggregate(arrays_zip(_gaps, _found), struct(0 as at, cast(array() as array<struct<start: int, end: int>>) as out),
-      (a, x) -> if(x._found is null, a, struct(a.at + length(x._gaps) + length(x._found) as at,
-        array_append(a.out, struct(a.at + length(x._gaps) as start, a.at + length(x._gaps) + length(x._found) as end)) as out)), a -> a.out)""")
-    rows = rows.select(*keys, "sent", *(f"_{n}" for n in used), F.inline(spans))
-    raw = F.coalesce("_raw", "_words") if "raw" in used else F.col("_words")
-    plain = F.array_join(F.slice(raw, F.col("start") + 1, F.col("end") - F.col("start")), " ")
-    if {"starts", "ends"} <= set(used):
-        spaced = F.array_join(F.transform(F.sequence(F.col("start"), F.col("end") - 1), lambda i: F.concat(F.when(i > F.col("start"), F.repeat(F.lit(" "), F.greatest(F.lit(0), F.get("_starts", i) - F.get("_ends", i - 1)))).otherwise(F.lit("")), F.get(raw, i))), "")
-        plain = F.when((F.size("_starts") > 0) & (F.size("_ends") > 0), spaced).otherwise(plain)
-    place = F.concat(F.lit(f"T:{rule.labels[0]}:"), F.col("sent"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
-    none = F.array().cast("array<struct<role: string, mention_id: string>>")
-    return rows.select(
-        *keys, place.alias("mention_id"), F.lit("text").alias("kind"), F.array(*map(F.lit, rule.labels)).alias("labels"), "sent", "start", "end",
-        plain.alias("text"), F.lit(None).cast("string").alias("trigger_id"), F.lit(rule.name).alias("found_by"), none.alias("args"),
-    )

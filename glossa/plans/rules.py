@@ -1,7 +1,7 @@
 """Rule grammars over annotated documents: YAML to rules, and extraction to a fixpoint.
 
-State never crosses documents, so the fixpoint of a document runs within one task and nothing is shuffled: extract()
-is one Arrow pass that turns documents into mentions. Within an iteration all rules read the state of the one before.
+State never crosses documents, so the fixpoint of a document runs within one task and nothing is shuffled: most grammars become expressions over
+nested tables (nested.py), and extract() is one Arrow pass that turns documents into mentions for the others. Within an iteration all rules read the state of the one before.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .native import NotNative, token_mentions
+from .native import NotNative
 from .paths import GraphPattern, compile_graph
 from .patterns import LAYERS, PatternError, Program, compile_pattern
 
@@ -444,12 +444,14 @@ def extract(docs: DataFrame, grammar: str, keys: list[str], actions: dict[str, A
     """(keys, MENTION): the mentions of documents (keys, sentences), where sentences is an array of structs with the layers,
     and graphs, a map of edge arrays, if rules ask for them. The grammar is checked on the driver, before any task runs.
 
-    A grammar of one token rule that needs nothing but tokens runs without Python workers, unless `native` is false.
+    A grammar without actions runs without Python workers (see nested.py), unless one of its rules needs the kernel or `native` is false.
     """
+    from .nested import mentions
+
     rules = read_rules(grammar, files)
-    if native and not actions and len(rules) == 1 and rules[0].kind == "token" and rules[0].keep:
+    if native and rules and not actions:
         try:
-            return token_mentions(docs, keys, rules[0], rules[0].unit, rules[0].source)
+            return mentions(docs, keys, rules)
         except NotNative:
             pass
     shape = StructType([*docs.select(*keys).schema.fields, *StructType.fromDDL(MENTION).fields])
