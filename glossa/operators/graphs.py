@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.plans.lineage import cut
+from glossa.plans.lineage import cut, delete
 
 
 def step(front: DataFrame, edges: DataFrame, keys: list[str], back: bool = False, rel: str | None = None) -> DataFrame:
@@ -15,14 +15,17 @@ def step(front: DataFrame, edges: DataFrame, keys: list[str], back: bool = False
     return front.join(e.select(*keys, F.col(a).alias("node"), F.col(b).alias("next")), [*keys, "node"]).select(*keys, "start", F.col("next").alias("node")).distinct()
 
 
-def closure(front: DataFrame, edges: DataFrame, keys: list[str], hops: int, back: bool = False, rel: str | None = None) -> DataFrame:
-    """(keys, start, node, depth): what can be reached within `hops`, with the least depth, the start itself at 0."""
+def closure(front: DataFrame, edges: DataFrame, keys: list[str], hops: int | None = None, back: bool = False, rel: str | None = None) -> DataFrame:
+    """(keys, start, node, depth): what can be reached, within `hops` or, without a number, at all, with the least depth, the start itself at 0."""
     now = front.select(*keys, "start", "node")
-    out = now.withColumn("depth", F.lit(0))
-    for d in range(1, hops + 1):
+    out, d, old = now.withColumn("depth", F.lit(0)), 0, []
+    while hops is None or d < hops:
+        d += 1
         now = step(now, edges, keys, back, rel).join(out, [*keys, "start", "node"], "left_anti")
         if d % 4 == 0:  # each step's plan holds the ones before
             now, out = cut(now), cut(out)
+            delete(*old)
+            old = [now, out]
             if not now.head(1):
                 break
         out = out.union(now.withColumn("depth", F.lit(d)))
@@ -34,18 +37,111 @@ def roots(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.join(edges.select(*keys, F.col("dst").alias("node")), [*keys, "node"], "left_anti").select(*keys, "node")
 
 
+def all_roots(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node): nodes without incoming edges, and, of nodes that none of these leads to, those that no smaller one leads to: the smallest of each such circle.
+
+    The least node that leads to a node goes from it along its edges until no label changes.
+    """
+    nodes = nodes.select(*keys, "node").distinct()
+    out = roots(nodes, edges, keys)
+    seen = closure(out.select(*keys, F.lit(0).alias("start"), "node"), edges, keys).select(*keys, "node")
+    now = cut(nodes.join(seen, [*keys, "node"], "left_anti").withColumn("least", F.col("node")))
+    links = cut(edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")).distinct().join(now.select(*keys, F.col("node").alias("next")), [*keys, "next"], "left_semi"))
+    while now.head(1):
+        last = now
+        for _ in range(4):
+            new = now.join(links, [*keys, "node"]).groupBy(*keys, F.col("next").alias("node")).agg(F.min("least").alias("_least"))
+            now = now.join(new, [*keys, "node"], "left").select(*keys, "node", F.least("least", "_least").alias("least"))
+        now = cut(now)
+        changed = now.join(last.withColumnRenamed("least", "_was"), [*keys, "node"]).where("least < _was").head(1)
+        delete(last)
+        if not changed:
+            break
+    return out.union(now.where("least = node").select(*keys, "node"))
+
+
+def edge_paths(pairs: DataFrame, edges: DataFrame, keys: list[str], undirected: bool = False) -> DataFrame:
+    """(keys, start, end, step, src, dst, rel, mark): the edges of a shortest path between each pair (keys, start, end), from step 0; mark is > along an edge and < against it.
+
+    Of nodes that lead on equally fast the smallest is taken, and all edges between two nodes of the path are listed at the same step. Pairs without a path give no rows. The search
+    keeps for each node that it reaches the one that it came from; paths are then rebuilt from these pointers by doubling, in as many joins as the longest path's length has bits.
+    """
+    pairs = pairs.select(*keys, "start", "end").distinct()
+    ahead = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next"), F.col("src").alias("src"), F.col("dst").alias("dst"), "rel", F.lit(">").alias("mark"))
+    back = edges.select(*keys, F.col("dst").alias("node"), F.col("src").alias("next"), F.col("src").alias("src"), F.col("dst").alias("dst"), "rel", F.lit("<").alias("mark"))
+    links = ahead.union(back) if undirected else ahead
+    near = links.select(*keys, "node", "next").distinct()
+    found = cut(pairs.select(*keys, "start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("up")).distinct())
+    now, d = found, 0
+    while True:
+        d += 1
+        new = now.join(near, [*keys, "node"]).groupBy(*keys, "start", F.col("next").alias("node")).agg(F.min("node").cast("int").alias("up"))
+        new = new.join(found, [*keys, "start", "node"], "left_anti").select(*keys, "start", "node", F.lit(d).alias("depth"), "up")
+        now = cut(new)
+        if not now.head(1):
+            break
+        found, old = cut(found.union(now)), found
+        delete(old)
+    of = lambda df, a, b: df.select(*keys, "start", F.col("node").alias(a), F.col("up").alias(b))
+    on = cut(pairs.join(found.select(*keys, "start", F.col("node").alias("end")), [*keys, "start", "end"]).select(*keys, "start", "end", F.col("end").alias("node")))
+    jump = found.where("up is not null").select(*keys, "start", "node", "up")
+    length = 1
+    while length < d:
+        on, old = cut(on.union(on.join(jump, [*keys, "start", "node"]).select(*keys, "start", "end", F.col("up").alias("node")))), on
+        delete(old)
+        jump = cut(of(jump, "node", "mid").join(of(jump, "mid", "up"), [*keys, "start", "mid"]).select(*keys, "start", "node", "up"))
+        length *= 2
+    steps = on.join(found, [*keys, "start", "node"]).where("up is not null").select(*keys, "start", "end", (F.col("depth") - 1).alias("step"), F.col("up").alias("node"), F.col("node").alias("next"))
+    return steps.join(links, [*keys, "node", "next"]).select(*keys, "start", "end", "step", "src", "dst", "rel", "mark").distinct()
+
+
 def shortest_paths(nodes: DataFrame, edges: DataFrame, keys: list[str], hops: int) -> DataFrame:
     """(keys, start, node, depth) over edges in both directions."""
     both = edges.select(*keys, "src", "dst", "rel").union(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "rel"))
     return closure(nodes.select(*keys, F.col("node").alias("start"), "node"), both, keys, hops)
 
 
-def heads(spans: DataFrame, edges: DataFrame, tokens: DataFrame, keys: list[str], hops: int) -> DataFrame:
-    """(keys, span, head): of a span's tokens, the last of those nearest to a root."""
+# Tags of tokens that are no heads in the strict sense.
+STOP_TAGS = r"^(\.|,|\(|\)|:|''|``|#|CC|TO|IN)$"
+CHOICES = {"last": lambda: -F.col("node"), "first": lambda: F.col("node")}
+
+
+def all_heads(spans: DataFrame, edges: DataFrame, tokens: DataFrame, keys: list[str], hops: int | None = None) -> DataFrame:
+    """(keys, span, node): of a span's tokens, all of those nearest to a root."""
     depth = closure(roots(tokens, edges, keys).select(*keys, F.col("node").alias("start"), "node"), edges, keys, hops).groupBy(*keys, "node").agg(F.min("depth").alias("depth"))
     inside = spans.join(tokens, keys).where((F.col("node") >= F.col("begin")) & (F.col("node") < F.col("end")))
     near = inside.join(depth, [*keys, "node"], "left").select(*keys, "span", "node", F.coalesce("depth", F.lit(1 << 20)).alias("depth"))
-    return near.groupBy(*keys, "span").agg(F.min_by("node", F.struct("depth", -F.col("node"))).alias("head"))
+    least = near.groupBy(*keys, "span").agg(F.min("depth").alias("depth"))
+    return near.join(least, [*keys, "span", "depth"]).select(*keys, "span", "node")
+
+
+def strict_heads(heads: DataFrame, tags: DataFrame, keys: list[str], stop: str = STOP_TAGS) -> DataFrame:
+    """The heads (keys, span, node) whose tag, of tags (keys, node, tag), is none of punctuation, conjunctions and prepositions."""
+    return heads.join(tags.select(*keys, "node", "tag"), [*keys, "node"], "left").where(~F.coalesce(F.col("tag").rlike(stop), F.lit(False))).select(*keys, "span", "node")
+
+
+def local_heads(spans: DataFrame, edges: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, span, node): heads by the edges inside of a span only. From each token the walk goes to the first of those it depends on, until there are none or one lies outside;
+    walks that turn in a circle give the circle's tokens. Steps are doubled until they are as many as the longest span's tokens."""
+    inside = spans.join(tokens, keys).where((F.col("node") >= F.col("begin")) & (F.col("node") < F.col("end"))).select(*keys, "span", "begin", "end", "node")
+    up = edges.groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("lo"), F.max("src").alias("hi"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("self"))
+    stays = F.col("lo").isNull() | (F.col("lo") < F.col("begin")) | (F.col("hi") > F.col("end") - 1) | (F.col("self") == 1)
+    now = cut(inside.join(up, [*keys, "node"], "left").select(*keys, "span", "node", F.when(stays, F.col("node")).otherwise(F.col("lo")).alias("to")))
+    longest, steps = now.groupBy(*keys, "span").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, 1
+    while steps < longest:
+        now = cut(now.join(now.select(*keys, "span", F.col("node").alias("to"), F.col("to").alias("next")), [*keys, "span", "to"]).select(*keys, "span", "node", F.col("next").alias("to")))
+        steps *= 2
+    return now.select(*keys, "span", F.col("to").alias("node")).distinct()
+
+
+def chosen(heads: DataFrame, keys: list[str], choose: str = "last") -> DataFrame:
+    """(keys, span, head): one of the heads (keys, span, node) of each span, by CHOICES."""
+    return heads.groupBy(*keys, "span").agg(F.min_by("node", CHOICES[choose]()).alias("head"))
+
+
+def heads(spans: DataFrame, edges: DataFrame, tokens: DataFrame, keys: list[str], hops: int | None = None, choose: str = "last") -> DataFrame:
+    """(keys, span, head): of a span's tokens, the last (or first) of those nearest to a root."""
+    return chosen(all_heads(spans, edges, tokens, keys, hops), keys, choose)
 
 
 def collapsed(edges: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:

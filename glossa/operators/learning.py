@@ -120,3 +120,49 @@ def cross_validated(rows: DataFrame, fit, folds: int, fold: str = "fold") -> Dat
 def selected(gains: DataFrame, n: int, feature: str, gain: str = "gain") -> DataFrame:
     """The n features of the highest gain, ties to the smaller feature."""
     return gains.orderBy(F.desc(gain), feature).limit(n)
+
+
+def fold_sums(rows: DataFrame, features: list[str], label: str, fold: str = "fold") -> dict:
+    """By fold the sums of products of all pairs among (1, features, label): all that least squares need, in one pass. A fold's row has d (d + 1) / 2 numbers."""
+    columns = [F.lit(1.0), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features), F.col(label).cast("double")]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = rows.where(F.col(label).isNotNull()).groupBy(fold).agg(*(F.sum(columns[i] * columns[j]).alias(f"s{i}_{j}") for i, j in pairs))
+    out = {}
+    for r in sums.collect():  # a row a fold
+        m = np.zeros((len(columns), len(columns)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        out[r[fold]] = m
+    return out
+
+
+def _held_out_error(sums: dict, places: list[int], strength: float) -> float:
+    """The mean squared error of least squares on some features, each fold by the fit on the others."""
+    total = sum(sums.values())
+    error, n = 0.0, 0.0
+    at = [0, *places]
+    for m in sums.values():
+        rest = total - m
+        a = rest[np.ix_(at, at)] + strength * np.eye(len(at))
+        b = np.linalg.solve(a, rest[at, -1])
+        error += m[-1, -1] - 2 * b @ m[at, -1] + b @ m[np.ix_(at, at)] @ b
+        n += m[0, 0]
+    return error / n
+
+
+def forward_selection(sums: dict, features: list[str], groups: dict[str, list[str]], strength: float = 1e-6) -> list[tuple[str, float]]:
+    """(group, error) in the order in which groups of features are taken: each time the one that lowers the held-out error most, until none does; ties to the first by name.
+
+    All candidates of all steps are scored from fold_sums(), so the rows are read once.
+    """
+    place = {c: i + 1 for i, c in enumerate(features)}
+    taken: list[int] = []
+    out: list[tuple[str, float]] = []
+    best = float("inf")
+    while True:
+        scores = [(_held_out_error(sums, [*taken, *(place[c] for c in groups[g] if place[c] not in taken)], strength), g) for g in sorted(groups) if g not in {x for x, _ in out}]
+        if not scores or min(scores)[0] >= best:
+            return out
+        best, group = min(scores)
+        taken += [place[c] for c in groups[group] if place[c] not in taken]
+        out.append((group, best))

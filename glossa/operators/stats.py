@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,22 +131,42 @@ def folds(rows: DataFrame, order: str, k: int, *keys: str) -> DataFrame:
     return rows.withColumn("fold", F.least(F.lit(k - 1), F.floor(at / size)).cast("int"))
 
 
-def bootstrap(rows: DataFrame, gold: str, a: str, b: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """One row: the share of resamples in which system b doesn't beat system a. Each resample weighs rows by Poisson(1) draws
-    from a hash of row and round, so no sample is materialised and a rerun gives the same."""
-    gain = (F.col(b) == F.col(gold)).cast("int") - (F.col(a) == F.col(gold)).cast("int")
-    drawn = rows.select("id", gain.alias("g")).where("g <> 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = (F.pmod(F.xxhash64("id", "round", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, total, p = F.lit(7), 0.0, 0.36787944117144233
-    steps = []
-    for i in range(7):
-        total += p
-        steps.append((total, i))
-        p /= i + 1
-    for bound, i in reversed(steps):
-        weight = F.when(u <= bound, F.lit(i)).otherwise(weight)
-    wins = drawn.groupBy("round").agg(F.sum(F.col("g") * weight).alias("w"))
-    return wins.agg(((rounds - F.count_if(F.col("w") > 0)) / rounds).alias("p_value"))
+def resampled(counts: np.ndarray, rounds: int, seed: tuple) -> np.ndarray:
+    """For each round, how often each group comes up when as many rows as there are get drawn with replacement; counts: the groups' rows."""
+    return np.random.default_rng(seed).multinomial(counts.sum(), counts / counts.sum(), size=rounds)
+
+
+def bootstrap(rows: DataFrame, gold: str, a: str, b: str, rounds: int = 10_000, seed: int = 7, cells: int | None = None) -> DataFrame:
+    """One row: the share of resamples, of as many rows as there are, in which system b doesn't beat system a."""
+    gain = (F.col(b) == F.col(gold)).cast("double") - (F.col(a) == F.col(gold)).cast("double")
+    return bootstrap_gains(rows.select(F.coalesce(gain, F.lit(0.0)).alias("gain")), rounds, seed, cells)
+
+
+def bootstrap_gains(gains: DataFrame, rounds: int = 10_000, seed: int = 7, cells: int | None = None) -> DataFrame:
+    """One row: p_value, the share of resamples of the rows in which `gain` doesn't sum to more than 0; 1.0 without rows.
+
+    Rows of equal gain are drawn as one group, and groups are dealt to cells of some thousands: a resample is first dealt over the cells, by draws that all tasks repeat from the seed,
+    and each task deals what came to its cell over its groups. That is the multinomial distribution itself, in two steps, so resamples are exact however many groups there are.
+    """
+    groups = gains.where("gain is not null").groupBy("gain").agg(F.count("*").alias("n"))
+    if cells is None:
+        cells = min(256, 1 + groups.count() // 4096)
+    groups = groups.withColumn("cell", F.pmod(F.xxhash64("gain"), F.lit(cells)).cast("int"))
+    held = sorted((r["cell"], r["n"]) for r in groups.groupBy("cell").agg(F.sum("n").alias("n")).collect())  # a row a cell
+    place = {cell: i for i, (cell, _) in enumerate(held)}
+    totals = np.array([n for _, n in held], np.int64)
+
+    def deal(group: pa.Table) -> pa.Table:
+        cell = group.column("cell")[0].as_py()
+        group = group.sort_by("gain")
+        each, n = group.column("gain").to_numpy(), group.column("n").to_numpy()
+        share = resampled(totals, rounds, (seed, 0))[:, place[cell]]
+        draw = np.random.default_rng((seed, 1, cell))
+        sums = [draw.multinomial(share[i : i + 256], n / n.sum()) @ each for i in range(0, rounds, 256)]  # bounded memory
+        return pa.table({"round": np.arange(rounds), "s": np.concatenate(sums)})
+
+    sums = groups.groupBy("cell").applyInArrow(deal, "round long, s double").groupBy("round").agg(F.sum("s").alias("s"))
+    return sums.agg((1 - F.count_if(F.col("s") > 1e-9) / F.lit(rounds)).alias("p_value"))
 
 
 def bigrams(tokens: DataFrame, *keys: str, threshold: int = 0) -> DataFrame:
