@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 def scored(rows: DataFrame, weights: dict[int, float], out: str = "score") -> DataFrame:
     """rows with the sum of their features: map<int, double>, weighted."""
-    table = F.from_json(F.lit("{" + ",".join(f'"{k}":{v!r}' for k, v in weights.items()) + "}"), "map<int,double>")
-    products = F.transform(F.map_entries("features"), lambda e: F.coalesce(e["value"] * F.element_at(table, e["key"]), F.lit(0.0)))
+    table = F.from_json(F.lit("{" + ",".join(f'"{k}":{v!r}' for k, v in weights.items()) + "}"), "map<string,double>")
+    products = F.transform(F.map_entries("features"), lambda e: F.coalesce(e["value"] * F.element_at(table, e["key"].cast("string")), F.lit(0.0)))
     return rows.withColumn(out, F.coalesce(F.aggregate(products, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 

@@ -64,11 +64,11 @@ def token_rules_fed_by_themselves(spark, d):
 
 
 @query(f"""WITH {W}, n AS (SELECT *, lead(word, 1) OVER o AS a, lead(word, 2) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY tok))
-SELECT doc_id, CAST(tok AS INTEGER) AS start, CAST(tok + CASE WHEN regexp_matches(b, '^[a-z]+$') THEN 3 ELSE 2 END AS INTEGER) AS "end", CAST(tok + 1 AS INTEGER) AS trigger, CAST(CASE WHEN regexp_matches(b, '^[a-z]+$') THEN 2 ELSE 1 END AS INTEGER) AS args
+SELECT doc_id, CAST(tok AS INTEGER) AS start, CAST(tok + CASE WHEN regexp_matches(b, '^[a-z]+$') AND NOT regexp_matches(b, 'tion$') THEN 3 ELSE 2 END AS INTEGER) AS "end", CAST(tok + 1 AS INTEGER) AS trigger, CAST(CASE WHEN regexp_matches(b, '^[a-z]+$') AND NOT regexp_matches(b, 'tion$') THEN 2 ELSE 1 END AS INTEGER) AS args
 FROM n WHERE regexp_matches(word, 'tion$') AND a IN ('of', 'in')""")
 def token_rule_triggers(spark, d):
     """A captured trigger makes an event, other captures its arguments; one of them may stay empty."""
-    grammar = r"""[{name: e, label: E, type: token, priority: 1, pattern: "(?<what> [word=/tion$/]) (?<trigger> of | in) (?<of> [word=/^[a-z]+$/])?"}]"""
+    grammar = r"""[{name: e, label: E, type: token, priority: 1, pattern: "(?<what> [word=/tion$/]) (?<trigger> of | in) (?<of> [word=/^[a-z]+$/ & !word=/tion$/])?"}]"""
     found = extract(one_sentence(spark, d), grammar, ["doc_id"])
     return found.select("doc_id", "start", "end", F.regexp_extract("trigger_id", r":(\d+)-\d+$", 1).cast("int").alias("trigger"), F.size("args").alias("args"))
 
