@@ -1,16 +1,19 @@
 """Personal data replaced by surrogates: keyed, consistent in type and format, and the same for the same entity everywhere.
 
 Found are e-mail addresses, phone and card numbers, IPv4 addresses, IBANs, social security numbers, long hexadecimal
-secrets, names after a title, and in the same text every further mention of a part of such a name, with a title or without. A surrogate is drawn from a keyed
+secrets, names after a title, and in the same text every further mention of a part of such a name, with a title or without. Ordinary words are left alone: a word
+that stands in lower case in the table at one in ORDINARY of its places or more often is a name only straight after a title, so neither "The" of "Mr Smith The next day"
+nor, elsewhere, the colour of Mr Brown is replaced. A surrogate is drawn from a keyed
 hash (SHA-512 over key, type, attempt and the normalised entity): each digit becomes a digit, each letter one of its script and case, hexadecimal stays
 hexadecimal, an IP address becomes a valid one, a card number with a right check digit gets one; separators stay. Given names keep the title's gender by
-their ending; names in Cyrillic or Greek letters keep their script, others are Latin. So a mention of the same entity gets the same surrogate in any document, however it is written.
+their ending, after titles of no gender they have an ending of their own; names in Cyrillic or Greek letters keep their script, others are Latin; letters of
+addresses and numbers stay in their script where LETTERS has it, and become Latin ones otherwise. So a mention of the same entity gets the same surrogate in any document, however it is written.
 
 Collision checks keep distinct entities distinct: over all entities of the table, a surrogate that two
 entities would share, or that is an entity of the table itself, is drawn anew (attempt 1, 2, ...) until none is left; names grow longer with each
 attempt, and only if a format has no room for its entities there is an error. The few
-redrawn entities are looked up while replacing: as a literal map while they are at most LITERAL_ROWS, else by a join.
-Which entities are redrawn depends on the table, so tables that must agree have to be replaced together.
+redrawn entities, and the ordinary words in names, are looked up while replacing: as a literal while they are at most LITERAL_ROWS, else by a join.
+Both depend on the table, so tables that must agree have to be replaced together.
 
 The key is GLOSSA_PII_KEY in the driver's environment; without it, each call draws a random key of its own. It is part of the plan, so plans are as secret as the key.
 
@@ -29,18 +32,26 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop, table
 
-#: Redrawn entities up to which they are a literal in the plan; beyond it, they are joined.
+#: Redrawn entities, or ordinary words, up to which they are a literal in the plan; beyond it, they are joined.
 LITERAL_ROWS = 2000
+#: Words of names up to which they are broadcast; beyond it, all words are counted before they are joined.
+BROADCAST_WORDS = 100_000
+#: A word is ordinary if one in so many of its places has it in lower case.
+ORDINARY = 10
 #: Attempts in a row that settle nothing, after which a format counts as full.
 FRUITLESS = 20
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|Господин|Κύριος|Κος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа|Κυρία|Κα"
+NEUTRAL = "Dr|Prof|Professor|Doctor|Доктор|Профессор|Δρ"
+TITLE = f"(?:{MALE}|{FEMALE}|{NEUTRAL})\\.? "
 EDGE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 GAP = r"[^\p{L}\p{N}]{1,6}"
-NAME = r"\p{Lu}[\p{L}\x27’-]*+"
+NAME = rf"(?!{TITLE}\p{{Lu}})\p{{Lu}}[\p{{L}}\x27’-]*+"
+WORD = r"\p{L}[\p{L}\x27’-]*+"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}{END}(?!\.[0-9])"
+NAMED = rf"{EDGE}{TITLE}{NAME}(?: {NAME})?"
 PATTERN = "|".join((
     EMAIL,
     rf"{EDGE}[0-9a-fA-F]{{32,}}+{END}",
@@ -53,21 +64,28 @@ PATTERN = "|".join((
     rf"\([0-9]{{3}}\)[^\p{{L}}\p{{N}}]{{0,6}}[0-9]{{3}}{GAP}[0-9]{{4}}{END}",
     rf"{EDGE}\+?[0-9]{{0,2}}[0-9]{{3}}[-. ][0-9]{{3}}[-. ][0-9]{{4}}{END}",
     rf"\+[0-9]{{10,15}}{END}",
-    rf"{EDGE}(?:{MALE}|{FEMALE})\.? {NAME}(?: {NAME})?",
+    NAMED,
 ))
 #: A text without any of these has no entity.
-HINT = rf"[0-9@]|[a-fA-F]{{32}}|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+NAME_HINT = rf"{TITLE}\p{{Lu}}"
+HINT = rf"[0-9@]|[a-fA-F]{{32}}|{NAME_HINT}"
 
 #: The type of the match {e}, and the normal form of an entity {v} of type {t}, as SQL.
 TYPE = (
-    f"case when {{e}} like '%@%' then 'email' when {{e}} rlike r'^(?:{MALE})\\.? ' then 'man_name' when {{e}} rlike r'^(?:{FEMALE})\\.? ' then 'woman_name'"
+    f"case when {{e}} like '%@%' then 'email' when {{e}} rlike r'^(?:{MALE})\\.? ' then 'man_name' when {{e}} rlike r'^(?:{FEMALE})\\.? ' then 'woman_name' when {{e}} rlike r'^(?:{NEUTRAL})\\.? ' then 'given_name'"
     f" when {{e}} rlike r'^(?:{OCTET}\\.){{{{3}}}}{OCTET}$' then 'ip' when {{e}} rlike '^[0-9a-fA-F]{{{{32,}}}}$' then 'hex' when {{e}} rlike '^[A-Z]' then 'iban'"
     " when {e} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn' when {e} rlike '^[0-9]{{13,19}}$|^[0-9]{{4}}[ -][0-9]{{4}}[ -]' then 'card' else 'phone' end"
 )
 NORM = r"if({t} in ('email', 'ip') or {t} like '%name', lower({v}), lower(regexp_replace({v}, r'[^\p{{L}}\p{{N}}]', '')))"
-LETTERS = {r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsHan}": "安白丁方高何江林明文学德华英海春东云天平"}
+LETTERS = {
+    r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsHan}": "安白丁方高何江林明文学德华英海春东云天平",
+    r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת", r"\p{IsDevanagari}": "अइउएकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह",
+    r"\p{IsArmenian}": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ", r"\p{IsGeorgian}": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", r"\p{IsThai}": "กขคฆงจฉชซญฎฏฐณดตถทธนบปผฝพฟภมยรลวศษสหอฮ",
+    r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허고노도로모보소오조초코토포호",
+}
 SYLLABLES = {r"\p{IsCyrillic}": "ба,ве,го,ди,жа,зе,ки,ло,ма,не,по,ри,са,те,фи,ху", r"\p{IsGreek}": "βα,γε,δι,ζο,θε,κα,λυ,μα,νι,πο,ρα,σε,τι,φω,χα,ψε", "": "ba,ce,do,fi,ga,he,jo,ka,le,mi,no,pa,re,si,to,vu"}
-ENDINGS = {r"\p{IsCyrillic}": {"man_name": "н,р,с,й", "woman_name": "на,ра,са,ля", "surname": "ко,дзе,чук,нер"}, r"\p{IsGreek}": {"man_name": "ς,νος,ρης,λας", "woman_name": "να,ρα,λια,τη", "surname": "δης,πουλος,κος,ιδης"}, "": {"man_name": "n,rd,s,lf", "woman_name": "na,ra,lia,tta", "surname": "ster,mann,ley,nder"}}
+ENDINGS = {r"\p{IsCyrillic}": {"man_name": "н,р,с,й", "woman_name": "на,ра,са,ля", "given_name": "ш,ж,чи,гу", "surname": "ко,дзе,чук,нер"}, r"\p{IsGreek}": {"man_name": "ς,νος,ρης,λας", "woman_name": "να,ρα,λια,τη", "given_name": "ξ,ψ,ρι,μω", "surname": "δης,πουλος,κος,ιδης"}, "": {"man_name": "n,rd,s,lf", "woman_name": "na,ra,lia,tta", "given_name": "m,x,ri,wyn", "surname": "ster,mann,ley,nder"}}
 
 
 def _quoted(text: str) -> str:
@@ -93,8 +111,10 @@ def _drawn(key: str, t: str, v: str, n: str, a: str) -> str:
     """The surrogate of the entity v, of type t and normal form n, at attempt a, as SQL."""
     b = _byte("acc.i")
     letter = f"substr('abcdefghijklmnopqrstuvwxyz', {b} % 26 + 1, 1)"
+    other = letter
     for script, alphabet in LETTERS.items():
-        letter = f"if(c rlike r'{script}', substr('{alphabet}', {b} % {len(alphabet)} + 1, 1), {letter})"
+        other = f"if(c rlike r'{script}', substr('{alphabet}', {b} % {len(alphabet)} + 1, 1), {other})"
+    letter = f"if(c < '\u0250', {letter}, {other})"  # Latin ones end there
     hexed = f"substr('0123456789abcdef', {b} % 16 + 1, 1)"
     new = (
         f"case when acc.stop then c when {t} = 'hex' then if({v} = upper({v}), upper({hexed}), {hexed}) when c rlike '[0-9]' then string({b} % 10)"
@@ -123,12 +143,26 @@ def _drawn(key: str, t: str, v: str, n: str, a: str) -> str:
 
 
 def _title(e: str) -> str:
-    return f"if({e} rlike r'^(?:{MALE}|{FEMALE})\\.? ', regexp_extract({e}, '^([^ ]+ )', 1), '')"
+    return f"if({e} rlike r'^{TITLE}', regexp_extract({e}, '^([^ ]+ )', 1), '')"
+
+
+def _parts(e: str) -> str:
+    """The words of the match e after its title."""
+    return f"split(substr({e}, length({_title(e)}) + 1), ' ')"
+
+
+def _is_ordinary(w: str) -> str:
+    return f"array_contains(_ordinary, lower({w}))"
+
+
+def _rest(e: str) -> str:
+    """What follows the name in the match e: a second word that is none."""
+    return f"if({_title(e)} = '', '', array_join(transform(filter({_parts(e)}, (w, i) -> i > 0 and {_is_ordinary('w')}), w -> concat(' ', w)), ''))"
 
 
 def _entities(e: str) -> str:
-    """The match e as an array of entities (t, n, v): a name's parts are entities of their own."""
-    words = f"filter(split(substr({e}, length({_title(e)}) + 1), ' '), w -> true)"
+    """The match e as an array of entities (t, n, v): a name's parts are entities of their own, ordinary words but the first aren't."""
+    words = f"filter({_parts(e)}, (w, i) -> i = 0 or not {_is_ordinary('w')})"
     t = TYPE.format(e=e)
     made = lambda t, v: f"named_struct('t', {t}, 'n', {NORM.format(t=t, v=v)}, 'v', {v})"
     part = f"transform({words}, (w, i) -> transform(array(if(i = 0 and size({words}) > 1, k, 'surname')), p -> {made('p', 'w')})[0])"
@@ -146,11 +180,51 @@ def matches(text: str) -> Column:
     return F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _name_words(text: str) -> Column:
+    """The words of the names in a text, in lower case."""
+    words = f"transform(flatten(transform(regexp_extract_all({text}, {_quoted(NAMED)}, 0), e -> {_parts('e')})), w -> lower(w))"
+    return F.when(F.col(text).rlike(NAME_HINT), F.expr(words)).otherwise(F.array().cast("array<string>"))
+
+
+def ordinary(docs: DataFrame, text: str) -> DataFrame:
+    """(w): the words of the table's names that are ordinary words too, in lower case."""
+    asked = cut(docs.select(F.explode(_name_words(text)).alias("w")).distinct())
+    n = asked.count()
+    if not n:
+        return asked
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("v")).select(F.lower("v").alias("w"), F.expr("int(v = lower(v))").alias("low"))
+    if n <= BROADCAST_WORDS:
+        words = words.join(F.broadcast(asked), "w", "left_semi")
+    counts = words.groupBy("w").agg(F.sum("low").alias("low"), F.count("*").alias("n")).where(f"low > 0 and low * {ORDINARY} >= n").select("w")
+    found = cut(counts if n <= BROADCAST_WORDS else counts.join(asked, "w", "left_semi"))
+    drop(asked)
+    return found
+
+
+def _with_ordinary(held: DataFrame) -> DataFrame:
+    """held with _ordinary: of the table's ordinary words those that the names in _text need."""
+    found = ordinary(held, "_text")
+    n = found.count()
+    if n <= LITERAL_ROWS:
+        out = held.withColumn("_ordinary", F.array(*(F.lit(r["w"]) for r in found.collect())).cast("array<string>"))
+        drop(found)
+        return out
+    marked = held.withColumn("_row", F.xxhash64("_text"))
+    asked = marked.select("_row", F.explode(_name_words("_text")).alias("w")).distinct().join(found, "w")
+    of = asked.groupBy("_row").agg(F.collect_set("w").alias("_some"))
+    empty = F.array().cast("array<string>")
+    return marked.join(of, "_row", "left").select(*held.columns, F.coalesce("_some", empty).alias("_ordinary"))
+
+
 def redrawn(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(id, attempt) of the entities whose first surrogates would collide; id is 'type|normal form'."""
+    return _redrawn(_with_ordinary(docs.select(F.col(text).alias("_text"))), key)
+
+
+def _redrawn(held: DataFrame, key: str) -> DataFrame:
     drawn = lambda a: F.expr(_drawn(key, "t", "n", "n", a))
     normal = lambda c: F.expr(NORM.format(t="t", v=c))
-    found = docs.select(F.explode(matches(text)).alias("e")).select(F.inline(F.expr(_entities("e")))).select("t", "n").distinct()
+    found = held.select("_ordinary", F.explode(matches("_text")).alias("e")).select(F.inline(F.expr(_entities("e")))).select("t", "n").distinct()
     real = cut(found.withColumn("s", drawn("0")).withColumn("s", normal("s")))
     own = real.select("t", F.col("n").alias("s"))
 
@@ -177,7 +251,7 @@ def redrawn(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         fruitless = fruitless + 1 if left == before else 0
         if fruitless == FRUITLESS:
             raise RuntimeError("surrogates: more entities than their formats have room for")
-    found = cut(out) if out is not None else docs.sparkSession.createDataFrame([], "id string, attempt int")
+    found = cut(out) if out is not None else held.sparkSession.createDataFrame([], "id string, attempt int")
     drop(real)
     return found
 
@@ -186,14 +260,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the entities of the text replaced, and _entities, their number."""
     names = [c for c in docs.columns if c != "_entities"]
     held = docs.select(F.struct(*names).alias("_doc"), F.col(text).alias("_text"))  # so no column's name can clash
-    again = redrawn(held, key, "_text")
+    held = _with_ordinary(held)
+    again = _redrawn(held, key)
     attempt, n = "0", again.count()
     if 0 < n <= LITERAL_ROWS:
         pairs = ", ".join(f"{_quoted(r['id'])}, {r['attempt']}" for r in again.collect())
         attempt = f"coalesce(element_at(map({pairs}), concat_ws('|', x.t, x.n)), 0)"
     elif n:
         marked = held.withColumn("_row", F.xxhash64("_text"))
-        asked = marked.select("_row", F.explode(matches("_text")).alias("e")).select("_row", F.inline(F.expr(_entities("e"))))
+        asked = marked.select("_row", "_ordinary", F.explode(matches("_text")).alias("e")).select("_row", F.inline(F.expr(_entities("e"))))
         asked = asked.select("_row", F.concat_ws("|", "t", "n").alias("id")).distinct().join(again, "id")
         of = asked.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("id", "attempt"))).alias("_map"))
         held = marked.join(of, "_row", "left")
@@ -201,13 +276,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     held = held.withColumn("_first", matches("_text"))
     held = held.withColumn("_names", F.expr(f"filter(flatten(transform(_first, e -> {_entities('e')})), x -> x.t like '%name')"))
     bare = r"concat('\\Q', x, '\\E')"  # NAME allows no backslash
-    parts = f"array_join(transform(array_distinct(flatten(transform(filter(_names, x -> length(x.v) > 1), x -> array(x.v, upper(x.v))))), x -> {bare}), '|')"
+    parts = f"array_join(transform(array_distinct(flatten(transform(filter(_names, x -> length(x.v) > 1 and not {_is_ordinary('x.v')}), x -> array(x.v, upper(x.v))))), x -> {bare}), '|')"
     held = held.withColumn("_parts", F.expr(parts))
     # in texts with names, their parts are found too, wherever they stand
     wide = F.concat(F.lit(f"{PATTERN}|{EDGE}(?:"), F.col("_parts"), F.lit(f"){END}"))
     named = F.col("_parts") != ""
     held = held.withColumn("_found", F.when(named, F.regexp_extract_all("_text", wide, F.lit(0))).otherwise(F.col("_first")))
-    new = f"concat({_title('e')}, array_join(transform({_mentions('e', '_names')}, x -> {_drawn(key, 'x.t', 'x.v', 'x.n', attempt)}), ' '))"
+    new = f"concat({_title('e')}, array_join(transform({_mentions('e', '_names')}, x -> {_drawn(key, 'x.t', 'x.v', 'x.n', attempt)}), ' '), {_rest('e')})"
     held = held.withColumn("_new", F.expr(f"transform(_found, e -> {new})"))
     between = F.when(named, F.split(F.col("_text"), wide, -1)).otherwise(F.split(F.col("_text"), PATTERN, -1))
     joined = F.array_join(F.flatten(F.zip_with(between, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")

@@ -127,7 +127,7 @@ def test_mixing_lag_and_deadlines(spark, corpus):
 
 def test_mixing_odd(spark, odd, none):
     empty_weights = spark.createDataFrame([], "source string, weight double")
-    got = mixing.mix(odd.select("doc_id", "source"), empty_weights)
+    got = mixing.mix(odd.select("doc_id", "source"), empty_weights, quanta=256)
     assert got.count() == odd.count() and got.where("q = 1").count() == odd.count()
     assert mixing.mix(none.select("doc_id", "source"), empty_weights).count() == 0
     assert sorted(map(str, mixing.mixing_stage(spark, odd, "").collect())) == sorted(map(str, odd.collect()))
@@ -490,6 +490,30 @@ def test_pii_mentions_without_title(spark):
     assert len(got[3]) == 40 and got[3] != texts[3]
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_pii_leaves_ordinary_words(spark, monkeypatch, joined):
+    """A capitalised word after a name isn't a part of it if the table has it in lower case, and isn't replaced elsewhere; nor is a name that is such a word."""
+    if joined:
+        monkeypatch.setattr(pii, "LITERAL_ROWS", 0)
+        monkeypatch.setattr(pii, "BROADCAST_WORDS", 0)
+    texts = ["We asked Mr Smith The next day. The house was red, Smith said", "in the house, the brown one", "Dr Brown left. Brown bread", "Mr Smith Mrs Jane Jones", "Prof. Dr. Miller and Miller", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = [r.text for r in pii.pseudonymise(docs, "k").orderBy("i").collect()]
+    name = got[0].split()[3]
+    assert name != "Smith" and got[0] == f"We asked Mr {name} The next day. The house was red, {name} said"
+    assert got[1] == texts[1] and got[5:] == ["", None]
+    assert re.fullmatch(r"Dr (?!Brown)[A-Z][a-z]+ left. Brown bread", got[2])
+    assert re.fullmatch(rf"Mr {name} Mrs (?!Jane)[A-Z][a-z]+ (?!Jones)[A-Z][a-z]+", got[3])
+    assert re.fullmatch(r"Prof\. Dr\. (?!Miller)([A-Z][a-z]+) and \1", got[4])
+
+
+def test_pii_keeps_scripts(spark):
+    texts = ["كتاب@example.org", "שלום@example.org", "한글@example.org", "почта@example.org"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "k").orderBy("i").collect()]
+    for old, new, letters in zip(texts, got, ("[\u0600-\u06ff]", "[\u0590-\u05ff]", "[\uac00-\ud7a3]", "[\u0430-\u044f]"), strict=True):
+        assert new != old and re.fullmatch(rf"{letters}{{{old.index('@')}}}@[a-z]{{7}}\.org", new)
+
+
 def test_pii_many_names_stay_apart(spark):
     """More entities than one draw keeps apart, in the order of thousands, with apostrophes."""
     names = [f"O'{a}{b}{c}" for a in "ABCDEFGHIJ" for b in "abcdefghij" for c in "abcdefghijklmnop"]
