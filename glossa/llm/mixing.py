@@ -115,10 +115,11 @@ def order_key() -> Column:
 MIXED = ("q", "period", "block", "slot", "release", "deadline", "place")
 
 
-def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 16, quanta: int | None = 256) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 16, quanta: int | None = None) -> DataFrame:
     """docs with q, period, block, slot, release, deadline and place: (slot, place) is the mixed order.
 
-    Within a source, rows come in the order of a hash of their ids. weights: (source, weight). quanta: None takes the weights as they are.
+    Within a source, rows come in the order of a hash of their ids. weights: (source, weight). quanta: None takes the weights as they are; a number
+    rounds them to about so many in all, one at least for each source.
     """
     keep = [c for c in docs.columns if c not in MIXED]
     docs = docs.select(F.struct(*keep).alias("_doc"), "doc_id", "source")  # so no column's name can clash
@@ -151,7 +152,7 @@ def mix(docs: DataFrame, weights: DataFrame, block_rows: int = 16, quanta: int |
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs, tempered(docs))
+    return mix(docs, tempered(docs), quanta=256)  # its SQL says so
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
