@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.operators import graphs, learning, ranking, stats, tagging, text
+from glossa.operators import graphs, kernels, learning, ranking, stats, tagging, text
 from glossa.plans.rules import extract
 from glossa.queries import CHAIN, KEYS, W, chain, docs, one_sentence, query, table
 
@@ -181,3 +181,45 @@ def forward_selection(spark, d):
     names = [c for g in features.values() for c in g]
     taken = learning.forward_selection(learning.fold_sums(rows, names, "l_extendedprice"), names, features)
     return spark.createDataFrame([(i, g) for i, (g, _) in enumerate(taken)], "step int, feature string")
+
+
+def _crossed(rows, fit):
+    """All rows, each predicted by the machine that was fitted on the half that it isn't in."""
+    half = F.pmod(F.xxhash64("key"), F.lit(2))
+    parts = [kernels.predicted(rows.where(half == i), fit(rows.where(half == 1 - i))) for i in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT l_returnflag, count(*) AS n, true AS over_floor FROM lineitem GROUP BY l_returnflag""")
+def kernel_machine(spark, d):
+    """Lines whose discount and tax lie within a ring, which no line parts from the others: counts by flag, and whether nine in ten are told right by the machine of the other half."""
+    place = [(F.col("l_discount") - 0.05) * 20, (F.col("l_tax") - 0.04) * 25]
+    ring = place[0] * place[0] + place[1] * place[1]
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("key"), F.array(*place).alias("features"), F.when((ring > 0.2) & (ring < 1), 1).otherwise(0).alias("label"))
+    got = _crossed(rows, lambda half: kernels.classifier(half, kernels.Kernel("rbf", 4.0), "key", 1e-4, rounds=8))
+    return got.groupBy("l_returnflag").agg(F.count("*").alias("n"), (F.avg((F.col("label") == F.col("prediction")).cast("int")) > 0.9).alias("over_floor"))
+
+
+#: Letters whose shares in a text tell its language.
+LETTERS = "abcdefghijklmnopqrstuvwxyzäößüáéíñóúàâçèêôœ"
+
+
+@query("""SELECT lang, count(*) AS n, true AS over_floor FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang""")
+def kernel_machine_languages(spark, d):
+    """The languages of whole texts from their letters' shares, a machine for each language: texts by language, and whether over six in ten of them are told right by the machine of the other half."""
+    lower = F.lower("text")
+    shares = [(F.length(lower) - F.length(F.replace(lower, F.lit(c)))) / F.greatest(F.length(lower), F.lit(1)) for c in LETTERS]
+    rows = docs(spark, d).where("lang is not null and text is not null").select(F.col("doc_id").alias("key"), F.array(*shares).alias("features"), F.col("lang").alias("label"))
+    got = _crossed(rows, lambda half: kernels.classifier(half, kernels.Kernel("rbf", 20.0), "key", 1e-4, rounds=8))
+    return got.groupBy(F.col("label").alias("lang")).agg(F.count("*").alias("n"), (F.avg((F.col("label") == F.col("prediction")).cast("int")) > 0.6).alias("over_floor"))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, true AS within FROM lineitem GROUP BY l_returnflag""")
+def epsilon_regression(spark, d):
+    """Quantity after discount and tax, a product of three columns, by a cubic kernel: lines by flag, and whether 99 in 100 lie within the margin, or nearly, for the machine of the other half."""
+    features = [F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5]
+    label = F.col("l_quantity") / 50 * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("key"), F.array(*features).alias("features"), label.alias("label"))
+    got = _crossed(rows, lambda half: kernels.regression(half, kernels.Kernel("polynomial", 1.0, 3, 1.0), "key", 0.01, 1e-6, landmarks=64, rounds=8))
+    near = F.abs(F.col("prediction") - F.col("label")) < 0.012
+    return got.groupBy("l_returnflag").agg(F.count("*").alias("n"), (F.avg(near.cast("int")) > 0.99).alias("within"))
