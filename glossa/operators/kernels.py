@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glossa.plans.lineage import delete, written
 
@@ -182,7 +183,7 @@ def predicted(rows: DataFrame, made: Machine) -> DataFrame:
     kept = rows.drop("prediction")
     of = rows.schema["label"].dataType if made.classes and "label" in rows.columns else None
     kind = T.DoubleType() if not made.classes else of or (T.StringType() if isinstance(made.classes[0], str) else T.DoubleType() if isinstance(made.classes[0], float) else T.LongType())
-    width, to = made.landmarks.shape[1], {"string": pa.string(), "double": pa.float64(), "float": pa.float32(), "int": pa.int32(), "bigint": pa.int64()}[kind.simpleString()]
+    width, to = made.landmarks.shape[1], to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
