@@ -117,10 +117,11 @@ def without_references(text: Column) -> Column:
 DUE_TO = {("due", "to"): "IN"}
 
 
-def corrected_tags(tokens: DataFrame, pairs: dict[tuple[str, str], str], *keys: str) -> DataFrame:
-    """tokens with tags mended: `vs.` joins, numbers with ds or ws count, and words get a tag before certain others."""
-    low, after = F.lower("word"), F.lower(F.lead("word").over(Window.partitionBy(*keys).orderBy("tok")))
-    tag = F.when(low.rlike("^vs[.]?$"), "CC").when(F.col("word").rlike("^[0-9]+(ds|ws)$"), "CD")
+def corrected_tags(tokens: DataFrame, pairs: dict[tuple[str, str], str], *keys: str, fold_following: bool = True) -> DataFrame:
+    """tokens with tags mended: `vs.` joins, numbers with ds or ws count, and words get a tag before certain others, in whatever case; without `fold_following`, these others count only as written."""
+    low, after = F.lower("word"), F.lead("word").over(Window.partitionBy(*keys).orderBy("tok"))
+    after = F.lower(after) if fold_following else after
+    tag = F.when(low.rlike(r"^vs[.]?\z"), "CC").when(F.col("word").rlike(r"^[0-9]+(ds|ws)\z"), "CD")
     for (word, following), new in pairs.items():
         tag = tag.when((low == word) & (after == following), new)
     return tokens.withColumn("tag", tag.otherwise(F.col("tag")))
