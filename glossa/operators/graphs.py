@@ -5,31 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.plans.lineage import cut, delete
+from glossa.operators import searches
+from glossa.plans.lineage import cut
 
 
-def step(front: DataFrame, edges: DataFrame, keys: list[str], back: bool = False, rel: str | None = None) -> DataFrame:
-    """(keys, start, node) one edge further, along labels that fit the regex `rel`."""
+def closure(front: DataFrame, edges: DataFrame, keys: list[str], hops: int | None = None, back: bool = False, rel: str | None = None) -> DataFrame:
+    """(keys, start, node, depth): what can be reached, within `hops` or, without a number, at all, along labels that fit the regex `rel`, with the least depth, the start itself at 0."""
     a, b = ("dst", "src") if back else ("src", "dst")
     e = edges.where(F.col("rel").rlike(rel)) if rel else edges
-    return front.join(e.select(*keys, F.col(a).alias("node"), F.col(b).alias("next")), [*keys, "node"]).select(*keys, "start", F.col("next").alias("node")).distinct()
-
-
-def closure(front: DataFrame, edges: DataFrame, keys: list[str], hops: int | None = None, back: bool = False, rel: str | None = None) -> DataFrame:
-    """(keys, start, node, depth): what can be reached, within `hops` or, without a number, at all, with the least depth, the start itself at 0."""
-    now = front.select(*keys, "start", "node")
-    out, d, old = now.withColumn("depth", F.lit(0)), 0, []
-    while hops is None or d < hops:
-        d += 1
-        now = step(now, edges, keys, back, rel).join(out, [*keys, "start", "node"], "left_anti")
-        if d % 4 == 0:  # each step's plan holds the ones before
-            now, out = cut(now), cut(out)
-            delete(*old)
-            old = [now, out]
-            if not now.head(1):
-                break
-        out = out.union(now.withColumn("depth", F.lit(d)))
-    return out
+    kinds = front.select("start", "node").union(e.select(a, b)).schema
+    rows = searches.rows_of(e, keys, searches.EDGE, a, b).union(searches.rows_of(front, keys, searches.START, "start", "node"))
+    found = searches.searched(rows, keys, searches.reached(hops), "start long, node long, depth int")
+    return found.select(*keys, searches.given_back("start", front.schema["start"].dataType.simpleString()), searches.given_back("node", kinds["node"].dataType.simpleString()), "depth")
 
 
 def roots(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,60 +25,24 @@ def roots(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def all_roots(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node): nodes without incoming edges, and, of nodes that none of these leads to, those that no smaller one leads to: the smallest of each such circle.
-
-    The least node that leads to a node goes from it along its edges until no label changes.
-    """
-    nodes = nodes.select(*keys, "node").distinct()
-    out = roots(nodes, edges, keys)
-    seen = closure(out.select(*keys, F.lit(0).alias("start"), "node"), edges, keys).select(*keys, "node")
-    now = cut(nodes.join(seen, [*keys, "node"], "left_anti").withColumn("least", F.col("node")))
-    links = cut(edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")).distinct().join(now.select(*keys, F.col("node").alias("next")), [*keys, "next"], "left_semi"))
-    while now.head(1):
-        last = now
-        for _ in range(4):
-            new = now.join(links, [*keys, "node"]).groupBy(*keys, F.col("next").alias("node")).agg(F.min("least").alias("_least"))
-            now = now.join(new, [*keys, "node"], "left").select(*keys, "node", F.least("least", "_least").alias("least"))
-        now = cut(now)
-        changed = now.join(last.withColumnRenamed("least", "_was"), [*keys, "node"]).where("least < _was").head(1)
-        delete(last)
-        if not changed:
-            break
-    return out.union(now.where("least = node").select(*keys, "node"))
+    """(keys, node): nodes without incoming edges, and, of nodes that none of these leads to, those that no smaller one leads to: the smallest of each such circle."""
+    rows = searches.rows_of(edges, keys, searches.EDGE, "src", "dst").union(searches.rows_of(nodes, keys, searches.START, "node", "node"))
+    return searches.searched(rows, keys, searches.tops, "node long").select(*keys, searches.given_back("node", nodes.schema["node"].dataType.simpleString()))
 
 
 def edge_paths(pairs: DataFrame, edges: DataFrame, keys: list[str], undirected: bool = False) -> DataFrame:
     """(keys, start, end, step, src, dst, rel, mark): the edges of a shortest path between each pair (keys, start, end), from step 0; mark is > along an edge and < against it.
 
-    Of nodes that lead on equally fast the smallest is taken, and all edges between two nodes of the path are listed at the same step. Pairs without a path give no rows. The search
-    keeps for each node that it reaches the one that it came from; paths are then rebuilt from these pointers by doubling, in as many joins as the longest path's length has bits.
+    Of nodes that lead on equally fast the smallest is taken, and all edges between two nodes of the path are listed at the same step. Pairs without a path give no rows.
     """
     pairs = pairs.select(*keys, "start", "end").distinct()
     ahead = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next"), F.col("src").alias("src"), F.col("dst").alias("dst"), "rel", F.lit(">").alias("mark"))
     back = edges.select(*keys, F.col("dst").alias("node"), F.col("src").alias("next"), F.col("src").alias("src"), F.col("dst").alias("dst"), "rel", F.lit("<").alias("mark"))
     links = ahead.union(back) if undirected else ahead
-    near = links.select(*keys, "node", "next").distinct()
-    found = cut(pairs.select(*keys, "start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("up")).distinct())
-    now, d = found, 0
-    while True:
-        d += 1
-        new = now.join(near, [*keys, "node"]).groupBy(*keys, "start", F.col("next").alias("node")).agg(F.min("node").cast("int").alias("up"))
-        new = new.join(found, [*keys, "start", "node"], "left_anti").select(*keys, "start", "node", F.lit(d).alias("depth"), "up")
-        now = cut(new)
-        if not now.head(1):
-            break
-        found, old = cut(found.union(now)), found
-        delete(old)
-    of = lambda df, a, b: df.select(*keys, "start", F.col("node").alias(a), F.col("up").alias(b))
-    on = cut(pairs.join(found.select(*keys, "start", F.col("node").alias("end")), [*keys, "start", "end"]).select(*keys, "start", "end", F.col("end").alias("node")))
-    jump = found.where("up is not null").select(*keys, "start", "node", "up")
-    length = 1
-    while length < d:
-        on, old = cut(on.union(on.join(jump, [*keys, "start", "node"]).select(*keys, "start", "end", F.col("up").alias("node")))), on
-        delete(old)
-        jump = cut(of(jump, "node", "mid").join(of(jump, "mid", "up"), [*keys, "start", "mid"]).select(*keys, "start", "node", "up"))
-        length *= 2
-    steps = on.join(found, [*keys, "start", "node"]).where("up is not null").select(*keys, "start", "end", (F.col("depth") - 1).alias("step"), F.col("up").alias("node"), F.col("node").alias("next"))
+    rows = searches.rows_of(links, keys, searches.EDGE, "node", "next").union(searches.rows_of(pairs, keys, searches.START, "start", "end"))
+    steps = searches.searched(rows, keys, searches.paths, "start long, end long, step int, node long, next long")
+    kind = lambda c: pairs.schema[c].dataType.simpleString()
+    steps = steps.select(*keys, searches.given_back("start", kind("start")), searches.given_back("end", kind("end")), "step", "node", "next")
     return steps.join(links, [*keys, "node", "next"]).select(*keys, "start", "end", "step", "src", "dst", "rel", "mark").distinct()
 
 
