@@ -106,7 +106,8 @@ def accepted(custom: DataFrame, generic: DataFrame, *keys: str) -> DataFrame:
 def cleared_before(tokens: DataFrame, *keys: str, cleared: str, before: str, label: str = "entity") -> DataFrame:
     """tokens with the runs of labels that fit the regex `cleared` turned to O where `before` comes next."""
     loose = F.col(label).rlike(cleared)
-    following = F.first(F.when(~loose, F.col(label)), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("tok").rowsBetween(1, Window.unboundedFollowing))
+    # read backwards, as a frame that only grows is kept from row to row, and one without an end is read anew for each
+    following = F.last(F.when(~loose, F.col(label)), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("tok")).rowsBetween(Window.unboundedPreceding, -1))
     return tokens.withColumn(label, F.when(loose & (following == before), "O").otherwise(F.col(label)))
 
 
