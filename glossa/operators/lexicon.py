@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Lexicon entries up to which the lexicon is broadcast; beyond it, n-grams and lexicon are joined by a shuffle.
 BROADCAST_ENTRIES = 200_000
 
+#: Different first words of the entries up to which n-grams begin at these words only; beyond it, all n-grams meet the lexicon.
+FIRST_WORDS = 2_000
+
 
 def read_lexicon(lines: DataFrame, label: str) -> DataFrame:
     """(phrase, label) of a text source: an entry a line, `//` begins a comment, lines with # are skipped."""
@@ -41,8 +44,14 @@ def matches(sentences: DataFrame, lexicon: DataFrame, *keys: str, fold: bool = T
         return sentences.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("label")).where("false")
     if lexicon.count() <= BROADCAST_ENTRIES:
         entries = F.broadcast(entries)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("start"), (i + n).alias("end"), norm(F.array_join(F.slice("words", i + 1, n), " ")).alias("phrase")))).otherwise(F.array().cast("array<struct<start:int,end:int,phrase:string>>"))))
-    hits = sentences.select(*keys, F.inline(grams)).join(entries, "phrase")
+    firsts = entries.select(F.substring_index("phrase", " ", 1).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))
+    if len(firsts) <= FIRST_WORDS:
+        begins = F.filter(F.transform("words", lambda w, i: F.when(F.substring_index(norm(w), " ", 1).isin([r.w for r in firsts]), i)), lambda i: i.isNotNull())
+        places = F.when(F.size("words") > 0, begins)
+    each = sentences.select(*keys, "words", places.alias("_at"))
+    grams = F.flatten(F.transform("_at", lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - i)), lambda n: F.struct(i.alias("start"), (i + n).alias("end"), norm(F.array_join(F.slice("words", i + 1, n), " ")).alias("phrase")))))
+    hits = each.select(*keys, F.inline(grams)).join(entries, "phrase")
     row = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("e"), "label"))).alias("c"))
     kept = F.expr("""
       aggregate(c, named_struct('at', 0, 'out', cast(array() as array<struct<start: int, end: int, label: string>>)),
@@ -51,9 +60,15 @@ def matches(sentences: DataFrame, lexicon: DataFrame, *keys: str, fold: bool = T
 
 
 def bio(size: Column, spans: Column) -> Column:
-    """B- and I- labels of a sentence of `size` tokens from spans (start, end, label)."""
+    """B- and I- labels of a sentence of `size` tokens from spans (start, end, label), in time linear in both where spans follow each other; of spans that overlap or come in another order, each token looks for its first."""
     inside = lambda i: F.filter(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
-    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.concat(F.when(F.get(inside(i), F.lit(0))["start"] == i, "B-").otherwise("I-"), F.get(inside(i), F.lit(0))["label"]), F.lit("O")))
+    any_order = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.concat(F.when(F.get(inside(i), F.lit(0))["start"] == i, "B-").otherwise("I-"), F.get(inside(i), F.lit(0))["label"]), F.lit("O")))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+    several = lambda label, n: F.array_repeat(label, n.cast("int"))
+    runs = F.transform(spans, lambda s, i: F.concat(several(F.lit("O"), s["start"] - before(i)), F.array(F.concat(F.lit("B-"), s["label"])), several(F.concat(F.lit("I-"), s["label"]), s["end"] - s["start"] - 1)))
+    in_order = F.forall(F.transform(spans, lambda s, i: s["label"].isNotNull() & (s["start"] >= before(i)) & (s["end"] > s["start"]) & (s["end"] <= size)), lambda x: F.coalesce(x, F.lit(False)))
+    rest = several(F.lit("O"), size - F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)))
+    return F.when(in_order, F.concat(F.flatten(runs), rest)).otherwise(any_order)
 
 
 def spans(tokens: DataFrame, *keys: str, label: str = "entity") -> DataFrame:
