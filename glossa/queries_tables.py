@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.functions.numbers import norms_of, numbers_of
+from glossa.functions.numbers import numbers_of, with_norms
 from glossa.functions.strings import day_replaced, last_weeks
 from glossa.operators import graphs, lexicon, mentions, stats, text
 from glossa.queries import CHAIN, KEYS, W, chain, docs, query, table, words
@@ -285,7 +285,8 @@ def numeric_norms(spark, d):
         say("until fall ", f(t, "yyyy")), say("from spring ", f(t, "yyyy"), " to autumn ", (F.year(t) + 1).cast("string")),
     ]
     said = F.element_at(F.array(*kinds), (F.col("o_orderkey") % 18 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", F.inline(norms_of(said)))
+    found = with_norms(table(spark, d, "orders").select("o_orderkey", said.alias("said")), "said")
+    return found.select("o_orderkey", F.inline("norms"))
 
 
 _DISTINCT = f"{W}, x AS (SELECT DISTINCT word FROM w)"
