@@ -3,7 +3,7 @@
 A pair of rows of one query, one labelled better than the other, is wrong by as much as the better one's score fails to exceed the worse one's by the margin. What a row adds to the gradient
 is how many rows it makes such pairs with: worse rows that score more than its score less the margin, better rows that score less than its score plus the margin. Both
 are running counts over the query's rows in order of score, one for each label, so a round takes n log n, not n^2, and no pair exists.
-Rows of one query, score and label are counted before the windows. Each round sends the weights to the tasks, and brings their gradient back, a number a feature.
+All counts go by query, so a round takes one shuffle of its rows, and no join. Each round sends the weights to the tasks, and brings their gradient and the loss back, a number a feature.
 
 Defined results: rows without a label or a query are scored but not trained on; features that are null or missing count nothing; queries whose labels are all equal add nothing;
 rows repeated as a whole count again.
@@ -24,18 +24,17 @@ def scored(rows: DataFrame, weights: dict[int, float], out: str = "score") -> Da
 
 def pair_counts(rows: DataFrame, levels: list[float], margin: float = 1.0) -> DataFrame:
     """rows (qid, label, score) with `pull`: the wrong pairs in which the row is the better one, less those in which it is the worse one, and `loss`, the hinge of the former."""
-    points = rows.groupBy("qid", "label", "score").agg(F.count("*").alias("_n"))
     below = Window.partitionBy("qid").orderBy(F.col("score") / margin).rangeBetween(Window.unboundedPreceding, -1)
     above = Window.partitionBy("qid").orderBy((F.col("score") / margin).desc()).rangeBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("qid")
     of = lambda k, c: F.when(F.col("label") == levels[k], c)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    n = F.col("_n")
     # rows of a level that score score - margin or less, and those whose score plus the margin is at most the row's: both from counts that run upwards
+    sums = {}
     for k in range(len(levels)):
-        points = points.withColumns({f"_all{k}": zero(F.sum(of(k, n)).over(every)), f"_far{k}": zero(F.sum(of(k, n)).over(below)), f"_sum{k}": zero(F.sum(of(k, n * F.col("score"))).over(every)), f"_fars{k}": zero(F.sum(of(k, n * F.col("score"))).over(below))})
-    for k in range(len(levels)):
-        points = points.withColumn(f"_high{k}", zero(F.sum(of(k, n)).over(above)))
+        sums |= {f"_all{k}": zero(F.count(of(k, F.lit(1))).over(every)), f"_far{k}": zero(F.count(of(k, F.lit(1))).over(below)), f"_high{k}": zero(F.count(of(k, F.lit(1))).over(above))}
+        sums |= {f"_sum{k}": zero(F.sum(of(k, F.col("score"))).over(every)), f"_fars{k}": zero(F.sum(of(k, F.col("score"))).over(below))}
+    points = rows.withColumns(sums)
     worse, better, loss = F.lit(0), F.lit(0), F.lit(0.0)
     for k, level in enumerate(levels):
         # a worse row is in a wrong pair unless it scores score - margin or less; a better one unless it scores score + margin or more
@@ -43,9 +42,7 @@ def pair_counts(rows: DataFrame, levels: list[float], margin: float = 1.0) -> Da
         worse = worse + F.when(F.col("label") > level, count).otherwise(0)
         loss = loss + F.when(F.col("label") > level, total - count * (F.col("score") - margin)).otherwise(0.0)
         better = better + F.when(F.col("label") < level, F.col(f"_all{k}") - F.col(f"_high{k}")).otherwise(0)
-    counts = points.select(F.col("qid").alias("_q"), F.col("label").alias("_l"), F.col("score").alias("_s"), (worse - better).alias("pull"), loss.alias("loss"))
-    same = F.col("qid").eqNullSafe(F.col("_q")) & (F.col("label") == F.col("_l")) & (F.col("score") == F.col("_s"))
-    return rows.join(counts, same).drop("_q", "_l", "_s")
+    return points.select(*rows.columns, (worse - better).alias("pull"), loss.alias("loss"))
 
 
 def _pairs(rows: DataFrame) -> float:
@@ -63,10 +60,11 @@ def train(rows: DataFrame, rounds: int = 25, rate: float = 1.0, strength: float
     best, least, sums = dict(weights), float("inf"), {k: 0.0 for k in weights}
     for i in range(rounds if pairs else 0):
         held = pair_counts(scored(rows, weights), levels, margin)
-        each = held.select("pull", "loss", "features")
-        got = each.where("pull <> 0").select("pull", F.explode(F.map_entries("features")).alias("e"))
-        grad = {r["k"]: r["g"] for r in got.groupBy(F.col("e.key").alias("k")).agg(F.sum(F.col("pull") * F.col("e.value")).alias("g")).collect()}
-        loss = (each.agg(F.sum("loss")).first()[0] or 0.0) / pairs
+        # one pass for both: each row adds its loss at its first feature, or at none
+        each = held.select("pull", "loss", F.posexplode_outer(F.map_entries("features")).alias("i", "e"))
+        got = each.groupBy(F.col("e.key").alias("k")).agg(F.sum(F.col("pull") * F.col("e.value")).alias("g"), F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, F.col("loss"))).alias("loss")).collect()
+        grad = {r["k"]: r["g"] for r in got if r["k"] is not None}
+        loss = sum(r["loss"] or 0.0 for r in got) / pairs
         if loss + strength / 2 * sum(w * w for w in weights.values()) < least:
             best, least = dict(weights), loss + strength / 2 * sum(w * w for w in weights.values())
         for k in weights:  # each feature by its own scale of gradients so far

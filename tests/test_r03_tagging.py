@@ -1,6 +1,8 @@
 """What training and ranking do with their rows."""
 
-from glossa.operators import tagging
+from pyspark.sql import functions as F
+
+from glossa.operators import ranking, tagging
 
 
 def test_training_in_both_directions_reads_the_tokens_once(spark):
@@ -19,3 +21,9 @@ def test_training_in_both_directions_reads_the_tokens_once(spark):
     assert read.value == len(rows)
     got = tagging.tag_both(tokens, ["s"], taggers).collect()
     assert sorted((r["s"], r["tok"], r["prediction"]) for r in got) == sorted(r[:3] for r in rows)
+
+
+def test_a_round_of_ranking_takes_one_shuffle(spark):
+    rows = spark.range(200).select((F.col("id") % 9).alias("qid"), (F.col("id") % 3).cast("double").alias("label"), (F.col("id") % 7 / 4).alias("score"))
+    plan = ranking.pair_counts(rows, [0.0, 1.0, 2.0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
