@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from glossa.plans.lineage import delete, written
+from glossa.plans.lineage import delete, spread, written
 
 #: The least distance from a loss's kink at which its quadratic is put, which bounds the quadratic's curvature.
 NEAR = 1e-4
@@ -100,6 +100,9 @@ def _touching(slack: np.ndarray) -> np.ndarray:
 def _summed(rows: DataFrame, made: Machine, margin: float | None) -> tuple[int, np.ndarray]:
     """The number of rows, and for each row of weights the matrix and right side of the next round's equations."""
     classes, weights, width = list(made.classes), made.weights, made.landmarks.shape[1]
+    if len(classes) == 2 and margin is None:  # the second of two classes is the first one's mirror, in every round
+        n, sums = _summed(rows, replace(made, classes=made.classes[:1], weights=weights[:1]), margin)
+        return n, np.concatenate([sums, sums * np.where(np.arange(sums.shape[2]) < sums.shape[1], 1.0, -1.0)])
     size = weights.shape[1]
     shape = (len(weights), size, size + 1)
 
@@ -122,7 +125,8 @@ def _summed(rows: DataFrame, made: Machine, margin: float | None) -> tuple[int,
                     y = np.array(labels, float)
                     over, under = _touching(values[:, j] - y - margin), _touching(y - values[:, j] - margin)
                     curve, side = over + under, over * (y + margin) + under * (y - margin)
-                total[j, :, :-1] += (phi * curve[:, None]).T @ phi
+                half = phi * np.sqrt(curve)[:, None]
+                total[j, :, :-1] += half.T @ half  # a matrix by itself: numpy makes one half of the product, and mirrors it
                 total[j, :, -1] += phi.T @ side
         yield batch(TaskContext.get().partitionId(), n, total)
 
@@ -149,7 +153,7 @@ def _fitted(rows: DataFrame, made: Machine, strength: float, margin: float | Non
     size = made.basis.shape[1] + 1
     made = replace(made, weights=np.zeros((max(1, len(made.classes)), size)))
     shrink = np.diag([strength] * (size - 1) + [1e-12])
-    held = written(rows.select("features", "label"))
+    held = written(spread(rows.select("features", "label")))  # in many files, as few small ones would be few tasks in every round
     try:
         for _ in range(rounds):
             n, sums = _summed(held, made, margin)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossa.operators import graphs, kernels, learning, ranking, stats, tagging, text
+from glossa.plans.lineage import spread, written
 from glossa.plans.rules import extract
 from glossa.queries import CHAIN, KEYS, W, chain, dealt, docs, one_sentence, query, table
 
@@ -184,6 +185,7 @@ def forward_selection(spark, d):
 def _crossed(rows, fit):
     """All rows, each predicted by the machine that was fitted on the half that it isn't in."""
     half = F.pmod(F.xxhash64("key"), F.lit(2))
+    rows = written(spread(rows))  # features are made once, for landmarks, classes, training and predictions of both halves
     parts = [kernels.predicted(rows.where(half == i), fit(rows.where(half == 1 - i))) for i in (0, 1)]
     return parts[0].unionByName(parts[1])
 
@@ -207,7 +209,7 @@ def kernel_machine_languages(spark, d):
     """The languages of whole texts from their letters' shares, a machine for each language: texts by language, and whether over six in ten of them are told right by the machine of the other half."""
     lower = F.lower("text")
     shares = [(F.length(lower) - F.length(F.replace(lower, F.lit(c)))) / F.greatest(F.length(lower), F.lit(1)) for c in LETTERS]
-    rows = docs(spark, d).where("lang is not null and text is not null").select(F.col("doc_id").alias("key"), F.array(*shares).alias("features"), F.col("lang").alias("label"))
+    rows = spread(docs(spark, d).where("lang is not null and text is not null").select("doc_id", "text", "lang")).select(F.col("doc_id").alias("key"), F.array(*shares).alias("features"), F.col("lang").alias("label"))
     got = _crossed(rows, lambda half: kernels.classifier(half, kernels.Kernel("rbf", 20.0), "key", 1e-4, rounds=8))
     return got.groupBy(F.col("label").alias("lang")).agg(F.count("*").alias("n"), (F.avg((F.col("label") == F.col("prediction")).cast("int")) > 0.6).alias("over_floor"))
 
