@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossa.operators import graphs, kernels, learning, ranking, stats, tagging, text
 from glossa.plans.lineage import spread, written
@@ -204,12 +208,28 @@ def kernel_machine(spark, d):
 LETTERS = "abcdefghijklmnopqrstuvwxyzäößüáéíñóúàâçèêôœ"
 
 
+def letter_shares(texts):
+    """(key, features, label) of (key, text, label): each letter's share of a text's characters, counted by columns of texts."""
+    shape = T.StructType([texts.schema["key"], T.StructField("features", T.ArrayType(T.DoubleType())), texts.schema["label"]])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):  # bounded memory
+                part = b.slice(at, 256)
+                found = part.column("text")
+                counts = np.column_stack([pc.count_substring(found, c).to_numpy(zero_copy_only=False) for c in LETTERS])
+                shares = counts / np.maximum(pc.utf8_length(found).to_numpy(zero_copy_only=False), 1)[:, None]
+                ends = pa.array(np.arange(len(shares) + 1, dtype=np.int32) * len(LETTERS))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(ends, pa.array(shares.ravel())), part.column("label")], ["key", "features", "label"])
+
+    return texts.mapInArrow(run, shape)
+
+
 @query("""SELECT lang, count(*) AS n, true AS over_floor FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang""")
 def kernel_machine_languages(spark, d):
     """The languages of whole texts from their letters' shares, a machine for each language: texts by language, and whether over six in ten of them are told right by the machine of the other half."""
-    lower = F.lower("text")
-    shares = [(F.length(lower) - F.length(F.replace(lower, F.lit(c)))) / F.greatest(F.length(lower), F.lit(1)) for c in LETTERS]
-    rows = spread(docs(spark, d).where("lang is not null and text is not null").select("doc_id", "text", "lang")).select(F.col("doc_id").alias("key"), F.array(*shares).alias("features"), F.col("lang").alias("label"))
+    texts = spread(docs(spark, d).where("lang is not null and text is not null").select("doc_id", "text", "lang"))
+    rows = letter_shares(texts.select(F.col("doc_id").alias("key"), F.lower("text").alias("text"), F.col("lang").alias("label")))
     got = _crossed(rows, lambda half: kernels.classifier(half, kernels.Kernel("rbf", 20.0), "key", 1e-4, rounds=8))
     return got.groupBy(F.col("label").alias("lang")).agg(F.count("*").alias("n"), (F.avg((F.col("label") == F.col("prediction")).cast("int")) > 0.6).alias("over_floor"))
 

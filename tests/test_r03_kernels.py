@@ -24,3 +24,12 @@ def test_rows_of_one_task_are_trained_on_by_several(spark, monkeypatch):
     assert np.allclose(made.weights[0], -made.weights[1], atol=1e-6)
     right = kernels.predicted(rows, made).where("label = prediction").count()
     assert right > 380
+
+
+def test_letter_shares_are_those_of_the_lower_cased_text(spark):
+    from glossa.queries_learned import LETTERS, letter_shares
+
+    texts = {1: "abba é", 2: "", 3: "ßß Zz 😀 ñ", 4: "x" * 3000 + "y"}
+    rows = spark.createDataFrame(list(texts.items()), "key long, text string").select("key", F.lower("text").alias("text"), F.lit("en").alias("label"))
+    got = {r["key"]: list(r["features"]) for r in letter_shares(rows).collect()}
+    assert got == {k: [t.lower().count(c) / max(1, len(t)) for c in LETTERS] for k, t in texts.items()}
