@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
-from .lineage import written
+from .lineage import read_written, written
 from .native import NativeParser, NotNative, _chars, _regex, _text_test
 from .paths import _HEAD, GraphPattern
 from .patterns import LAYERS, PatternError, nullable
@@ -692,13 +692,14 @@ def mentions(docs: DataFrame, keys: list[str], rules: list, last: int = 1000) ->
                 df = df.drop("_new")
                 continue
             df = written(df)  # of which only the sentences that changed go on
-            done.append(df.where("size(_new) = 0").drop("_new"))
+            done.append(df)
             df = df.where("size(_new) > 0")
             # after the last iteration that a rule begins or ends at, all rules have read all but the last mentions
             df = df.withColumnRenamed("_new", "_last") if iteration > settled else df.drop("_new")
             if df.isEmpty():
                 break
-        out = reduce(DataFrame.unionByName, (d.select(*kept) for d in done))
+        # one scan of all rounds' tables, as each task of a union would carry the metrics of every one of them to the driver
+        out = read_written(done, [*kept, "_new"]).where("size(_new) = 0").drop("_new")
     # an outer generator, as the optimizer would put a filter on the state, with all that it is made of, beneath another one
     out = out.select("_keys", "sent", *(f"_{n}" for n in used if n != "graphs"), F.inline_outer(F.filter("_state", lambda m: m["keep"]))).where("id is not null")
     raw = F.coalesce("_raw", "_words") if "raw" in used else F.col("_words")
