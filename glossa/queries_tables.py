@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glossa.functions.numbers import numbers_of, with_norms
 from glossa.functions.strings import day_replaced, last_weeks
 from glossa.operators import graphs, lexicon, mentions, stats, text
+from glossa.plans.lineage import spread
 from glossa.queries import CHAIN, KEYS, W, chain, docs, query, table, words
 
 _SPANS = f"""{W}, a AS (SELECT DISTINCT doc_id, CAST(tok AS INTEGER) AS start, CAST(tok + 1 + tok % 4 AS INTEGER) AS "end" FROM w WHERE word = 'the')"""
@@ -397,7 +398,8 @@ def svmlight_round_trip(spark, d):
     """Ranking lines of each order's items, written and read again."""
     from glossa.sources.columns import read_svmlight, svmlight_lines
 
-    rows = table(spark, d, "lineitem").select((F.col("l_linenumber") % 2).cast("double").alias("label"), F.col("l_orderkey").cast("string").alias("qid"), F.create_map(F.lit(3), F.col("l_quantity"), F.lit(1), F.col("l_discount")).alias("features"))
+    items = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"))
+    rows = items.select((F.col("l_linenumber") % 2).cast("double").alias("label"), F.col("l_orderkey").cast("string").alias("qid"), F.create_map(F.lit(3), F.col("l_quantity"), F.lit(1), F.col("l_discount")).alias("features"))
     read = read_svmlight(svmlight_lines(rows)).select(F.col("qid").cast("long").alias("qid"), "label", (F.col("features")[1] + F.col("features")[3]).alias("x"))
     return read.groupBy("qid", "label").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
