@@ -130,9 +130,9 @@ def to_lines(found: DataFrame, key: str) -> DataFrame:
     roles = F.array_sort(F.array_distinct(F.transform("args", lambda a: a["role"])))
     of = F.map_from_arrays(roles, F.transform(roles, lambda r: F.transform(F.filter("args", lambda a: a["role"] == r), lambda a: a["mention_id"])))
     body = F.struct(F.col("mention_id").alias("id"), F.col("kind").alias("type"), "labels", F.col("sent").alias("sentence"), "start", "end", "text", F.col("found_by").alias("foundBy"), F.col("trigger_id").alias("trigger"), F.when(F.size("args") > 0, of).alias("arguments"))
-    once = found.dropDuplicates([key, "mention_id"])
     order = F.struct("sent", "start", "end", "found_by", "mention_id")
-    each = once.select(key, F.struct(order.alias("_order"), F.to_json(body).alias("json")).alias("m")).groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    once = found.select(key, "mention_id", order.alias("_order"), F.to_json(body).alias("json")).repartition(key).dropDuplicates([key, "mention_id"])  # one shuffle, of lines
+    each = once.select(key, F.struct("_order", "json").alias("m")).groupBy(key).agg(F.sort_array(F.collect_list("m")).alias("m"))
     inner = F.array_join(F.transform("m", lambda x: x["json"]), ",")
     return each.select(key, F.concat(F.lit('{"document":'), F.to_json(F.array(F.col(key).cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(key).cast("string")))) - 2), F.lit(',"mentions":['), inner, F.lit("]}")).alias("value"))
 
