@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.lemmas import BRACKETS, IRREGULAR, RULES, lemma
 from glossa.operators import graphs, learning, lexicon, mentions, parsing, text
+from glossa.plans.lineage import spread
 from glossa.plans.rules import extract
 from glossa.queries import KEYS, W, docs, one_sentence, query, table
 from glossa.sources import columns
@@ -18,7 +19,7 @@ h AS (SELECT *, CASE WHEN i = 0 THEN -1 ELSE i & (i - 1) END AS h, CASE WHEN i =
 
 
 def _trees(spark, d, mirrored: bool):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(text.BLANKS), F.lit(0))).alias("n")).where("n > 0")
+    t = spread(table(spark, d, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(text.BLANKS), F.lit(0))).alias("n")).where("n > 0"))
     t = t.withColumn("i", F.expr("transform(sequence(0, n - 1), i -> if(turn % 2 = 1, n - 1 - i, i))" if mirrored else "sequence(0, n - 1)"))
     heads = F.expr("transform(i, x -> case when x = 0 then -1 " + ("when turn % 2 = 1 then n - 1 - (x & (x - 1)) " if mirrored else "") + "else x & (x - 1) end)")
     return t.select("conv_id", "turn", heads.alias("heads"), F.expr("transform(i, x -> if(x = 0, 'root', concat('r', x % 7)))").alias("labels"))
