@@ -37,8 +37,8 @@ def hexatags(spark, d):
 def hexatags_decoded(spark, d):
     """Trees to tags, and from scores, in which a tag that makes no tree is the likeliest of every fifth word, back."""
     t = parsing.hexatags(_trees(spark, d, True), "conv_id", "turn")
-    scores = lambda c: F.transform(c, lambda x, i: F.array(F.struct(x.alias("label"), F.lit(2.0).alias("score")), F.struct(F.concat(F.lit("x"), x).alias("label"), F.when((i % 5 == 0) & (i < 10), 2.5).otherwise(0.5).alias("score"))))
-    found = parsing.decoded(t.select("conv_id", "turn", scores(F.col("term")).alias("term"), scores(F.col("nonterm")).alias("nonterm")), "conv_id", "turn", k=64)
+    scores = lambda c: F.transform(c, lambda x, i: F.array(F.struct(x.alias("label"), F.lit(2.0).alias("score")), F.struct(F.concat(F.lit("x"), x).alias("label"), F.when(i % 5 == 0, 2.5).otherwise(0.5).alias("score"))))
+    found = parsing.decoded(t.select("conv_id", "turn", scores(F.col("term")).alias("term"), scores(F.col("nonterm")).alias("nonterm")), "conv_id", "turn", k=None)
     return found.select("conv_id", "turn", F.inline("edges"))
 
 
