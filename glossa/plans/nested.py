@@ -6,8 +6,8 @@ already lies in it: tokens as arrays, edges as an array sorted by token with the
 * A step of a path is a join with the edges of a token, by place; look-around keeps or drops a token as semi and anti joins do; a closure goes on from the tokens reached last and leaves
   out those reached before, until none are new.
 * Triggers and arguments are found first; edges are only sorted in sentences that have both.
-* The iterations of the fixpoint are unrolled as far as a rule's inputs can still change, which the labels that rules read and make tell beforehand. Grammars whose rules feed
-  themselves go on round by round over the sentences that got new mentions in the last one, until none did.
+* The iterations of the fixpoint are unrolled as far as a rule's inputs can still change, which the labels that rules read and make tell beforehand. Rules that make a longer mention
+  of one mention go on within the row, by an aggregate, until they make none. Other grammars whose rules feed themselves go on round by round over the sentences that got new mentions in the last one, until none did.
 
 Not taken, and left to the kernel, which gives the same results: arithmetic, repetitions without an end of more than one token, captures that repeat, and
 references to mentions other than at the beginning of a sequence of tokens of fixed number.
@@ -293,6 +293,8 @@ class Compiled:
     run: Callable[[DataFrame], tuple[DataFrame, Column]]  # rows to rows with what it needs, and its new mentions
     edges: set[tuple[str, str]]  # graph and side
     fields: set[str]
+    told: bool = True  # whether its mentions may have arguments
+    grows: tuple[Callable[[DataFrame], DataFrame], Callable[[Column], Column]] | None = None  # rows to rows with what it needs, and mentions to the longer one it makes of each
 
 
 def _struct(**x: Column) -> Column:
@@ -419,7 +421,10 @@ def _token_rule(rule, name: str) -> Compiled:
                 return _mentions_made(rule, F.get(b, F.lit(0)), F.element_at(b, -1), caps, [])
 
             return df, F.flatten(F.transform(f"{name}_found", made))
+
+        told = bool(leaves.captures)
     else:
+        told = True
         widths = [None if p[0] == "mention" else _width(p) for p in parts]
         if parts[0][0] != "mention" or any(w is None and p[0] != "mention" for w, p in zip(widths, parts, strict=True)) or any(p[3] for p in refs):
             raise NotNative("mentions other than before tokens of fixed number")
@@ -427,14 +432,21 @@ def _token_rule(rule, name: str) -> Compiled:
         parser.reads |= {p[1] for p in refs}
         pieces = [None if p[0] == "mention" else _leaves(p, chars) for p in parts]
 
+        text = f"{name}_text"
+
+        def with_text(df: DataFrame) -> DataFrame:
+            return _with_text(df, parser, text, "_state", rule.graph)
+
         def run(df: DataFrame) -> tuple[DataFrame, Column]:
-            text = f"{name}_text"
-            df = _with_text(df, parser, text, "_state", rule.graph)
+            df = with_text(df)
             # a rule with one reference that ran in the round before finds new mentions by that round's only
             seen = "_last" if alone and "_last" in df.columns else "_state"
             for k, label in enumerate(dict.fromkeys(p[1] for p in refs)):
                 df = df.withColumn(f"{name}_m{k}", F.filter(seen, _labelled(label)))
-            of = {label: f"{name}_m{k}" for k, label in enumerate(dict.fromkeys(p[1] for p in refs))}
+            return df, of_mentions({label: F.col(f"{name}_m{k}") for k, label in enumerate(dict.fromkeys(p[1] for p in refs))})
+
+        def of_mentions(of: dict[str, Column]) -> Column:
+            """The mentions that the rule makes of those with each label."""
 
             def go(k: int, start: Column | None, at: Column | None, caps: list, found: list) -> Column:
                 """The mentions that the parts from the k-th on make; the earlier ones ended at `at`."""
@@ -442,7 +454,7 @@ def _token_rule(rule, name: str) -> Compiled:
                     return _mentions_made(rule, start, at, caps, found)
                 p = parts[k]
                 if p[0] == "mention":
-                    fit = F.col(of[p[1]]) if at is None else F.filter(of[p[1]], lambda m: m["start"] == at)
+                    fit = of[p[1]] if at is None else F.filter(of[p[1]], lambda m: m["start"] == at)
                     return F.flatten(F.transform(fit, lambda m: go(k + 1, m["start"] if start is None else start, m["end"], caps, [*found, (p[2], m)] if p[2] else found)))
                 here = F.substring(F.col(text), at + 1, F.lit(widths[k]))
                 x = pieces[k]
@@ -454,9 +466,13 @@ def _token_rule(rule, name: str) -> Compiled:
                 fits = (F.length(here) == widths[k]) & here.rlike(f"^{x.regex}$")
                 return F.when(fits, go(k + 1, start, at + widths[k], [*caps, *more], found)).otherwise(_empty(STATE))
 
-            return df, go(0, None, None, [], [])
+            return go(0, None, None, [], [])
 
-    return Compiled(rule, parser.reads, run, {(rule.graph, x) for x in parser.sides}, {LAYERS[f] for f in parser.fields})
+    made = Compiled(rule, parser.reads, run, {(rule.graph, x) for x in parser.sides}, {LAYERS[f] for f in parser.fields}, told)
+    if refs and alone and refs[0][2] and sum(w or 0 for w in widths) > 0 and not parser.sides:
+        label = refs[0][1]
+        made.grows = with_text, lambda seen: of_mentions({label: F.filter(seen, _labelled(label))})
+    return made
 
 
 def _combinations(found: Column, size: int) -> Column:
@@ -600,6 +616,38 @@ def _recursive(compiled: list[Compiled]) -> bool:
     return any(i in reached(i) for i in feeds)
 
 
+def _growing(running: list[Compiled], compiled: list[Compiled]) -> list[Compiled] | None:
+    """The rules that read mentions, if each makes one longer mention at most of each mention, which no other rule makes too; none otherwise."""
+    of = [c for c in running if c.reads]
+    labels = [c.rule.labels for c in of]
+    others = {c.rule.labels for c in compiled if c.told and c not in of}
+    firsts = [x[0] for x in {c.rule.labels for c in compiled}]
+    fine = all(c.grows for c in of) and len(set(labels)) == len(labels) and not others & set(labels) and len(set(firsts)) == len(firsts)
+    return of if of and fine else None
+
+
+def _grown(df: DataFrame, growing: list[Compiled]) -> DataFrame:
+    """df, of which `_last` are the mentions of the last iteration, with all those in the state that growing rules make of them, and of these, until there are none.
+
+    Mentions get longer in each round, so as many rounds as the sentence has tokens suffice; they come in groups, as those of a closure do.
+    """
+    for c in growing:
+        df = c.grows[0](df)
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  binds what is named twice
+
+    def further(s: Column, _: Column) -> Column:
+        new = F.concat(*(c.grows[1](s["front"]) for c in growing))
+        return F.when(F.size(s["front"]) > 0, once(new, lambda n: F.struct(F.concat(s["made"], n).alias("made"), n.alias("front")))).otherwise(s)
+
+    def together(s: Column, _: Column) -> Column:
+        found = F.aggregate(group, F.struct(_empty(STATE).alias("made"), s["front"].alias("front")), further)
+        return F.when(F.size(s["front"]) > 0, once(found, lambda g: F.struct(F.concat(s["made"], g["made"]).alias("made"), g["front"].alias("front")))).otherwise(s)
+
+    group = F.sequence(F.lit(1), F.col("_root"))
+    made = F.aggregate(group, F.struct(_empty(STATE).alias("made"), F.col("_last").alias("front")), together, lambda s: s["made"])
+    return df.withColumn("_state", F.concat("_state", F.when(F.size("_last") > 0, made).otherwise(_empty(STATE))))
+
+
 def _with_edges(df: DataFrame, graph: str, side: str, present: bool, wanted: Column) -> DataFrame:
     """df with an index of the edges out of the tokens, or into them."""
     a, b = ("source", "destination") if side == "out" else ("destination", "source")
@@ -691,6 +739,12 @@ def mentions(docs: DataFrame, keys: list[str], rules: list, last: int = 1000) ->
             if iteration < least:
                 df = df.drop("_new")
                 continue
+            if iteration >= settled and (growing := _growing([c for c in compiled if c.rule.runs(iteration + 1)], compiled)):
+                df = _grown(written(df.withColumnRenamed("_new", "_last")), growing).select(*kept)
+                break
+            if iteration < settled and _growing([c for c in compiled if c.rule.runs(settled + 1)], compiled):
+                df = df.drop("_new")
+                continue
             df = written(df)  # of which only the sentences that changed go on
             done.append(df)
             df = df.where("size(_new) > 0")
@@ -699,7 +753,7 @@ def mentions(docs: DataFrame, keys: list[str], rules: list, last: int = 1000) ->
             if df.isEmpty():
                 break
         # one scan of all rounds' tables, as each task of a union would carry the metrics of every one of them to the driver
-        out = read_written(done, [*kept, "_new"]).where("size(_new) = 0").drop("_new")
+        out = read_written(done, [*kept, "_new"]).where("size(_new) = 0").drop("_new") if done else df
     # an outer generator, as the optimizer would put a filter on the state, with all that it is made of, beneath another one
     out = out.select("_keys", "sent", *(f"_{n}" for n in used if n != "graphs"), F.inline_outer(F.filter("_state", lambda m: m["keep"]))).where("id is not null")
     raw = F.coalesce("_raw", "_words") if "raw" in used else F.col("_words")
