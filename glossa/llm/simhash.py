@@ -26,6 +26,10 @@ from .linking import classes
 from .similar import shingle_hashes, similar_documents
 
 
+#: Documents to leave out up to which their ids are broadcast, so that the texts of the others aren't shuffled.
+BROADCAST_GONE = 1_000_000
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     n, set_bits = 0, np.zeros(64, np.int64)
     for part in shingle_hashes(text, shingle):
@@ -94,5 +98,6 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     exact Jaccard similarity of 0.8 on five-word shingles, as few bits of a fingerprint neither cover nor prove it.
     """
     found = similar_documents(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -1,7 +1,8 @@
 """Near-duplicate documents by the exact Jaccard similarity of their word shingles.
 
-A text is the set of the 64-bit hashes of its shingles. BANDS bands of ROWS minima each find the candidates: of pairs at a
-similarity of 0.8, one in 2,800 shares no band, above it fewer. Bitmaps of the sets, by a bound that no link breaks, leave out most others. A link needs the exact similarity; the sets
+A text is the set of the 64-bit hashes of its shingles. Sets at a similarity of t share t of the elements of each at least, so that in any order of all elements the first
+(1 - t) n + 1 of a set of n hold one that is among those of the other set, too: these prefixes find all candidates. The order is that of the hashes, but elements that
+many prefixes hold come last, so that passages common to many texts make few candidates. Bitmaps of the sets, by a bound that no link breaks, leave out most others. A link needs the exact similarity; the sets
 are made anew for the documents asked for, so that neither texts nor sets of the others are kept or shuffled.
 
 Texts of equal sets are one item throughout (by 64-bit hash), so copies never form pairs. Defined results: null and empty texts, and
@@ -11,7 +12,7 @@ if their texts do; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,14 @@ from .common import cut, drop
 from .linking import bitmap, classes, may_link, possible, shared, spanning
 
 SEED = 42
-BANDS, ROWS, BITS = 20, 5, 1024
+BITS = 1024
 THRESHOLD = 0.8
 #: Documents to verify up to which their ids are broadcast, so that the texts of the others aren't shuffled.
 BROADCAST_ASKED = 200_000
-_RANDOM = np.random.default_rng(20240301)
-_A = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_MIX = _RANDOM.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Prefixes that hold an element from which on it comes last in the order, and the most elements to move at once; both bear on time alone.
+COMMON, MOST_COMMON = 100, 200_000
+#: Times that common elements are looked for, as others come into the prefixes in their place.
+ORDERS = 3
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -58,17 +59,14 @@ def item(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """BANDS keys; none for the empty set."""
+def prefix(s: np.ndarray, threshold: float, common: np.ndarray) -> np.ndarray:
+    """As many of a set's first elements as hold one of each set at the threshold's similarity; common ones, which are given sorted, come last."""
     if not len(s):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(s), 4096):  # bounded memory
-        x = s[at : at + 4096]
-        least = np.minimum(least, ((_A[:, None] * x + _B[:, None]) ^ (x >> np.uint64(29))).min(axis=1))
-    mixed = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    return mixed.view(np.int64)
+        return s
+    if len(common):
+        late = np.isin(s, common)
+        s = np.concatenate((s[~late], s[late]))
+    return s[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1]
 
 
 def _with(docs: DataFrame, text: str, keep: list[str], shingle: int, columns: dict) -> DataFrame:
@@ -91,13 +89,43 @@ def _with(docs: DataFrame, text: str, keep: list[str], shingle: int, columns: di
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
+def _ordered(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, shingle: int) -> DataFrame:
+    """The rows (key, id) of prefixes that share their key, by an order in which common elements come last. items: (id, keys) by the order of the hashes.
+
+    An item without a common element in its prefix has the same prefix in the new order, so only the texts of the others are read again.
+    """
+    keyed = shared(items.select("id", F.explode("keys").alias("key")))
+    common, spark = np.empty(0, np.int64), items.sparkSession
+    for _ in range(ORDERS):
+        found = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow()["key"].to_numpy()
+        found = np.setdiff1d(found, common)
+        if not len(found):
+            break
+        common = np.union1d(common, found)
+        new, late = spark.createDataFrame(pa.table({"key": found})), spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
+        asked = cut(keyed.join(F.broadcast(new), "key", "left_semi").select("id").distinct())
+        again = _with(texts_of(asked), "_text", ["_asked"], shingle, {"keys": lambda s, late=late: prefix(s, threshold, late.value)}).where("id = _asked")
+        items = cut(items.join(asked, "id", "left_anti").select("id", "keys").union(again.dropDuplicates(["id"]).select("id", "keys")))
+        drop(keyed, asked)
+        keyed = shared(items.select("id", F.explode("keys").alias("key")))
+    return keyed
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = 5) -> DataFrame:
     """(doc_id, component_id): one row a document with an id; component_id is the smallest id that links reach."""
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_doc_id"), F.col(text).alias("_text"))
-    marked = cut(_with(docs, "_text", ["_doc_id"], shingle, {"bands": band_keys, "bits": lambda s: bitmap(s, BITS)}))
+    none = np.empty(0, np.uint64)
+    marked = cut(_with(docs, "_text", ["_doc_id"], shingle, {"keys": lambda s: prefix(s, threshold, none), "bits": lambda s: bitmap(s, BITS)}))
     firsts = cut(marked.groupBy("id").agg(F.min("_doc_id").alias("_first")))
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """(_asked, _text) of the items asked for: an id may have several texts."""
+        asked = cut(firsts.join(asked, "id").select(F.col("id").alias("_asked"), "_first"))
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ASKED else asked
+        return docs.join(asked, F.col("_doc_id") == F.col("_first")).select("_asked", "_text")
+
     items = marked.join(firsts.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("_doc_id") == F.col("_first")))
-    keyed = shared(items.select("id", F.explode("bands").alias("key"))).withColumn("home", F.lit(True))
+    keyed = _ordered(items.select("id", "keys"), texts_of, threshold, shingle).withColumn("home", F.lit(True))
     traits = cut(items.join(keyed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first(F.struct("bits", "n")).alias("trait")))
 
     near = may_link(threshold, BITS)
@@ -106,10 +134,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         """Pairs of an exact Jaccard similarity of the threshold."""
         pairs = possible(pairs, traits, near)
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = cut(firsts.join(asked, "id").select(F.col("id").alias("_asked"), "_first"))
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ASKED else asked
-        texts = docs.join(asked, F.col("_doc_id") == F.col("_first")).select("_asked", "_text")
-        sets = _with(texts, "_text", ["_asked"], shingle, {"s": lambda s: s}).where("id = _asked")  # an id may have several texts
+        sets = _with(texts_of(asked), "_text", ["_asked"], shingle, {"s": lambda s: s}).where("id = _asked")
         sets = cut(sets.dropDuplicates(["id"]).select("id", "s"))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
